@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import sentencepiece_codec
-from factloom.llm.common import documents
+from factloom.llm import license_scan, mixing, sentencepiece_codec, token_counts
+from factloom.llm.common import documents, shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Tokens beyond which a document is too long for one training window.
+TOKEN_LIMIT = 512
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    mixed = mixing.mix(documents(spark, sf_dir), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, from a cache that is empty when the query starts."""
+    counted = token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), shared_folder(spark, "token-counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = sentencepiece_codec.round_trip(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -29,8 +50,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Names to functions of (spark, sf_dir).
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
+    "op7_license_scan": op7_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: Names to DuckDB SQL, where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": mixing.MIX_SQL,
+    "op7_license_scan": license_scan.scan_sql(),
+}
