@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import license_scan, mixing, sentencepiece_codec, token_counts
+from factloom.llm import license_scan, mixing, sentencepiece_codec, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -20,6 +20,17 @@ def tokenizer_path(name: str) -> str:
 TOKEN_LIMIT = 512
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a model fitted on the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mixed = mixing.mix(documents(spark, sf_dir), cap=3)
@@ -50,6 +61,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Names to functions of (spark, sf_dir).
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op7_license_scan": op7_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
