@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import license_scan, mixing, sentencepiece_codec, token_counts, toxicity
+from factloom.llm import license_scan, mixing, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -37,6 +37,20 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is cut out of every document because an earlier place has it, and what is left."""
+    left = substring_dedup.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
+    sizes = F.transform("cut_spans", lambda x: x["end"] - x["start"])
+    return left.select(
+        "doc_id",
+        F.size("cut_spans").cast("long").alias("n_cuts"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("cut_chars"),
+        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("left_chars"),
+        F.col("cut_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"),
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
@@ -63,6 +77,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
