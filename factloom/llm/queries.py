@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import license_scan, mixing, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from factloom.llm import fingerprints, license_scan, mixing, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
 TOKEN_LIMIT = 512
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and of its edited text."""
+    return fingerprints.with_neighbours(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -75,6 +80,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Names to functions of (spark, sf_dir).
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
