@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, license_scan, mixing, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from factloom.llm import fingerprints, license_scan, mixing, ngram_join, sentencepiece_codec, substring_dedup, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -36,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 per cent of its 4-word shingles."""
+    return ngram_join.link_components(documents(spark, sf_dir), shingle=4, percent=85)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mixed = mixing.mix(documents(spark, sf_dir), cap=3)
@@ -82,6 +87,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_license_scan": op7_license_scan,
