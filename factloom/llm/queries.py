@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, license_scan, mixing, ngram_join, sentencepiece_codec, substring_dedup, token_counts, toxicity
+from factloom.llm import fingerprints, license_scan, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -72,6 +72,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+#: Sharding: the wanted size of a file, the size up to which a shard is small, and arrivals in each of two waves.
+SHARD_BYTES, SMALL_BYTES, WAVES = 32 << 20, 1 << 20, (48, 16)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document after two waves of arrivals, each compacted, with its text's digest read back."""
+    docs = documents(spark, sf_dir)
+    store = sharding.ShardStore(spark, shared_folder(spark, "shards"), SHARD_BYTES, SMALL_BYTES)
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(sum(WAVES)))
+    rows = docs.withColumn("__arrival", arrival)
+    store.append(rows.where(F.col("__arrival") < WAVES[0]), "__arrival")
+    store.compact(docs.schema)
+    store.append(rows.where(F.col("__arrival") >= WAVES[0]), "__arrival")
+    store.compact(docs.schema)
+    return store.located(docs.schema).select("doc_id", "shard", "tier", "version", "shard_rows", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = sentencepiece_codec.round_trip(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -91,6 +108,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
