@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, license_scan, mixing, ngram_join, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from factloom.llm import fingerprints, license_scan, media, mixing, ngram_join, rasters, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 from factloom.llm.common import documents, shared_folder
 
 
@@ -61,6 +61,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For an edited copy of every fiftieth image, all images that it is a copy of.
+
+    No table holds images, so each row of embeddings is drawn as one: near vectors make near images.
+    """
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    images = rasters.with_images(vectors, "embedding", "vec_id")
+    asked = rasters.with_images(vectors.where(F.col("vec_id") % 50 == 0), "embedding", "vec_id", edit=True)
+    found = media.find_copies(images, asked, "media", "vec_id")
+    return found.select(F.col("query_id").alias("query_vec_id"), F.col("first_id").alias("vec_id"), "members", "votes", "turn", "scale", "dx", "dy")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
@@ -107,6 +119,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_media_copies": op6_media_copies,
     "op7_license_scan": op7_license_scan,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
