@@ -1 +1 @@
-
+"""Column functions: markup, dates and amounts in free text, quotations."""

@@ -1,10 +1,325 @@
-"""Registered queries of the evidence graph, each with its SQL twin."""
+"""Registered queries of the evidence graph over the given tables, each with its twin in DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import text as tx
+from factloom.operators import evidence, graph, pages, resolve
+from factloom.sources import tables as tb
+from factloom.streaming import events as ev
+
+#: The type whose entities are shown in red.
+RED = "customer"
+#: Predicates as they are counted side by side.
+PREDICATE_CODES = ["IN_REGION", "LOCATED_IN", "ORDERED", "SUPPLIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Both ends of each edge, and named neighbours, for the SQL twins.
+SIDES_SQL = """
+side AS (SELECT subject_id AS page_id, 'out' AS direction, predicate, object_id AS other_id FROM edge
+         UNION ALL SELECT object_id, 'in', predicate, subject_id FROM edge),
+named AS (SELECT side.*, coalesce(entity.name, other_id) AS name, coalesce(label, predicate) AS label
+          FROM side LEFT JOIN entity ON other_id = entity_id LEFT JOIN label ON predicate = code),
+first_use AS (SELECT subject_id AS page_id, snippet_id, count(*) AS uses,
+                min({'a': object_id, 'b': confidence, 'c': when_raw, 'd': order_key, 'e': line, 'f': amount_cents}) AS first FROM fact GROUP BY 1, 2),
+note AS (SELECT page_id, snippet_id, uses, row_number() OVER (PARTITION BY page_id ORDER BY first, snippet_id) AS number FROM first_use)
+"""
+
+
+def query(sql: str):
+    """Registers a function under its name, with its SQL twin."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = f"WITH {tb.VIEWS_SQL}, {SIDES_SQL} {sql}"
+        return f
+
+    return register
+
+
+@query("SELECT subject_id, predicate, object_id FROM edge")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.edges(spark, sf_dir)
+
+
+@query("SELECT entity_id, name, predicate, object_id FROM entity JOIN edge ON entity_id = subject_id")
+def edges_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_out(tb.entities(spark, sf_dir), tb.edges(spark, sf_dir)).select("entity_id", "name", "predicate", "object_id")
+
+
+@query("SELECT entity_id, name, predicate, subject_id FROM entity JOIN edge ON entity_id = object_id")
+def edges_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_in(tb.entities(spark, sf_dir), tb.edges(spark, sf_dir)).select("entity_id", "name", "predicate", "subject_id")
+
+
+@query("SELECT page_id, direction, predicate, other_id FROM side")
+def edges_both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.both_ends(tb.edges(spark, sf_dir))
+
+
+@query("""SELECT subject_id, coalesce(s.name, subject_id) AS subject_name, CASE WHEN list_contains(s.types, 'customer') THEN 'red' ELSE 'green' END AS subject_colour,
+       predicate, object_id, coalesce(o.name, object_id) AS object_name, CASE WHEN list_contains(o.types, 'customer') THEN 'red' ELSE 'green' END AS object_colour
+FROM edge LEFT JOIN entity s ON subject_id = s.entity_id LEFT JOIN entity o ON object_id = o.entity_id""")
+def edge_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.with_ends(tb.edges(spark, sf_dir), tb.entities(spark, sf_dir), RED)
+
+
+@query("SELECT DISTINCT page_id, other_id FROM side")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(tb.edges(spark, sf_dir))
+
+
+@query("""SELECT page_id, string_agg(name, ' · ' ORDER BY lower(name), other_id) AS bar, count(*) AS n
+FROM (SELECT DISTINCT page_id, other_id, name FROM named) GROUP BY page_id""")
+def neighbour_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbour_bar(tb.edges(spark, sf_dir), tb.entities(spark, sf_dir))
+
+
+@query("SELECT subject_id, predicate, object_id, coalesce(label, predicate) AS label FROM edge LEFT JOIN label ON predicate = code")
+def predicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.labelled(tb.edges(spark, sf_dir), tb.predicate_labels(spark))
+
+
+@query("""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY direction = 'in', lower(name), label, other_id)::INT AS position, direction, label, other_id, name
+FROM named""")
+def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sections(tb.edges(spark, sf_dir), tb.entities(spark, sf_dir), tb.predicate_labels(spark))
+
+
+@query("""SELECT subject_id, predicate, object_id, count(*) AS n_facts, sum(amount_cents)::BIGINT AS total_cents,
+       string_agg(confidence || ' ' || when_raw || ' ' || order_key || ' ' || line, '; ' ORDER BY confidence, when_raw, order_key, line, amount_cents) AS facts
+FROM fact GROUP BY subject_id, predicate, object_id""")
+def edge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.edge_facts(tb.facts(spark, sf_dir))
+    shown = F.transform("facts", lambda x: F.concat_ws(" ", x["confidence"], x["when_raw"], x["order_key"], x["line"]))
+    return found.withColumn("facts", F.array_join(shown, "; "))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def edgeless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without a line."""
+    orders = tb.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return graph.without_edge_of(orders, "o_orderkey", tb.table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN 'No links are recorded' ELSE count(l_orderkey) || ' links' END AS message
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def empty_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each order has, or the message of a page without edges."""
+    counts = tb.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    found = tb.table(spark, sf_dir, "orders").select("o_orderkey").join(counts, "o_orderkey", "left")
+    return found.select("o_orderkey", F.coalesce(F.concat(F.col("n").cast("string"), F.lit(" links")), F.lit(pages.NO_EDGES)).alias("message"))
+
+
+@query("""SELECT page_id, coalesce(sum((predicate = 'IN_REGION')::INT), 0)::BIGINT AS "IN_REGION", sum((predicate = 'LOCATED_IN')::INT)::BIGINT AS "LOCATED_IN",
+       sum((predicate = 'ORDERED')::INT)::BIGINT AS "ORDERED", sum((predicate = 'SUPPLIES')::INT)::BIGINT AS "SUPPLIES", count(*) AS degree FROM side GROUP BY page_id""")
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(tb.edges(spark, sf_dir), PREDICATE_CODES)
+
+
+@query("""SELECT entity_id, array_to_string(list_sort(list_distinct(types)), ', ') AS types, CASE WHEN list_contains(types, 'customer') THEN 'red' ELSE 'green' END AS colour,
+       CASE WHEN list_contains(types, 'club') THEN 'yes' END AS known FROM entity""")
+def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.entities(spark, sf_dir)
+    return rows.select("entity_id", F.array_join(F.array_sort(F.array_distinct("types")), ", ").alias("types"), tx.colour(F.col("types"), RED).alias("colour"), F.when(F.array_contains("types", "club"), "yes").alias("known"))
+
+
+@query("SELECT type, count(*) AS entities FROM (SELECT unnest(types) AS type FROM entity) GROUP BY type")
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.index_counts(tb.entities(spark, sf_dir))
+
+
+@query("""SELECT subject_id, object_id, order_key, line, amount_cents, concat_ws(' · ', when_raw,
+       CASE WHEN amount_cents >= 1000000 THEN '$' || (amount_cents // 100) END, CASE WHEN confidence <> 'exact' THEN confidence END) AS shown FROM fact""")
+def fact_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.with_qualifiers(tb.facts(spark, sf_dir)).select("subject_id", "object_id", "order_key", "line", "amount_cents", "shown")
+
+
+@query("SELECT subject_id, predicate, object_id, order_key, line, confidence FROM fact WHERE confidence = 'exact'")
+def exact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.at_least(tb.facts(spark, sf_dir), "exact").select("subject_id", "predicate", "object_id", "order_key", "line", "confidence")
+
+
+@query("SELECT page_id, snippet_id, number::INT AS number, uses FROM note")
+def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.footnotes(tb.facts(spark, sf_dir))
+
+
+@query("""SELECT fact.subject_id, object_id, order_key, line, amount_cents, fact.snippet_id, number::INT AS number,
+       'fnref-' || number || '-' || row_number() OVER (PARTITION BY fact.subject_id, fact.snippet_id ORDER BY object_id, confidence, when_raw, order_key, line, amount_cents) AS back_link
+FROM fact JOIN note ON subject_id = page_id AND fact.snippet_id = note.snippet_id""")
+def facts_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.numbered(tb.facts(spark, sf_dir)).select("subject_id", "object_id", "order_key", "line", "amount_cents", "snippet_id", "number", "back_link")
+
+
+@query("SELECT DISTINCT subject_id AS page_id, snippet_id FROM fact")
+def page_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snippets of each page, each once."""
+    return tb.facts(spark, sf_dir).select(F.col("subject_id").alias("page_id"), "snippet_id").dropDuplicates(["page_id", "snippet_id"])
+
+
+@query("SELECT subject_id, object_id, order_key, line, fact.snippet_id, source_url FROM fact LEFT JOIN snippet ON fact.snippet_id = snippet.snippet_id")
+def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.cited(tb.facts(spark, sf_dir), tb.snippets(spark, sf_dir))
+    return found.select("subject_id", "object_id", "order_key", "line", "snippet_id", "source_url")
+
+
+@query("""SELECT page_id, string_agg('<li id="fn-' || number || '">' || coalesce(source_url, '') || '</li>', '' ORDER BY number) AS sources, count(*) AS n_sources
+FROM note LEFT JOIN snippet ON note.snippet_id = snippet.snippet_id GROUP BY page_id""")
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.source_list(tb.facts(spark, sf_dir), tb.snippets(spark, sf_dir))
+
+
+@query("SELECT subject_id AS page_id, max(when_raw) AS updated FROM fact GROUP BY subject_id")
+def last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.last_change(tb.facts(spark, sf_dir))
+
+
+#: A third of the quotations are damaged by a word that no text has.
+QUOTES_SQL = """SELECT doc_id AS quote_id, doc_id AS snippet_id, substr(coalesce(text, ''), 1, 40) || CASE WHEN doc_id % 3 = 0 THEN ' zzqx ' ELSE '... ' END || substr(coalesce(text, ''), 61, 40) AS quote FROM documents WHERE doc_id >= 0"""
+
+
+@query(f"""SELECT quote_id, q.snippet_id, coalesce(len(list_filter(list_filter(list_transform(string_split(quote, '...'), lambda p: trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda p: length(p) > 0),
+       lambda p: NOT contains(trim(regexp_replace(lower(d.text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), p))) = 0, false) AS found
+FROM ({QUOTES_SQL}) q LEFT JOIN documents d ON q.snippet_id = d.doc_id""")
+def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slices of each document as a quotation with an elision; every third one is damaged."""
+    docs = tb.table(spark, sf_dir, "documents").where("doc_id >= 0")
+    text = F.coalesce("text", F.lit(""))
+    quote = F.concat(F.substring(text, 1, 40), F.when(F.col("doc_id") % 3 == 0, " zzqx ").otherwise("... "), F.substring(text, 61, 40))
+    quotes = docs.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("snippet_id"), quote.alias("quote"))
+    return evidence.quote_check(quotes, docs.select(F.col("doc_id").alias("snippet_id"), "text"))
+
+
+CLEAN_SQL = r"""cleaned AS (SELECT page_id, url, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS html FROM pages)"""
+
+
+@query(f""", {CLEAN_SQL} SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, trim(regexp_extract(html, '<html[^>]*\\slang="([^"]*)"', 1)) AS lang,
+       trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS heading FROM cleaned""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.titles(tb.table(spark, sf_dir, "pages"))
+
+
+@query(f""", {CLEAN_SQL}, anchors AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\\s+href="[^"]*"\\s*>.*?</a>') AS a FROM cleaned),
+flat AS (SELECT page_id, unnest(range(len(a))) AS position, unnest(a) AS anchor FROM anchors)
+SELECT page_id, position::BIGINT AS position, regexp_extract(anchor, 'href="([^"]*)"', 1) AS target, trim(regexp_extract(anchor, '(?s)>(.*?)</a>', 1)) AS shown FROM flat""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.links(tb.table(spark, sf_dir, "pages"))
+
+
+@query(f""", {CLEAN_SQL} SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[\\t\\n\\r ]+', ' ', 'g'))) AS n_chars,
+       md5(trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[\\t\\n\\r ]+', ' ', 'g'))) AS digest FROM cleaned""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.plain_text(tb.table(spark, sf_dir, "pages")).select("page_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+#: Entities without those that the index leaves out, so that some links dangle.
+LISTED_SQL = "listed AS (SELECT * FROM entity WHERE kind <> 'nation' OR nation_key IS NOT NULL OR entity_id < 'nation:2')"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.entities(spark, sf_dir).where((F.col("kind") != "nation") | F.col("nation_key").isNotNull() | (F.col("entity_id") < "nation:2"))
+
+
+@query(f", {LISTED_SQL} SELECT other_id AS entity_id, count(*) AS links FROM side WHERE other_id NOT IN (SELECT entity_id FROM listed) GROUP BY other_id")
+def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dangling(tb.edges(spark, sf_dir), _listed(spark, sf_dir))
+
+
+@query(f", {LISTED_SQL} SELECT subject_id, predicate, object_id FROM edge WHERE subject_id IN (SELECT entity_id FROM listed) AND object_id IN (SELECT entity_id FROM listed)")
+def live_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.live(tb.edges(spark, sf_dir), _listed(spark, sf_dir)).select("subject_id", "predicate", "object_id")
+
+
+@query(""", alias AS (SELECT upper(trim(regexp_replace(trim(name), '[^\\p{L}\\p{N}]+', '_', 'g'), '_')) AS key, min(entity_id) AS entity_id FROM entity WHERE kind IN ('nation', 'region', 'customer') GROUP BY 1),
+mention AS (SELECT c_custkey AS mention_id, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN '  ' || replace(c_name, '#', ' - ') ELSE c_name || ' Ltd' END AS surface FROM customer)
+SELECT mention_id, surface, entity_id FROM mention LEFT JOIN alias ON upper(trim(regexp_replace(trim(surface), '[^\\p{L}\\p{N}]+', '_', 'g'), '_')) = key""")
+def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written in three ways, one of which stands for nothing."""
+    aliases = tb.entities(spark, sf_dir).where(F.col("kind").isin("nation", "region", "customer")).select(F.col("name").alias("surface"), "entity_id")
+    k, name = F.col("c_custkey"), F.col("c_name")
+    surface = F.when(k % 3 == 0, F.lower(name)).when(k % 3 == 1, F.concat(F.lit("  "), F.replace(name, F.lit("#"), F.lit(" - ")))).otherwise(F.concat(name, F.lit(" Ltd")))
+    mentions = tb.table(spark, sf_dir, "customer").select(k.alias("mention_id"), surface.alias("surface"))
+    return resolve.resolve(mentions, aliases)
+
+
+@query("""SELECT entity_id, string_agg(DISTINCT surface, ', ' ORDER BY surface) AS aliases FROM (
+SELECT 'nation:' || n_nationkey AS entity_id, upper(n_name) AS surface FROM nation UNION ALL SELECT 'nation:' || n_nationkey, lower(n_name) FROM nation) GROUP BY entity_id""")
+def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = tb.table(spark, sf_dir, "nation").select(tb.ref("nation", "n_nationkey").alias("entity_id"), F.explode(F.array(F.upper("n_name"), F.lower("n_name"))).alias("surface"))
+    return resolve.aliases_of(nations)
+
+
+ESCAPED_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')"
+
+
+@query(f"SELECT page_id, md5({ESCAPED_SQL.format('html')}) AS digest, length({ESCAPED_SQL.format('html')}) AS n_chars FROM pages")
+def escaped_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = tb.table(spark, sf_dir, "pages").select("page_id", tx.escape(F.col("html")).alias("html"))
+    return escaped.select("page_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, 'entity-' || user_id || '.html' AS file_name, 'https://upload-' || substr(sha256(props), 1, 6) AS upload FROM events""")
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times to the minute, file names from ids and short digests of uploads."""
+    rows = tb.table(spark, sf_dir, "events")
+    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.format_string("entity-%d.html", "user_id").alias("file_name"), F.concat(F.lit("https://upload-"), F.substring(F.sha2("props", 256), 1, 6)).alias("upload"))
+
+
+PROFILE_SQL = f"""
+SELECT e.entity_id, 'entity-' || replace(e.entity_id, ':', '-') || '.html' AS file_name,
+  '<h1 class="' || CASE WHEN list_contains(types, 'customer') THEN 'red' ELSE 'green' END || '">' || {ESCAPED_SQL.format("e.name")} || '</h1><p>' || array_to_string(list_sort(types), ', ') || '</p>'
+  || coalesce('<nav>' || {ESCAPED_SQL.format("bar")} || '</nav>', '') || coalesce(body, '<p>No links are recorded</p>') || coalesce('<ol>' || sources || '</ol>', '') AS html
+FROM entity e
+LEFT JOIN (SELECT page_id, string_agg(name, ' · ' ORDER BY lower(name), other_id) AS bar FROM (SELECT DISTINCT page_id, other_id, name FROM named) GROUP BY page_id) b ON b.page_id = e.entity_id
+LEFT JOIN (SELECT page_id, string_agg('<h3>' || {ESCAPED_SQL.format("label")} || ': ' || {ESCAPED_SQL.format("name")} || '</h3>', '' ORDER BY direction = 'in', lower(name), label, other_id) AS body FROM named GROUP BY page_id) h ON h.page_id = e.entity_id
+LEFT JOIN (SELECT page_id, string_agg('<li id="fn-' || number || '">' || {ESCAPED_SQL.format("coalesce(source_url, '')")} || '</li>', '' ORDER BY number) AS sources FROM note LEFT JOIN snippet ON note.snippet_id = snippet.snippet_id GROUP BY page_id) s ON s.page_id = e.entity_id"""
+
+
+@query(PROFILE_SQL)
+def profile_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.profiles(tb.entities(spark, sf_dir), tb.edges(spark, sf_dir), tb.facts(spark, sf_dir), tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED)
+
+
+@query(""", near AS (SELECT DISTINCT page_id, other_id FROM side), first AS (SELECT page_id AS start_id, other_id FROM near WHERE page_id LIKE 'region:%'),
+hop AS (SELECT start_id, near.other_id AS far_id, count(*) AS ways FROM first JOIN near ON first.other_id = near.page_id WHERE near.other_id <> start_id GROUP BY 1, 2)
+SELECT start_id, far_id, ways FROM hop WHERE (start_id, far_id) NOT IN (SELECT start_id, other_id FROM first)""")
+def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies two links from each region."""
+    start = tb.entities(spark, sf_dir).where("kind = 'region'")
+    return graph.two_hops(tb.edges(spark, sf_dir), start)
+
+
+@query("SELECT other_id FROM side WHERE page_id = 'supplier:1' INTERSECT SELECT other_id FROM side WHERE page_id = 'supplier:2'")
+def common_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.common_neighbours(tb.edges(spark, sf_dir), "supplier:1", "supplier:2")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole profile of one customer: header, neighbours, headings with their facts, numbered sources."""
+    one = F.col("subject_id") == "customer:1"
+    entities, labels = tb.entities(spark, sf_dir), tb.predicate_labels(spark)
+    edges = tb.edges(spark, sf_dir).where(one | (F.col("object_id") == "customer:1"))
+    facts = tb.facts(spark, sf_dir).where(one)
+    page = pages.profiles(entities.where("entity_id = 'customer:1'"), edges, facts, tb.snippets(spark, sf_dir), labels, RED)
+    headings = graph.sections(edges, entities, labels).where("page_id = 'customer:1'")
+    shown = evidence.edge_facts(facts).select(F.col("object_id").alias("other_id"), "n_facts", "total_cents", F.array_join(F.transform("facts", lambda x: F.concat_ws(" ", x["when_raw"], x["confidence"])), "; ").alias("facts"))
+    return headings.join(shown, "other_id", "left").join(page.select("entity_id", F.char_length("html").alias("page_chars")), headings["page_id"] == page["entity_id"]).select("page_id", "position", "direction", "label", "other_id", "name", "n_facts", "total_cents", "facts", "page_chars").orderBy("position")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total_cents FROM events GROUP BY 1, 2""")
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.daily(tb.table(spark, sf_dir, "events"))
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query(""", gap AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gap)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.sessions(tb.table(spark, sf_dir, "events"))
