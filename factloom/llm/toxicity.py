@@ -29,7 +29,7 @@ PER_CLASS = 4000
 #: Features of the model, at most.
 FEATURES = 4000
 #: Lengths of the n-grams, blanks at a word's ends included.
-LENGTHS = (3, 4, 5)
+LENGTHS = (4, 6, 8)
 #: Sampled texts that must hold an n-gram.
 LEAST_TEXTS = 3
 #: Added to each count before the ratio is taken.
