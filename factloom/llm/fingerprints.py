@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of, with_text
+from factloom.llm.common import materialise, text_of, with_text
 
 #: Words of a term.
 SHINGLE = 5
@@ -196,3 +196,17 @@ def search(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int |
     pairs = pairs.where(F.array_position(same, True) == F.col("table") + 1)
     pairs = pairs.withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance")
+
+
+def count_within(rows: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """rows (with a column fingerprint) and n_within: how many rows have a fingerprint within the radius.
+
+    It is counted for the rows for which asked holds, their own row included, and null for the others.
+    Fingerprints are counted before they are joined, so that copies cost one row.
+    """
+    rows = materialise(rows, "fingerprints")
+    queries = rows.where(asked).select("fingerprint")
+    copies = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = search(rows, queries, radius).join(copies, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
+    others = rows.where(F.coalesce(~asked, F.lit(True))).withColumn("n_within", F.lit(None).cast("long"))
+    return rows.where(asked).join(near, "fingerprint").select(others.columns).unionByName(others)

@@ -57,3 +57,15 @@ def test_search_finds_all_within_the_radius(spark):
         found = [tuple(x) for x in fp.search(table, queries, 3, blocks).collect()]
         assert len(found) == len(set(found))
         assert set(found) == expected
+
+
+def test_rows_within_the_radius_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    table = [(k, f"{x:032x}") for k, x in enumerate([0, 0, 1, 3, 7, 15, 31 << 60, 0])] + [(None, f"{0:032x}")]
+    df = spark.createDataFrame(table, "doc_id bigint, fingerprint string")
+    got = {x.doc_id: x.n_within for x in fp.count_within(df, F.col("doc_id") % 2 == 0, 3).collect()}
+    value = lambda x: int(x[1], 16)
+    expected = {x[0]: sum((value(x) ^ value(y)).bit_count() <= 3 for y in table) if x[0] is not None and x[0] % 2 == 0 else None for x in table}
+    assert got == expected
+    assert fp.count_within(df.limit(0), F.col("doc_id") % 2 == 0).count() == 0
