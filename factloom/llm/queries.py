@@ -21,8 +21,9 @@ TOKEN_LIMIT = 512
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document and of its edited text."""
-    return fingerprints.with_neighbours(documents(spark, sf_dir))
+    """SimHash of every document and of its edited text; for every fiftieth id how many documents are within 3 bits."""
+    found = fingerprints.with_neighbours(documents(spark, sf_dir))
+    return fingerprints.count_within(found, F.col("doc_id") % 50 == 0, radius=3)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +49,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is cut out of every document because an earlier place has it, and what is left."""
+    """Every passage that is cut out of a document because an earlier place has it, with the document that keeps it.
+
+    A document that nothing is cut out of has no row; left_sha256 is the digest of what is left of the text.
+    """
     left = substring_dedup.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
-    sizes = F.transform("cut_spans", lambda x: x["end"] - x["start"])
-    return left.select(
-        "doc_id",
-        F.size("cut_spans").cast("long").alias("n_cuts"),
-        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("cut_chars"),
-        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("left_chars"),
-        F.col("cut_spans"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"),
-    )
+    rows = left.select("doc_id", F.sha2("text", 256).alias("left_sha256"), F.char_length("text").cast("long").alias("left_chars"), F.inline("cut_spans"))
+    return rows.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("first").alias("kept_in_doc_id"), "left_chars", "left_sha256")
 
 
 def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from factloom.llm.common import materialise, text_of, with_text
 MIN_BYTES, MASK, MAX_BYTES = 24, 31, 192
 #: Words that a run of repeated chunks must hold in whole or in part to be cut.
 LEAST_WORDS = 20
+#: Stands for a null id.
+LEAST = -(1 << 63)
 #: Bytes whose hashes are found at once.
 BLOCK = 1 << 22
 
@@ -102,7 +105,7 @@ def _chunks(batches):
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> list:
     """The id (null: the smallest number) and version (a hash of the text) that name a document here."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.hash(text_of(text_col))]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.hash(text_of(text_col))]
 
 
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,37 +116,41 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """id, version and place of the chunks that stand earlier too: in a smaller id or before in their own text."""
+    """id, version, place and first of the chunks that stand earlier too: in a smaller id or before in their own text.
+
+    first is the smallest id that has the chunk.
+    """
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     firsts = firsts.where(F.col("n") > 1).drop("n")
-    return found.join(firsts, "digest").where((F.col("id") > F.col("first")) | F.col("again")).select("id", "version", "place")
+    return found.join(firsts, "digest").where((F.col("id") > F.col("first")) | F.col("again")).select("id", "version", "place", "first")
 
 
 def spans(repeated: DataFrame) -> DataFrame:
-    """id, version and the sorted places of each document's repeats (no more than its own chunks)."""
-    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    """id, version and the sorted places of each document's repeats with their firsts (no more than its own chunks)."""
+    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("place", "first"))).alias("places"))
 
 
-def runs_of(places: list[int]) -> list[tuple[int, int]]:
-    """Adjoining places as runs of bytes."""
-    runs: list[tuple[int, int]] = []
-    for place in places:
+def runs_of(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Adjoining places (place, first) as runs of bytes, each with the first that most of its chunks have."""
+    runs: list[tuple[int, int, Counter]] = []
+    for place, first in places:
         start, end = place // 256, place // 256 + place % 256
         if runs and runs[-1][1] == start:
-            runs[-1] = (runs[-1][0], end)
+            runs[-1] = (runs[-1][0], end, runs[-1][2])
         else:
-            runs.append((start, end))
-    return runs
+            runs.append((start, end, Counter()))
+        runs[-1][2][first] += 1
+    return [(start, end, min(firsts, key=lambda x: (-firsts[x], x))) for start, end, firsts in runs]
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def cut(text: str, runs: list[tuple[int, int]], least_words: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the runs of least_words words, and what was cut as character positions."""
+def cut(text: str, runs: list[tuple[int, int, int]], least_words: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without the runs of least_words words, and what was cut as character positions with its first."""
     data = text.encode()
     kept, gone, at = [], [], 0
-    for start, end in runs:
+    for start, end, first in runs:
         if len(WORD.findall(data[start:end])) < least_words:
             continue
         while start > 0 and start < end and data[start] & 0xC0 == 0x80:  # whole characters only
@@ -151,10 +158,10 @@ def cut(text: str, runs: list[tuple[int, int]], least_words: int) -> tuple[str,
         while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
             end -= 1
         kept.append(data[at:start])
-        gone.append((start, end))
+        gone.append((start, end, first))
         at = end
     kept.append(data[at:])
-    places = [(len(data[:a].decode()), len(data[:b].decode())) for a, b in gone]
+    places = [(len(data[:a].decode()), len(data[:b].decode()), first) for a, b, first in gone]
     return b"".join(kept).decode(), places
 
 
@@ -163,7 +170,8 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
     Of passages that repeat, those in the row with the smallest id stay (null ids first); repeats
     inside one text count too, the first stays. Rows that share an id are not held against each other. spans_col (none if None) is an
-    array of struct(start, end) in characters of the whole text, empty where nothing was cut.
+    array of struct(start, end, first) in characters of the whole text, empty where nothing was cut; first
+    is the id that keeps the passage (of most of its chunks).
     Null texts stay null and cut nothing; texts that repeat whole become empty; no row is dropped.
     Other columns stay as they are, an empty table stays empty.
     """
@@ -175,19 +183,19 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     rows = rows.join(found, ["__id", "__version"], "left").drop("__id", "__version")
     names = [c for c in rows.columns if c != "__places"]
     at = names.index(text_col)
-    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             texts, places = batch.column(at).to_pylist(), []
             for k, own in enumerate(batch.column(len(names)).to_pylist()):
-                gone: list[tuple[int, int]] = []
+                gone: list[tuple[int, int, int]] = []
                 if own and texts[k]:
-                    texts[k], gone = cut(texts[k], runs_of(own), least_words)
-                places.append([{"start": a, "end": b} for a, b in gone])
+                    texts[k], gone = cut(texts[k], runs_of([(x["place"], x["first"]) for x in own]), least_words)
+                places.append([{"start": a, "end": b, "first": None if first == LEAST else first} for a, b, first in gone])
             columns = [*batch.columns[: len(names)]]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places, pair)] if spans_col else [])], names=[*names, *([spans_col] if spans_col else [])])
 
-    schema = rows.drop("__places").select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias(spans_col)] if spans_col else [])).schema
+    schema = rows.drop("__places").select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint, first: bigint>>").alias(spans_col)] if spans_col else [])).schema
     return rows.mapInArrow(run, schema)

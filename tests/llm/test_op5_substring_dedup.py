@@ -45,7 +45,7 @@ def brute(table, least):
         seen, again = set(), []
         for a, b, x in parts:
             if first[x] < own or x in seen:
-                again.append(a * 256 + b - a)
+                again.append((a * 256 + b - a, first[x]))
             seen.add(x)
         out[own, text] = sd.cut(text, sd.runs_of(again), least) if text else (text, [])
     return out
@@ -57,7 +57,7 @@ def test_matches_a_plain_version(spark):
     expected = brute(table, 20)
     got = sd.dedupe(frame(spark)).collect()
     assert len(got) == len(rows())
-    left = {(x.doc_id, x.text, tuple((s.start, s.end) for s in x.cut_spans)) for x in got}
+    left = {(x.doc_id, x.text, tuple((s.start, s.end, least if s.first is None else s.first) for s in x.cut_spans)) for x in got}
     assert left == {(None if own == least else own, text, tuple(gone)) for (own, _), (text, gone) in expected.items()}
 
 
@@ -73,6 +73,7 @@ def test_long_passages_are_cut_and_clean_texts_are_not(spark):
     assert all(not got[100 + k].cut_spans for k in range(10))
     later = [got[100 + k] for k in range(10, 40)]
     assert sum(bool(x.cut_spans) for x in later) >= 29
+    assert all(s.first == 100 + (x.doc_id - 100) % 10 for x in later for s in x.cut_spans)
     assert sum(s.end - s.start for x in later for s in x.cut_spans) > 0.5 * sum(len(passages[k % 10]) for k in range(10, 40))
 
 
