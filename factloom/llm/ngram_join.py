@@ -3,9 +3,11 @@
 1. Each text becomes the set of hashes of its shingles. Texts with one set are one class, so copies
    cost nothing from here on.
 2. Shingles are ordered by how often they are known to be shared (those seen twice or more within a
-   batch are counted over the corpus), rarest first. Two sets that link share one of the first
-   size - ceil(threshold * size) + 1 shingles of each in any common order; sets that share such a
-   prefix shingle, directly or through others, form a block, and no link leaves a block.
+   batch are counted over the corpus), rarest first, then by hash. Two sets that link share one of the
+   first size - ceil(threshold * size) + 1 shingles of each, the prefixes. Where few sets share a prefix
+   shingle, pairs are kept only if they share enough of the prefix that ends first: what that one has
+   alone must not exceed what a link allows. Where many share one, they are kept together. Sets that are
+   kept together, directly or through others, form a block, and no link leaves a block.
 3. The sets of a block are stored in a prefix tree, most shared shingles first. Each set walks the
    tree once: overlaps are summed up along shared paths, and a subtree is left as soon as the shingles
    that remain on both sides cannot make up the overlap that its smallest set needs.
@@ -38,42 +40,89 @@ CHUNK, PIVOTS = 256, 8
 #: Shingles counted as frequent from so many sets on, and at most so many of them (the most frequent;
 #: 16 MB where tasks use them). The order steers the work only: any order gives the same links.
 FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
+#: Sets that share a prefix shingle and are paired by it; more are kept together as they are.
+PAIRED = 16
 #: Rows of a table of numbers up to which it is broadcast (24 MB); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that are counted together in search of repeats.
 BATCH_SHINGLES = 4_000_000
-WORD_CACHE = 500_000
+#: Bytes of text whose words are hashed together.
+PIECE = 1 << 20
+#: Sets that a task remembers so as not to emit them twice (a saving; what it forgets is dropped later).
+REMEMBERED = 500_000
 
 #: Odd numbers that mix the hashes of a shingle's words.
 MIX = tuple(np.uint64(int.from_bytes(xxhash.xxh3_128_digest(f"shingle {k}")[:8], "big") | 1) for k in range(16))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
+#: A random number for each byte value (lower-casing A-Z), none for ASCII white space; and an odd base with its inverse.
+BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([k]).lower(), seed=1) for k in range(256)], np.uint64)
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+BYTES[SPACES] = 0
+BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    """A hash of each word of data: the sum of BYTES[byte] * BASE ** (its place in the word), mixed."""
+    raw = np.frombuffer(data, np.uint8)
+    space = SPACES[raw]
+    change = np.flatnonzero(np.diff(space, prepend=True, append=True))  # where words start and end, in turn
+    starts, ends = change[::2], change[1::2]
+    powers, inverse = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[raw] * powers[: len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= h >> np.uint64(32)
+    h *= MIX[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word. Long texts are cut between words, so that tables stay small."""
+    if len(data) <= PIECE:
+        return _hashes(data)
+    found, start = [], 0
+    while start < len(data):
+        end = start + PIECE
+        while end < len(data) and not SPACES[data[end]]:
+            end += 1
+        found.append(_hashes(data[start:end]))
+        start = end
+    return np.concatenate(found)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles: size words, or all words if there are fewer."""
-    words = (text or "").encode().lower().split()  # bytes: lower-cases A-Z only, splits at ASCII white space
-    if not words:
+    """The sorted hashes of a text's distinct shingles: size words, or all words if there are fewer.
+
+    Words are runs of anything but ASCII white space, with A-Z in lower case.
+    """
+    data = (text or "").encode()
+    h = word_hashes(data)
+    if not len(h):
         return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    if len(h) < size:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
     n = len(h) - size + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(size):
         part = h[k : k + n]
-        mixed += (part ^ (part >> np.uint64(29 + k))) * MIX[k]
+        mixed += (part ^ (part >> np.uint64(31 + k))) * MIX[k + 1]
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -137,38 +186,55 @@ def _signatures(shingle: int):
     return run
 
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
-    """tokens rarest first, and how many of them are not frequent. frequent is sorted."""
+def ordered(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tokens rarest first, with their known counts (0: not frequent). frequent is sorted."""
     if not len(frequent):
-        return tokens, len(tokens)
+        return tokens, np.zeros(len(tokens), np.int64)
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
     rank = np.where(frequent[at] == tokens, times[at], 0)
-    return tokens[np.lexsort((tokens, rank))], int((rank == 0).sum())
+    order = np.lexsort((tokens, rank))
+    return tokens[order], rank[order]
+
+
+SIGN = np.uint64(1 << 63)
+PREFIXES = "token bigint, set_id bigint, n bigint, size bigint, last_times bigint, last bigint, rare bigint"
+
+
+def signed(tokens: np.ndarray) -> np.ndarray:
+    """Hashes as signed numbers in the same order."""
+    return (tokens ^ SIGN).view(np.int64)
 
 
 def _prefixes(shingle: int, percent: int, frequent: np.ndarray, times: np.ndarray):
+    """Rows (token, set_id) of each prefix shingle of each set, and a row without a token for each set.
+
+    The latter has the set's size, its prefix's size and last place in the order, and how many of the
+    set's shingles are not frequent.
+    """
+    names = ["token", "set_id", "n", "size", "last_times", "last", "rare"]
+
     def run(batches):
         done: set[int] = set()
         for whole in batches:
             for batch in _slices(whole):
-                tokens, ids, sizes, rare = [np.zeros(0, np.uint64)], [], [], []
-                counts = []
+                tokens, counts, rest = [np.zeros(0, np.int64)], [], []
                 for text in batch.column(0).to_pylist():
                     own = shingle_set(text, shingle)
                     key = set_id(own)
                     if not len(own) or key in done:
                         continue
-                    if len(done) < WORD_CACHE:
+                    if len(done) < REMEMBERED:
                         done.add(key)
-                    first, unshared = ordered(own, frequent, times)
-                    first = first[: prefix_length(len(own), percent)]
-                    tokens.append(first)
-                    counts.append(len(first))
-                    ids.append(key)
-                    sizes.append(len(own))
-                    rare.append(unshared)
-                repeat = lambda x: pa.array(np.repeat(np.array(x, np.int64), counts))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), repeat(ids), repeat(sizes), repeat(rare)], names=["token", "set_id", "n", "rare"])
+                    size = prefix_length(len(own), percent)
+                    first, ranks = ordered(own, frequent, times)
+                    tokens.append(signed(first[:size]))
+                    counts.append(size)
+                    rest.append((key, len(own), size, int(ranks[size - 1]), int(tokens[-1][-1]), int((ranks == 0).sum())))
+                table = np.array(rest, np.int64).reshape(-1, 6)
+                none = lambda n, k: [pa.nulls(n, pa.int64())] * k
+                flat = np.concatenate(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(table[:, 0], counts)), *none(len(flat), 5)], names=names)
+                yield pa.RecordBatch.from_arrays([*none(len(table), 1), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(6))], names=names)
 
     return run
 
@@ -273,14 +339,16 @@ def _joined(percent: int):
             yield from join(((i, np.frombuffer(t, np.uint64), p, c) for i, t, p, c in held), percent)
 
     def run(batches):
-        key, held = None, []
+        key, held, seen = None, [], set()
         for batch in batches:
             out: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != key:
                     out += found(held)
-                    key, held = row[:2], []
-                held.append(row[2:])
+                    key, held, seen = row[:2], [], set()
+                if row[2] not in seen:
+                    seen.add(row[2])
+                    held.append(row[2:])
             yield _pairs(out)
         yield _pairs(list(found(held)))
 
@@ -292,15 +360,18 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _tokens(shingle: int):
-    """Adds the packed shingle set to rows (text, set_id, ...) whose set it is; drops the others."""
+    """Adds the packed shingle set to rows (text, set_id, ...) whose set it is; drops the others, and repeats."""
 
     def run(batches):
+        seen: set[int] = set()
         for whole in batches:
             for batch in _slices(whole):
                 keep, packed = [], []
                 for k, (text, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                     tokens = shingle_set(text, shingle)
-                    if set_id(tokens) == own:
+                    if set_id(tokens) == own and own not in seen:
+                        if len(seen) < REMEMBERED:
+                            seen.add(own)
                         keep.append(k)
                         packed.append(tokens.tobytes())
                 rest = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[1:]]
@@ -314,6 +385,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _near(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (first, set_id) that hold together the sets that may link."""
+    places = prefixes.where("token is not null").select("token", "set_id")
+    shared = places.groupBy("token").agg(F.min("set_id").alias("first"), F.max("set_id").alias("second")).where("first < second")
+    shared = materialise(shared.select("token", "first"), "shared")
+    found = materialise(places.join(_small(shared), "token"), "shared-prefixes").distinct()
+    sets = found.groupBy("token").agg(F.count("*").alias("sets"))
+    found = materialise(found.join(sets, "token"), "shared-prefixes")
+    together = found.where((F.col("sets") > PAIRED) & (F.col("set_id") != F.col("first"))).select("first", "set_id")
+    known = prefixes.where("token is null").select("set_id", "n", "size", F.struct("last_times", "last").alias("end")).dropDuplicates(["set_id"])
+    few = found.where(F.col("sets") <= PAIRED).select("token", "set_id").join(known, "set_id")
+    a, b = few.alias("a"), few.alias("b")
+    close = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & close)
+    ends_first = F.col("a.end") <= F.col("b.end")
+    need = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent) - 1e-9)
+    alone = F.when(ends_first, F.col("a.n")).otherwise(F.col("b.n")) - need  # shingles that this one may have alone
+    least = F.when(ends_first, F.col("a.size")).otherwise(F.col("b.size")) - alone
+    pairs = pairs.groupBy(F.col("a.set_id").alias("first"), F.col("b.set_id").alias("set_id"), least.alias("least")).agg(F.count_distinct("a.token").alias("common"))
+    return together.unionByName(pairs.where(F.col("common") >= F.col("least")).select("first", "set_id")).distinct()
+
+
 def _in_groups(df: DataFrame, percent: int) -> DataFrame:
     rows = df.select("block", "chunk", "set_id", "tokens", "probe", "component")
     return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_joined(percent), "a bigint, b bigint")
@@ -348,11 +441,8 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     docs = signatures.where("set_id is not null").select("doc", "key", "n", "set_id")
     frequent, times = _frequent(signatures)
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(shingle, percent, frequent, times), "token bigint, set_id bigint, n bigint, rare bigint")
-    prefixes = materialise(prefixes, "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first < last")
-    shared = materialise(shared.select("token", "first"), "shared")
-    near = prefixes.join(_small(shared), "token").where("set_id <> first").select("first", "set_id")
+    prefixes = materialise(rows.select("text").mapInArrow(_prefixes(shingle, percent, frequent, times), PREFIXES), "prefixes")
+    near = materialise(_near(prefixes, percent), "near")
     blocks = materialise(components(near).select(F.col("node").alias("set_id"), F.col("root").alias("block")), "blocks")
 
     kept = docs.where("n > 0").groupBy("set_id", "n").agg(F.min("doc").alias("least"), F.min("key").alias("key"))
@@ -362,10 +452,10 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     active = materialise(active.join(kept.select("set_id", "key"), "set_id"), "active")
     texts = rows.join(_small(active), "key").select("text", "set_id", "block", "chunk", "chunks")
     texts = texts.mapInArrow(_tokens(shingle), "set_id bigint, block bigint, chunk bigint, chunks bigint, tokens binary")
-    texts = materialise(texts.dropDuplicates(["set_id"]), "active-sets")
+    texts = materialise(texts, "active-sets")
 
     own = texts.select("block", "chunk", "chunks", "set_id", "tokens", F.lit(False).alias("probe"), F.col("set_id").alias("component"))
-    rare = prefixes.join(_small(active.where("chunks > 1").select("set_id", "block")), "set_id").groupBy("block", "set_id").agg(F.min("rare").alias("rare"), F.max("n").alias("n"))
+    rare = prefixes.where("token is null").join(active.where("chunks > 1").select("set_id", "block"), "set_id").groupBy("block", "set_id").agg(F.min("rare").alias("rare"), F.max("n").alias("n"))
     first = F.row_number().over(W.partitionBy("block").orderBy("rare", F.col("n").desc(), "set_id"))
     pivots = rare.withColumn("first", first).where(F.col("first") <= PIVOTS).select("set_id")
     everywhere = own.where("chunks > 1").join(pivots, "set_id").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("to <> chunk")
