@@ -39,9 +39,9 @@ from factloom.llm.components import components
 CHUNK, PIVOTS = 256, 8
 #: Shingles counted as frequent from so many sets on, and at most so many of them (the most frequent;
 #: 16 MB where tasks use them). The order steers the work only: any order gives the same links.
-FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
+FREQUENT_FROM, FREQUENT_MOST = 3, 1_000_000
 #: Sets that share a prefix shingle and are paired by it; more are kept together as they are.
-PAIRED = 16
+PAIRED = 64
 #: Rows of a table of numbers up to which it is broadcast (24 MB); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that are counted together in search of repeats.
@@ -390,7 +390,7 @@ def _near(prefixes: DataFrame, percent: int) -> DataFrame:
     places = prefixes.where("token is not null").select("token", "set_id")
     shared = places.groupBy("token").agg(F.min("set_id").alias("first"), F.max("set_id").alias("second")).where("first < second")
     shared = materialise(shared.select("token", "first"), "shared")
-    found = materialise(places.join(_small(shared), "token"), "shared-prefixes").distinct()
+    found = materialise(places.join(shared, "token"), "shared-prefixes").distinct()
     sets = found.groupBy("token").agg(F.count("*").alias("sets"))
     found = materialise(found.join(sets, "token"), "shared-prefixes")
     together = found.where((F.col("sets") > PAIRED) & (F.col("set_id") != F.col("first"))).select("first", "set_id")
