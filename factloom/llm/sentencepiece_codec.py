@@ -29,8 +29,8 @@ from factloom.llm.common import text_of, with_text
 
 SPACE = "▁"
 #: Entries each worker keeps; a full cache is emptied, so memory stays bounded.
-SEGMENT_CACHE = 400_000
-PAIR_CACHE = 1_000_000
+SEGMENT_CACHE = 250_000
+PAIR_CACHE = 500_000
 #: Texts are handled in slices of about so many characters, which bounds an output batch.
 SLICE_CHARS = 4_000_000
 #: Below any score: the pair is no piece.
@@ -269,13 +269,14 @@ def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, kind: s
     return df.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids and decoded of each row: encoding, then decoding of those ids, in one pass over the rows.
+def round_trip(df: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns keep, ids and decoded of each row: encoding, then decoding of those ids, in one pass over the rows.
 
     Null texts count as empty: no ids, an empty decoded text.
     """
-    narrow = df.select(id_col, text_of(text_col).alias("__text"))
-    schema = narrow.select(id_col, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+    narrow = df.select(*keep, text_of(text_col).alias("__text"))
+    schema = narrow.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+    n = len(keep)
 
     def run(batches):
         model = codec(model_path)
@@ -283,7 +284,7 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_CHARS // max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                ids = _encode_column(model, part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, _decode_column(model, ids)], names=[id_col, "ids", "decoded"])
+                ids = _encode_column(model, part.column(n))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids, _decode_column(model, ids)], names=[*keep, "ids", "decoded"])
 
     return narrow.mapInArrow(run, schema)

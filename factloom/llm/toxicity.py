@@ -51,7 +51,7 @@ def plain(text: str) -> str:
     return f" {NOT_WORD.sub(' ', text.lower()).strip()} "
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def word_grams(word: str) -> tuple[str, ...]:
     padded = f" {word} "
     return tuple({padded[k : k + n] for n in LENGTHS for k in range(len(padded) - n + 1)})
