@@ -48,9 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the digests of ids and decoded text of each document."""
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    path = tokenizer_path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, path).drop("text"), path)
+    coded = sentencepiece_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "source"))
     return coded.select(
         "doc_id",
         "source",
