@@ -67,7 +67,8 @@ def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = rasters.with_images(vectors, "embedding", "vec_id")
     asked = rasters.with_images(vectors.where(F.col("vec_id") % 50 == 0), "embedding", "vec_id", edit=True)
     found = media.find_copies(images, asked, "media", "vec_id")
-    return found.select(F.col("query_id").alias("query_vec_id"), F.col("first_id").alias("vec_id"), "members", "votes", "turn", "scale", "dx", "dy")
+    copy = F.struct(F.col("first_id").alias("vec_id"), "members", "votes", "turn", "scale", "dx", "dy")
+    return found.groupBy(F.col("query_id").alias("query_vec_id")).agg(F.count("*").alias("n_copies"), F.array_sort(F.collect_list(copy)).alias("copies"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
