@@ -10,7 +10,7 @@ A merge-type (BPE) model is encoded by backtracking instead of by a merge queue:
 
 A sequence of pieces whose neighbours are all compatible is the one the merge queue makes, so
 the result is exact. Texts are cut where no piece of the vocabulary can cross, and the ids of
-such a segment are kept in a bounded cache, so that each task encodes a frequent word once.
+such a segment are kept in a bounded cache for the time of a task, which so encodes a frequent word once.
 """
 
 from __future__ import annotations
@@ -96,6 +96,11 @@ class PieceCodec:
         self.shown = [self._shown(i) for i in ids]
         self._check(model)
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that waits for its next task holds no memory that others need."""
+        for cache in (self.compatible, self.segments, self.words):
+            cache.clear()
+
     def _check(self, model) -> None:
         """Refuses models whose normaliser is not the one that encode() assumes."""
         for probe in ("", " ", "a", " a  b ", "A\n\tbé一ﬁ x", "12 \U0001f600\U0001f600 x<s></s>"):
@@ -265,6 +270,7 @@ def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, kind: s
                 part = batch.slice(start, rows)
                 column = part.column(part.schema.get_field_index(source))
                 yield pa.RecordBatch.from_arrays([*part.columns, convert(model, column).cast(arrow)], schema=part.schema.append(pa.field(target, arrow)))
+        model.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -286,5 +292,6 @@ def round_trip(df: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id"
                 part = batch.slice(start, rows)
                 ids = _encode_column(model, part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], ids, _decode_column(model, ids)], names=[*keep, "ids", "decoded"])
+        model.forget()
 
     return narrow.mapInArrow(run, schema)
