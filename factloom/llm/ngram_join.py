@@ -346,8 +346,9 @@ def _joined(percent: int):
                 if row[:2] != key:
                     out += found(held)
                     key, held, seen = row[:2], [], set()
-                if row[2] not in seen:
-                    seen.add(row[2])
+                own = (row[2], row[4])  # a set may be stored and probe in one run
+                if own not in seen:
+                    seen.add(own)
                     held.append(row[2:])
             yield _pairs(out)
         yield _pairs(list(found(held)))

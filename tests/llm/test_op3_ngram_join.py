@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import empty, frame, rows
 
@@ -100,3 +101,27 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a bigint, b bigint")
     assert {x.node: x.root for x in components(df).collect()} == {k: find(k) for k in root}
     assert components(df.limit(0)).count() == 0
+
+
+def test_sets_outside_the_largest_component_are_stored_and_probe():
+    """Two sets of one part and two chunks, each in the other's group as a probe and in its own as both."""
+    x, y = np.arange(20, dtype=np.uint64).tobytes(), np.arange(1, 21, dtype=np.uint64).tobytes()
+    both = [(True, 0), (True, 1), (False, 0), (False, 1)]
+    table = [(7, chunk, k, t, probe, k) for probe, chunk in both for k, t in ((1, x), (2, y)) if probe or chunk == k - 1]
+    table.sort(key=lambda row: (row[1], not row[4]))  # probe copies come first
+    batch = pa.RecordBatch.from_pylist([dict(zip(("block", "chunk", "set_id", "tokens", "probe", "component"), row, strict=True)) for row in table])
+    links = {frozenset(row.values()) for out in nj._joined(85)([batch]) for row in out.to_pylist()}
+    assert links == {frozenset((1, 2))}
+
+
+def test_a_large_block_of_many_small_pairs(spark, monkeypatch):
+    """Pairs that link with nothing else, spread over the chunks of one block."""
+    monkeypatch.setattr(nj, "CHUNK", 64)
+    monkeypatch.setattr(nj, "PIVOTS", 2)
+    monkeypatch.setattr(nj, "FREQUENT_FROM", 10**9)  # the shared passage is not known as frequent
+    shared = " ".join(f"s{k}" for k in range(50))
+    table = [(k, f"{shared} {x}") for k, x in copies(5, 1, 60, 25, 1)]
+    for k, x in copies(6, 32, 1, 25, 0):
+        table += [(1000 + 2 * k, f"{shared} {x}"), (1001 + 2 * k, f"{shared} {x} end")]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    assert found(df) == brute(table, 4, 85)
