@@ -82,19 +82,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-#: Sharding: the wanted size of a file, the size up to which a shard is small, and arrivals in each of two waves.
+#: Sharding: the wanted size of a file, the size up to which a shard is small, and arrivals in each of two waves, at least.
 SHARD_BYTES, SMALL_BYTES, WAVES = 32 << 20, 1 << 20, (48, 16)
+#: Bytes of input in an arrival, about and at most: larger tables make more arrivals.
+ARRIVAL_BYTES = 8 << 20
+
+
+def arrivals_of(size: int) -> tuple[int, int]:
+    """The arrivals in each wave for so many bytes of input."""
+    n = max(sum(WAVES), -(-size // ARRIVAL_BYTES))
+    first = n * WAVES[0] // sum(WAVES)
+    return first, n - first
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document after two waves of arrivals, each compacted, with its text's digest read back."""
     docs = documents(spark, sf_dir)
     store = sharding.ShardStore(spark, shared_folder(spark, "shards"), SHARD_BYTES, SMALL_BYTES)
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(sum(WAVES)))
-    rows = docs.withColumn("__arrival", arrival)
-    store.append(rows.where(F.col("__arrival") < WAVES[0]), "__arrival")
+    size = docs.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
+    first, second = arrivals_of(size)
+    rows = docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(first + second)))
+    # an arrival is one small file, whatever the number of tasks
+    store.append(rows.where(F.col("__arrival") < first).repartition("__arrival"), "__arrival")
     store.compact(docs.schema)
-    store.append(rows.where(F.col("__arrival") >= WAVES[0]), "__arrival")
+    store.append(rows.where(F.col("__arrival") >= first).repartition("__arrival"), "__arrival")
     store.compact(docs.schema)
     return store.located(docs.schema).select("doc_id", "shard", "tier", "version", "shard_rows", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

@@ -2,8 +2,8 @@
 
 A store is a folder of immutable Parquet shards and numbered manifests. Arrivals are appended as small
 shards, one for each arrival. A shard's tier is the power of FAN_IN by which it is larger than a small
-shard. compact() takes runs of FAN_IN or more shards of one tier, merges them into files of about
-target_bytes, and commits a manifest that names the new shards instead of the old ones. A manifest is
+shard (its files on average). compact() takes runs of FAN_IN or more files of one tier, in folders that
+are smaller than target_bytes or whose files are, merges them into files of about target_bytes, and commits a manifest that names the new shards instead of the old ones. A manifest is
 written beside its name and then renamed to it, which fails if that version is there already, so each
 version is committed by one writer and readers see whole versions only. Shards that no manifest names
 are left-overs of failed writers; vacuum() deletes them.
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import hadoop_path, path_exists
 
-#: Shards of one tier that are merged, at least.
+#: Files of one tier that are merged, at least.
 FAN_IN = 4
+#: Runs that one job merges, so that its plan stays small.
+RUNS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,7 @@ class Shard:
     bytes: int
     tier: int
     version: int
+    files: int = 1
 
 
 class Conflict(RuntimeError):
@@ -84,13 +87,14 @@ class ShardStore:
             raise Conflict(f"version {version} is committed already")
         return version
 
-    def tier(self, size: int) -> int:
+    def tier(self, size: float) -> int:
         return max(0, int(math.log(max(1, size / self.small_bytes), FAN_IN) + 1e-9))
 
     def _measured(self, name: str, version: int, rows: int) -> Shard:
         fs, at = hadoop_path(self.spark, f"{self.path}/shards/{name}")
         size = fs.getContentSummary(at).getLength()
-        return Shard(name, rows, size, self.tier(size), version)
+        files = max(1, sum(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(at)))
+        return Shard(name, rows, size, self.tier(size / files), version, files)
 
     def append(self, arrivals: DataFrame, arrival_col: str) -> int:
         """Adds the rows as one shard for each number in arrival_col (null counts as one), in one version.
@@ -126,35 +130,39 @@ class ShardStore:
         rows = rows.withColumn("__at", F.element_at(known, name))
         return rows.select(*(F.col(c) for c in schema.names), *(F.col("__at")[k].alias(c) for k, c in enumerate(("shard", "tier", "version", "shard_rows"))))
 
+    def done(self, shard: Shard) -> bool:
+        """Whether a shard has the target size and files of at least half of it, on average."""
+        return shard.bytes >= self.target_bytes and 2 * shard.bytes >= self.target_bytes * shard.files
+
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """The runs to merge: FAN_IN or more shards of one tier below the target size."""
+        """The runs to merge: shards of one tier that are not done, with FAN_IN or more files."""
         tiers: dict[int, list[Shard]] = {}
         for shard in shards:
-            if shard.bytes < self.target_bytes:
+            if not self.done(shard):
                 tiers.setdefault(shard.tier, []).append(shard)
         runs = []
         for tier in sorted(tiers):
             run: list[Shard] = []
             for shard in sorted(tiers[tier], key=lambda x: (x.version, x.name)):
                 run.append(shard)
-                if sum(x.bytes for x in run) >= self.target_bytes and len(run) >= FAN_IN:
+                if sum(x.bytes for x in run) >= self.target_bytes and sum(x.files for x in run) >= FAN_IN:
                     runs.append(run)
                     run = []
-            if len(run) >= FAN_IN:
+            if sum(x.files for x in run) >= FAN_IN:
                 runs.append(run)
         return runs
 
     def merge(self, runs: list[list[Shard]], schema) -> int:
         """Merges each run into files of about target_bytes and commits the outcome as the next version.
 
-        All runs are merged by one job without a shuffle: each file is written by one task, which reads
-        its share of the run's small files one after the other.
+        All runs are merged by one job. A run that fits one file is read by one task, one small file after
+        the other; the rows of a larger run are dealt evenly to its files by a shuffle.
         """
         version, shards = self.manifest()
         batch = uuid.uuid4().hex[:12]
         where = f"{self.path}/shards/{batch}"
         files = [max(1, round(sum(x.bytes for x in run) / self.target_bytes)) for run in runs]
-        parts = [self.read(run, schema).coalesce(n).withColumn("__run", F.lit(k)) for k, (run, n) in enumerate(zip(runs, files, strict=True))]
+        parts = [(self.read(run, schema).coalesce(1) if n == 1 else self.read(run, schema).repartition(n)).withColumn("__run", F.lit(k)) for k, (run, n) in enumerate(zip(runs, files, strict=True))]
         reduce(DataFrame.unionByName, parts).write.option("compression", "zstd").partitionBy("__run").parquet(where)
         gone = {x.name for run in runs for x in run}
         new = [self._measured(f"{batch}/__run={k}", version + 1, sum(x.rows for x in run)) for k, run in enumerate(runs)]
@@ -163,10 +171,10 @@ class ShardStore:
         return self.commit(version + 1, [x for x in shards if x.name not in gone] + new)
 
     def compact(self, schema) -> int:
-        """Merges until no tier holds FAN_IN shards below the target size; the last version's number."""
+        """Merges until no tier holds FAN_IN files of shards that are not done; the last version's number."""
         version, shards = self.manifest()
         while runs := self.plan(shards):
-            version = self.merge(runs, schema)
+            version = self.merge(runs[:RUNS_AT_ONCE], schema)
             self.vacuum()
             version, shards = self.manifest(version)
         return version

@@ -78,3 +78,21 @@ def test_query_keeps_every_text(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = {x.doc_id: hashlib.sha256((x.text or "").encode()).hexdigest() for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {x.doc_id: x.text_sha256 for x in queries.op8_sharding(spark, sf_dir).collect()} == docs
+
+
+def test_small_files_of_a_large_shard_are_merged(spark):
+    own, df = store(spark), frame(spark, parts=8)
+    own.append(df.withColumn("__arrival", F.lit(0)), "__arrival")
+    (shard,) = own.manifest()[1]
+    assert shard.files >= FAN_IN
+    own.target_bytes = shard.bytes - 1
+    assert own.compact(df.schema) == 2
+    (merged,) = own.manifest()[1]
+    assert merged.files == 1
+    assert content(own.read([merged], df.schema)) == content(df)
+
+
+def test_arrivals_grow_with_the_input():
+    assert queries.arrivals_of(0) == queries.WAVES
+    for size in (10**9, 30 * 10**9):
+        assert size / sum(queries.arrivals_of(size)) <= queries.ARRIVAL_BYTES < queries.SHARD_BYTES / 2
