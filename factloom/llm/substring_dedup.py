@@ -1,9 +1,13 @@
-"""Substring dedup (operator 5): content-defined chunks by a gear rolling hash.
-
-A gear hash runs over the UTF-8 bytes of each text: it is shifted left by one bit and a random
-number for the new byte is added, so its low bits depend on the last few bytes only. A chunk ends
-where the hash's MASK bits are all zero, so equal passages are cut at equal places whatever stands
-before them, and an insertion moves no cut but its own. Chunks are deduplicated by digest: the first
+"""Substring dedup (operator 5): content-defined chunks between words of least hash.
+
+A text is cut before words: of each WINDOW places in a row, the one whose GRAM words have the least
+hash (the last one of equals) is a cut. A place is chosen by the words around it only, so two texts
+that share a passage have the same cuts from the first place chosen inside it to the last one. At most
+WINDOW - 1 words are lost before these and WINDOW + GRAM - 1 after them, so any passage of 51 words
+leaves 20 words or more between them, whatever its words. Words of more than PIECE_BYTES bytes are cut
+further by a gear hash over their own bytes: it is shifted left by one bit and a random number for the
+new byte is added, so its low bits depend on the last few bytes only, and a piece ends where the hash's
+MASK bits are all zero. Chunks are deduplicated by digest: the first
 place of a chunk (smallest id, then position) keeps it, later places are repeats. Repeats that
 adjoin form a run, and a run of at least least_words words is cut out of its text.
 
@@ -22,13 +26,18 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise, text_of, with_text
+from factloom.llm.ngram_join import MIX, SPACES, word_hashes
 
-#: A chunk has MIN_BYTES bytes at least, MAX_BYTES at most, and MIN_BYTES + MASK + 1 or so on average.
-MIN_BYTES, MASK, MAX_BYTES = 24, 31, 192
+#: Places of which one is a cut, and words that are hashed for a place.
+WINDOW, GRAM = 15, 3
+#: A chunk has MIN_BYTES bytes at least and MAX_BYTES at most; a piece of a long word has PIECE_BYTES at least,
+#: and PIECE_BYTES + MASK + 1 or so on average.
+MIN_BYTES, PIECE_BYTES, MASK, MAX_BYTES = 1, 24, 31, 192
 #: Words that a run of repeated chunks must hold in whole or in part to be cut.
 LEAST_WORDS = 20
 #: Stands for a null id.
@@ -50,8 +59,45 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def chosen(words: np.ndarray) -> np.ndarray:
+    """The numbers of the words, given by hashes, before which a text is cut."""
+    n = len(words) - GRAM + 1
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    grams = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        part = words[k : k + n]
+        grams += (part ^ (part >> np.uint64(31 + k))) * MIX[k + 1]
+    grams ^= grams >> np.uint64(32)
+    least = sliding_window_view(grams[::-1], WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
+    return np.unique(n - 1 - least)
+
+
 def cut_places(data: bytes) -> list[int]:
     """The ends of the chunks of a text's bytes, the last one its length."""
+    space = SPACES[np.frombuffer(data, np.uint8)]
+    change = np.flatnonzero(np.diff(space, prepend=True, append=True))  # where words start and end, in turn
+    starts, stops = change[::2], change[1::2]
+    if not len(starts):
+        marks = []
+    else:
+        marks = starts[chosen(word_hashes(data))].tolist()
+        for k in np.flatnonzero(stops - starts > PIECE_BYTES).tolist():
+            start = int(starts[k])
+            marks += [start + x for x in piece_places(data[start : int(stops[k])])[:-1]]
+    ends, last = [], 0
+    for place in [*sorted(set(marks)), len(data)]:
+        while place - last > MAX_BYTES:
+            last += MAX_BYTES
+            ends.append(last)
+        if place > last:
+            ends.append(place)
+            last = place
+    return ends
+
+
+def piece_places(data: bytes) -> list[int]:
+    """The ends of the pieces of a long word's bytes, the last one its length."""
     n = len(data)
     raw = np.frombuffer(data, np.uint8)
     ends, last = [], 0
@@ -61,12 +107,12 @@ def cut_places(data: bytes) -> list[int]:
         hashes = gear_hashes(raw[start - lead : start + BLOCK])[lead:]
         found += (np.flatnonzero((hashes >> np.uint32(8)) & np.uint32(MASK) == 0) + start + 1).tolist()
     for place in [*found, n]:
-        if place - last < MIN_BYTES and place < n:
+        if place - last < PIECE_BYTES and place < n:
             continue
         while place - last > MAX_BYTES:
             last += MAX_BYTES
             ends.append(last)
-        if place > last and (place - last >= MIN_BYTES or place == n):
+        if place > last and (place - last >= PIECE_BYTES or place == n):
             ends.append(place)
             last = place
     return ends

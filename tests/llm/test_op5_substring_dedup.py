@@ -84,3 +84,16 @@ def test_whole_characters_and_empty_tables(spark):
     assert set(got[1]) <= {"漢", "字"}
     assert sd.dedupe(empty(spark)).count() == 0
     assert sd.dedupe(frame(spark), spans_col=None).columns == frame(spark).columns
+
+
+def test_no_passage_of_51_words_is_missed(spark):
+    rnd = random.Random(7)
+    prose = lambda n, most: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(1, most + 1))) for _ in range(n))
+    table, n = [], 0
+    for most in (2, 4, 9):
+        for _ in range(200):
+            passage = prose(51, most)
+            table += [(n, f"{prose(40, most)} {passage} {prose(40, most)}"), (10_000 + n, f"{prose(30, most)} {passage} {prose(50, most)}")]
+            n += 1
+    got = {x.doc_id: x.cut_spans for x in sd.dedupe(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert [k for k in range(n) if not got[10_000 + k]] == []
