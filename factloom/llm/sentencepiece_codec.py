@@ -11,6 +11,7 @@ A merge-type (BPE) model is encoded by backtracking instead of by a merge queue:
 A sequence of pieces whose neighbours are all compatible is the one the merge queue makes, so
 the result is exact. Texts are cut where no piece of the vocabulary can cross, and the ids of
 such a segment are kept in a bounded cache for the time of a task, which so encodes a frequent word once.
+What two pieces do next to each other is kept for as long as the worker lives: that is a property of the model.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SPACE = "▁"
 #: Entries each worker keeps; a full cache is emptied, so memory stays bounded.
 SEGMENT_CACHE = 250_000
 PAIR_CACHE = 500_000
+#: Characters of the longest text that is a key of a cache: longer ones are encoded each time.
+KEY_CHARS = 64
 #: Texts are handled in slices of about so many characters, which bounds an output batch.
 SLICE_CHARS = 4_000_000
 #: Below any score: the pair is no piece.
@@ -45,15 +48,17 @@ COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class _Cache(dict):
-    """Fills itself by a function and starts anew when it is full."""
+    """Fills itself by a function and starts anew when it is full. Long texts are not kept."""
 
     def __init__(self, make, limit: int):
         self.make, self.limit = make, limit
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= KEY_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -90,16 +95,16 @@ class PieceCodec:
         if any(b == SPACE != a for p in self.ids for a, b in pairwise(p)):
             raise ValueError("a piece goes on past a word's end; such models are not supported")
         self.split = COARSE.findall if crosses or "\n" in self.chars else FINE.findall
-        self.compatible = _Cache(self._compatible, PAIR_CACHE)
+        self.compatible: dict[int, bool] = {}
         self.segments = _Cache(self._packed, SEGMENT_CACHE)
         self.words = _Cache(self._word, SEGMENT_CACHE)
         self.shown = [self._shown(i) for i in ids]
         self._check(model)
 
     def forget(self) -> None:
-        """Empties the caches: a worker that waits for its next task holds no memory that others need."""
-        for cache in (self.compatible, self.segments, self.words):
-            cache.clear()
+        """Empties the caches of texts: a worker that waits for its next task holds no memory that others need."""
+        self.segments.clear()
+        self.words.clear()
 
     def _check(self, model) -> None:
         """Refuses models whose normaliser is not the one that encode() assumes."""
@@ -124,20 +129,31 @@ class PieceCodec:
                 pairs[k] = score(parts[k] + parts[k + 1], ABSENT)
         return parts
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        left, right = self.pieces[pair[0]], self.pieces[pair[1]]
-        return self.merge(left + right) == [left, right]
+    def _compatible(self, last: int, piece: int) -> bool:
+        """Whether merging the two pieces' characters anew gives the two again; kept for a bounded number of pairs."""
+        left, right = self.pieces[last], self.pieces[piece]
+        if len(self.compatible) >= PAIR_CACHE:
+            self.compatible.clear()
+        found = self.compatible[last * len(self.pieces) + piece] = self.merge(left + right) == [left, right]
+        return found
 
     def _backtrack(self, text: str) -> list[int]:
         rivals: list[int] = [NONE] * len(text)  # the longest piece at each position not tried yet
         for end, (piece, before_end) in self.automaton.iter(text):  # longer pieces come later at each start
             rivals[end - before_end] = piece
-        compatible, length, shorter, n = self.compatible, self.length, self.shorter, len(text)
+        known, length, shorter, n = self.compatible.get, self.length, self.shorter, len(text)
+        width = len(self.pieces)
         failed, at, last = 0, 0, NONE
         out: list[int] = []
         while at < n:
             piece = rivals[at]
-            while piece != NONE and (failed >> (at + length[piece]) & 1 or (last != NONE and not compatible[last, piece])):
+            while piece != NONE:
+                if not failed >> (at + length[piece]) & 1:
+                    fits = last == NONE or known(last * width + piece)
+                    if fits is None:
+                        fits = self._compatible(last, piece)
+                    if fits:
+                        break
                 piece = shorter[piece]
             if piece != NONE:
                 rivals[at] = shorter[piece]  # what was tried at a place is not tried there again

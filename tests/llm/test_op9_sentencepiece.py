@@ -37,6 +37,7 @@ def test_random_ids_are_decoded_as_by_the_library(library):
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(sc, "SEGMENT_CACHE", 3)
     monkeypatch.setattr(sc, "PAIR_CACHE", 3)
+    monkeypatch.setattr(sc, "KEY_CHARS", 5)
     own = sc.PieceCodec(PATH)
     text = rows()[4][1]
     assert own.encode(text).tolist() == library.encode(text)
