@@ -59,16 +59,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For an edited copy of every fiftieth image, all images that it is a copy of.
+    """The class of every image, and for an edited copy of every fiftieth image the classes that it is a copy of.
 
-    No table holds images, so each row of embeddings is drawn as one: near vectors make near images.
+    No table holds images, so each row of embeddings is drawn as one: near vectors make near images. Rows of
+    kind member say which class (by its representative's vec_id) an image is in, rows of kind copy which
+    class an edited image was found in, with the votes and the motion that carries the one onto the other.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     images = rasters.with_images(vectors, "embedding", "vec_id")
     asked = rasters.with_images(vectors.where(F.col("vec_id") % 50 == 0), "embedding", "vec_id", edit=True)
-    found = media.find_copies(images, asked, "media", "vec_id")
-    copy = F.struct(F.col("first_id").alias("vec_id"), "members", "votes", "turn", "scale", "dx", "dy")
-    return found.groupBy(F.col("query_id").alias("query_vec_id")).agg(F.count("*").alias("n_copies"), F.array_sort(F.collect_list(copy)).alias("copies"))
+    copies, members = media.find_copies(images, asked, "media", "vec_id")
+    copies = copies.select(F.lit("copy").alias("kind"), F.col("query_id").alias("vec_id"), F.col("class_id").alias("class_vec_id"), "votes", "turn", "scale", "dx", "dy")
+    return members.select(F.lit("member").alias("kind"), "vec_id", F.col("class_id").alias("class_vec_id")).unionByName(copies, allowMissingColumns=True)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
