@@ -33,11 +33,13 @@ def lower_ascii(column: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor can see.
 
-    It lies below the session's spark.checkpoint.dir; where that is unset (as in tests on one
-    machine) a temporary folder is made and set.
+    It lies below the session's spark.checkpoint.dir; where that is unset a temporary folder is made
+    and set, but only if the session runs on this machine alone: elsewhere executors could not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -52,6 +54,14 @@ def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: str) -> str:
+    """name, made longer until no column among taken has it (column names do not tell cases apart)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system and path object behind a path string."""
     jvm = spark._jvm

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import fingerprints, license_scan, media, mixing, ngram_join, rasters, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
-from factloom.llm.common import documents, shared_folder
+from factloom.llm.common import documents, fresh, shared_folder
 
 
 def tokenizer_path(name: str) -> str:
@@ -103,13 +103,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, shared_folder(spark, "shards"), SHARD_BYTES, SMALL_BYTES)
     size = docs.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
     first, second = arrivals_of(size)
-    rows = docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(first + second)))
+    arrival, into = fresh("arrival_number", *docs.columns), fresh("located", *docs.columns)
+    rows = docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id", "text"), F.lit(first + second)))
     # an arrival is one small file, whatever the number of tasks
-    store.append(rows.where(F.col("__arrival") < first).repartition("__arrival"), "__arrival")
+    store.append(rows.where(F.col(arrival) < first).repartition(arrival), arrival)
     store.compact(docs.schema)
-    store.append(rows.where(F.col("__arrival") >= first).repartition("__arrival"), "__arrival")
+    store.append(rows.where(F.col(arrival) >= first).repartition(arrival), arrival)
     store.compact(docs.schema)
-    return store.located(docs.schema).select("doc_id", "shard", "tier", "version", "shard_rows", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    at = F.col(into)
+    return store.located(docs.schema, into).select("doc_id", at["name"].alias("shard"), at["tier"].alias("tier"), at["version"].alias("version"), at["rows"].alias("shard_rows"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,44 @@
 """Sharding by size-tiered compaction (operator 8), in DataFrame operations only.
 
-A store is a folder of immutable Parquet shards and numbered manifests. Arrivals are appended as small
+A store is a folder of immutable Parquet shards and of numbered manifests. Arrivals are appended as small
 shards, one for each arrival. A shard's tier is the power of FAN_IN by which it is larger than a small
-shard (its files on average). compact() takes runs of FAN_IN or more files of one tier, in folders that
-are smaller than target_bytes or whose files are, merges them into files of about target_bytes, and commits a manifest that names the new shards instead of the old ones. A manifest is
-written beside its name and then renamed to it, which fails if that version is there already, so each
-version is committed by one writer and readers see whole versions only. Shards that no manifest names
-are left-overs of failed writers; vacuum() deletes them.
+shard (its files on average). compact() takes runs of FAN_IN or more files of one tier, merges them into
+files of about target_bytes, and commits a manifest that names the new shards instead of the old ones.
+
+A manifest holds what its version changes: a line for each shard that comes or goes. The shards of a
+version are those that came up to it and have not gone, which is a join of a table, not a list on the
+driver; only shards that are still to be merged are planned there. A manifest is written beside its name
+and then renamed to it, which fails if that version is there already, so each version is committed by one
+writer and readers see whole versions only. That holds where a rename never replaces a file, as on HDFS
+and local disks; an object store needs a committer of its own.
+
+A merge leaves the old shards in place, for readers of older versions and for other writers. vacuum()
+deletes, after a time of grace, what an older manifest has let go and what no manifest ever named.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import hadoop_path, path_exists
+from factloom.llm.common import fresh, hadoop_path, path_exists
 
 #: Files of one tier that are merged, at least.
 FAN_IN = 4
 #: Runs that one job merges, so that its plan stays small.
 RUNS_AT_ONCE = 64
+#: Seconds for which a shard stays that the last version does not name: longer than any reader or writer takes.
+GRACE_SECONDS = 7 * 24 * 3600
+LINES = "name string, rows bigint, bytes bigint, tier int, version bigint, files bigint, gone boolean"
+LOCATED = ("name", "rows", "tier", "version")
 
 
 @dataclass(frozen=True)
@@ -44,6 +57,18 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+@contextmanager
+def _unions_apart(spark: SparkSession):
+    """Keeps the parts of a union in tasks of their own: parts of one task each are otherwise read by one task together."""
+    key = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class ShardStore:
     """The store in one folder that Spark can reach; target_bytes is the wanted size of a file."""
 
@@ -58,28 +83,33 @@ class ShardStore:
         names = [x.getPath().getName() for x in fs.listStatus(at)]
         return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
 
+    def last(self) -> int:
+        """The number of the last version, 0 before the first."""
+        return max(self.versions(), default=0)
+
+    def shards(self, version: int | None = None) -> DataFrame:
+        """The shards of a version (by default the last one) as a table: name, rows, bytes, tier, version and files."""
+        upto = [x for x in self.versions() if version is None or x <= version]
+        if not upto:
+            return self.spark.createDataFrame([], LINES).drop("gone")
+        lines = self.spark.read.schema(LINES).json([f"{self.path}/manifests/{x:012d}.json" for x in upto])
+        gone = lines.where("gone").select("name")
+        return lines.where("NOT gone").join(gone, "name", "left_anti").drop("gone")
+
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """The number and shards of a version, by default the last one; 0 and none before the first."""
-        found = self.versions()
-        if version is None:
-            version = found[-1] if found else 0
-        if not version:
-            return 0, []
-        fs, at = hadoop_path(self.spark, f"{self.path}/manifests/{version:012d}.json")
-        stream = fs.open(at)
-        try:
-            content = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return version, [Shard(**x) for x in json.loads(content)["shards"]]
+        """The number and shards of a version on the driver, for stores of few shards and for tests."""
+        number = self.last() if version is None else version
+        rows = self.shards(number).orderBy("version", "name").collect()
+        return number, [Shard(**x.asDict()) for x in rows]
 
-    def commit(self, version: int, shards: list[Shard]) -> int:
-        """Makes shards the given version. Raises Conflict if there is one already."""
+    def commit(self, version: int, come: list[Shard], gone: list[str] = ()) -> int:
+        """Makes the given version of the one before it. Raises Conflict if there is one already."""
         fs, at = hadoop_path(self.spark, f"{self.path}/manifests/{version:012d}.json")
         _, beside = hadoop_path(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        lines = [json.dumps(asdict(x) | {"gone": False}) for x in come] + [json.dumps({"name": x, "version": version, "gone": True}) for x in gone]
         stream = fs.create(beside, False)
         try:
-            stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(x) for x in shards]}).encode()))
+            stream.write(bytearray("".join(x + "\n" for x in lines).encode()))
         finally:
             stream.close()
         if fs.exists(at) or not fs.rename(beside, at):
@@ -90,45 +120,50 @@ class ShardStore:
     def tier(self, size: float) -> int:
         return max(0, int(math.log(max(1, size / self.small_bytes), FAN_IN) + 1e-9))
 
-    def _measured(self, name: str, version: int, rows: int) -> Shard:
-        fs, at = hadoop_path(self.spark, f"{self.path}/shards/{name}")
-        size = fs.getContentSummary(at).getLength()
-        files = max(1, sum(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(at)))
-        return Shard(name, rows, size, self.tier(size / files), version, files)
+    def _written(self, batch: str, number: str, schema, version: int) -> list[tuple[int, Shard]]:
+        """The shards of a batch, by their number, as tasks have measured them: rows, bytes and files."""
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/shards/{batch}").select(F.col(number).alias("number"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        files = rows.groupBy("number", "path", "size").agg(F.count("*").alias("rows"))
+        found = files.groupBy("number").agg(F.sum("rows").alias("rows"), F.sum("size").alias("bytes"), F.count("*").alias("files")).orderBy("number").collect()  # a row for each new shard
+        return [(x["number"], Shard(f"{batch}/{number}={x['number']}", x["rows"], x["bytes"], self.tier(x["bytes"] / x["files"]), version, x["files"])) for x in found]
 
     def append(self, arrivals: DataFrame, arrival_col: str) -> int:
         """Adds the rows as one shard for each number in arrival_col (null counts as one), in one version.
 
         An arrival is one immutable folder; its files are as large as the tasks that wrote them. Rows are
-        kept as they are: nulls, repeated rows, empty and long texts, any columns but __arrival. No rows make
-        a version with no new shard.
+        kept as they are: nulls, repeated rows, empty and long texts, any column names. arrival_col itself
+        is not stored. No rows make a version with no new shard.
         """
-        version, shards = self.manifest()
-        batch = uuid.uuid4().hex[:12]
-        where = f"{self.path}/shards/{batch}"
-        number = F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1))
-        rows = arrivals.select(*(F.col(c) for c in arrivals.columns if c != arrival_col), number.alias("__arrival"))
-        rows.write.option("compression", "zstd").partitionBy("__arrival").parquet(where)
-        counts = self.spark.read.schema(rows.schema).parquet(where).groupBy("__arrival").count().collect()  # a row for each arrival
-        new = [self._measured(f"{batch}/__arrival={x['__arrival']}", version + 1, x["count"]) for x in sorted(counts, key=lambda x: x["__arrival"])]
-        return self.commit(version + 1, shards + new)
+        version, batch = self.last() + 1, uuid.uuid4().hex[:12]
+        number = fresh("arrival", *arrivals.columns)
+        rows = arrivals.withColumn(number, F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1))).drop(arrival_col)
+        rows.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.path}/shards/{batch}")
+        return self.commit(version, [x for _, x in self._written(batch, number, rows.schema, version)])
 
     def read(self, shards: list[Shard], schema) -> DataFrame:
         """The rows of the given shards."""
-        if not shards:
+        return self._read([x.name for x in shards], schema)
+
+    def _read(self, names: list[str], schema) -> DataFrame:
+        if not names:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/shards/{x.name}" for x in shards))
-
-    def located(self, schema) -> DataFrame:
-        """The rows of the last version with columns shard (its place in the manifest), tier, version and shard_rows."""
-        shards = self.manifest()[1]
-        # a shard's name is the end of its folder, below the store's own
-        name = F.regexp_extract("__file", r"/shards/([^/]+/[^/]+)/[^/]+$", 1)
-        table = {x.name: [k, x.tier, x.version, x.rows] for k, x in enumerate(shards)}
-        known = F.from_json(F.lit(json.dumps(table)), "map<string, array<bigint>>")
-        rows = self.read(shards, schema).withColumn("__file", F.col("_metadata.file_path")) if shards else self.read(shards, schema).withColumn("__file", F.lit(""))
-        rows = rows.withColumn("__at", F.element_at(known, name))
-        return rows.select(*(F.col(c) for c in schema.names), *(F.col("__at")[k].alias(c) for k, c in enumerate(("shard", "tier", "version", "shard_rows"))))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/shards/{x}" for x in names))
+
+    def located(self, schema, into: str = "located", version: int | None = None) -> DataFrame:
+        """The rows of a version (by default the last) with their shard as a struct column: name, rows, tier and version.
+
+        into names that column; it may not be a column of the rows. An empty store gives no rows.
+        """
+        if fresh(into, *schema.names) != into:
+            raise ValueError(f"the rows have a column {into} already")
+        known = self.shards(version)
+        names = [x["name"] for x in known.select("name").collect()]  # paths to read, as any reader lists them
+        file, own = fresh("file", *schema.names, into), fresh("name", *schema.names, into, "file")
+        rows = self._read(names, schema)
+        path = F.col("_metadata.file_path") if names else F.lit("")
+        rows = rows.withColumn(file, F.regexp_extract(path, r"/shards/([^/]+/[^/]+)/[^/]+$", 1))
+        known = known.select(F.col("name").alias(own), F.struct(*LOCATED).alias(into))
+        return rows.join(known, F.col(file) == F.col(own)).select(*schema.names, into)
 
     def done(self, shard: Shard) -> bool:
         """Whether a shard has the target size and files of at least half of it, on average."""
@@ -152,42 +187,63 @@ class ShardStore:
                 runs.append(run)
         return runs
 
+    def open_shards(self) -> list[Shard]:
+        """The shards of the last version that are still to be merged; those that are done stay in the table."""
+        small = (F.col("bytes") < self.target_bytes) | (2 * F.col("bytes") < self.target_bytes * F.col("files"))
+        return [Shard(**x.asDict()) for x in self.shards().where(small).collect()]
+
     def merge(self, runs: list[list[Shard]], schema) -> int:
         """Merges each run into files of about target_bytes and commits the outcome as the next version.
 
         All runs are merged by one job. A run that fits one file is read by one task, one small file after
-        the other; the rows of a larger run are dealt evenly to its files by a shuffle.
+        the other; the rows of a larger run are dealt evenly to its files by a shuffle. Rows keep all their
+        columns, whatever their names.
         """
-        version, shards = self.manifest()
-        batch = uuid.uuid4().hex[:12]
-        where = f"{self.path}/shards/{batch}"
+        version, batch = self.last() + 1, uuid.uuid4().hex[:12]
+        number = fresh("run", *schema.names)
         files = [max(1, round(sum(x.bytes for x in run) / self.target_bytes)) for run in runs]
-        parts = [(self.read(run, schema).coalesce(1) if n == 1 else self.read(run, schema).repartition(n)).withColumn("__run", F.lit(k)) for k, (run, n) in enumerate(zip(runs, files, strict=True))]
-        reduce(DataFrame.unionByName, parts).write.option("compression", "zstd").partitionBy("__run").parquet(where)
-        gone = {x.name for run in runs for x in run}
-        new = [self._measured(f"{batch}/__run={k}", version + 1, sum(x.rows for x in run)) for k, run in enumerate(runs)]
+        parts = [(self.read(run, schema).coalesce(1) if n == 1 else self.read(run, schema).repartition(n)).withColumn(number, F.lit(k).cast("long")) for k, (run, n) in enumerate(zip(runs, files, strict=True))]
+        merged = reduce(DataFrame.unionByName, parts)
+        with _unions_apart(self.spark):
+            merged.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.path}/shards/{batch}")
         # a merged run is never in the tier that it came from, so that it is not merged alone again
-        new = [replace(x, tier=max(x.tier, run[0].tier + 1)) for x, run in zip(new, runs, strict=True)]
-        return self.commit(version + 1, [x for x in shards if x.name not in gone] + new)
+        new = [replace(x, tier=max(x.tier, runs[k][0].tier + 1)) for k, x in self._written(batch, number, merged.schema, version)]
+        return self.commit(version, new, [x.name for run in runs for x in run])
 
     def compact(self, schema) -> int:
-        """Merges until no tier holds FAN_IN files of shards that are not done; the last version's number."""
-        version, shards = self.manifest()
-        while runs := self.plan(shards):
-            version = self.merge(runs[:RUNS_AT_ONCE], schema)
-            self.vacuum()
-            version, shards = self.manifest(version)
-        return version
+        """Merges until no tier holds FAN_IN files of shards that are not done; the last version's number.
 
-    def vacuum(self) -> None:
-        """Deletes the shards that the last version does not name. No reader of an older version may be at work."""
-        named = {x.name for x in self.manifest()[1]}
+        Nothing is deleted: readers of older versions and other writers go on undisturbed.
+        """
+        while runs := self.plan(self.open_shards()):
+            self.merge(runs[:RUNS_AT_ONCE], schema)
+        return self.last()
+
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Deletes shards that the last version does not name and that nothing has touched for grace_seconds; their number.
+
+        A shard that a manifest let go counts from that manifest's time, one that no manifest names from its
+        own: another writer may be about to commit it. Folders of batches are listed one by one.
+        """
         fs, at = hadoop_path(self.spark, f"{self.path}/shards")
-        for batch in fs.listStatus(at) if fs.exists(at) else []:
-            inside = [x.getPath() for x in fs.listStatus(batch.getPath()) if x.isDirectory()]
-            kept = [x for x in inside if f"{batch.getPath().getName()}/{x.getName()}" in named]
-            for x in inside:
-                if x not in kept:
-                    fs.delete(x, True)
-            if not kept:
+        if not fs.exists(at):
+            return 0
+        named = {x["name"] for x in self.shards().select("name").collect()}
+        let_go = {}
+        for version in self.versions():
+            _, manifest = hadoop_path(self.spark, f"{self.path}/manifests/{version:012d}.json")
+            let_go[version] = fs.getFileStatus(manifest).getModificationTime()
+        lines = self.spark.read.schema(LINES).json(f"{self.path}/manifests/*.json") if let_go else self.spark.createDataFrame([], LINES)
+        since = {x["name"]: let_go[x["version"]] for x in lines.where("gone").select("name", "version").collect()}
+        now, deleted = time.time() * 1000, 0
+        for batch in fs.listStatus(at):
+            shards = [x for x in fs.listStatus(batch.getPath()) if x.isDirectory() and "=" in x.getPath().getName()]
+            left = len(shards)
+            for x in shards:
+                name = f"{batch.getPath().getName()}/{x.getPath().getName()}"
+                if name not in named and now - max(since.get(name, 0), x.getModificationTime()) >= grace_seconds * 1000:
+                    fs.delete(x.getPath(), True)
+                    left, deleted = left - 1, deleted + 1
+            if not left and now - batch.getModificationTime() >= grace_seconds * 1000:
                 fs.delete(batch.getPath(), True)
+        return deleted
