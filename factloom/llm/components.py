@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise
 
-ROUNDS = 40
-
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,20 +27,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round moves a node's links to its smallest neighbour, once for its larger and once for its
     smaller neighbours, until every node is linked with its root alone. Links are written to the shared
     folder after each round; minima are taken before the shuffle and no neighbourhood is gathered.
+    The rounds end when nothing moves any more, which takes about the logarithm of the longest path.
     Links of a node with itself and nulls are left out, repeated links do no harm.
     """
     u, v = links.columns
     edges = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "links")
     mark = None
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         edges = materialise(_small(_large(edges).distinct()).distinct(), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -28,20 +28,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise, text_of, with_text
 from factloom.llm.components import components
 
-#: Sets in one prefix tree, at most about so many, and least edited sets that each chunk of a block meets.
-CHUNK, PIVOTS = 256, 8
+#: Sets and shingles in one prefix tree, at most about so many, and least edited sets that each chunk of a block meets.
+CHUNK, CHUNK_SHINGLES, PIVOTS = 256, 1_000_000, 8
 #: Shingles counted as frequent from so many sets on, and at most so many of them (the most frequent;
 #: 16 MB where tasks use them). The order steers the work only: any order gives the same links.
 FREQUENT_FROM, FREQUENT_MOST = 3, 1_000_000
 #: Sets that share a prefix shingle and are paired by it; more are kept together as they are.
 PAIRED = 64
+#: Parts of a block that find their least edited sets by themselves.
+SHARES = 256
 #: Rows of a table of numbers up to which it is broadcast (24 MB); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that are counted together in search of repeats.
@@ -55,43 +57,34 @@ REMEMBERED = 500_000
 MIX = tuple(np.uint64(int.from_bytes(xxhash.xxh3_128_digest(f"shingle {k}")[:8], "big") | 1) for k in range(16))
 
 
-#: A random number for each byte value (lower-casing A-Z), none for ASCII white space; and an odd base with its inverse.
-BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([k]).lower(), seed=1) for k in range(256)], np.uint64)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-BYTES[SPACES] = 0
-BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Words whose hashes a worker keeps, and bytes of the longest such word.
+WORDS_KEPT, WORD_BYTES = 500_000, 64
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+class _WordHashes(dict):
+    """The 64-bit hash of each word, found once for frequent ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_KNOWN = _WordHashes()
 
 
 def _hashes(data: bytes) -> np.ndarray:
-    """A hash of each word of data: the sum of BYTES[byte] * BASE ** (its place in the word), mixed."""
-    raw = np.frombuffer(data, np.uint8)
-    space = SPACES[raw]
-    change = np.flatnonzero(np.diff(space, prepend=True, append=True))  # where words start and end, in turn
-    starts, ends = change[::2], change[1::2]
-    powers, inverse = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[raw] * powers[: len(raw)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h ^= h >> np.uint64(32)
-    h *= MIX[0]
-    return h ^ (h >> np.uint64(29))
+    words = data.lower().split()  # bytes: A-Z only, and ASCII white space only
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word. Long texts are cut between words, so that tables stay small."""
+    """A 64-bit hash of each word, with A-Z in lower case. Long texts are cut between words, so that lists stay small."""
     if len(data) <= PIECE:
         return _hashes(data)
     found, start = [], 0
@@ -422,8 +415,13 @@ def _frequent(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], table["times"].to_numpy(np.int64)[order]
 
 
-def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles and component_id of each row.
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number that, with the id, names what a row says: a hash of its id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+
+
+def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+    """id_col, n_shingles and component_id of each row; with groups also row_key and group.
 
     Words are runs of anything but ASCII white space, with A-Z in lower case. A text's set has its
     distinct shingles of so many words; with fewer words all of them are one shingle; without words the
@@ -432,12 +430,14 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
 
     Null texts count as empty. A row with a null id takes part, but its id is never a component's: a
     component of null ids alone has a null component_id. Rows that repeat an id are texts of their own.
-    Repeated rows stay, an empty table gives no rows, other columns are ignored. Sets are told apart by
-    64-bit hashes of their shingles together with their sizes.
+    Repeated rows stay, an empty table gives no rows, other columns are ignored. Very long texts are
+    hashed piece by piece and are whole sets. Sets are told apart by 64-bit hashes of their shingles
+    together with their sizes. group is one number for each component (null where the set is empty), also
+    where two components have one smallest id because an id repeats; row_key is that of row_key().
     """
     with_text(df, text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = rows.select("doc", F.coalesce("doc", F.xxhash64("text")).alias("key"), "text")  # the key finds a text again
+    rows = rows.select("doc", row_key(rows, "doc", "text").alias("key"), "text")  # the key finds a text again
     signatures = materialise(rows.mapInArrow(_signatures(shingle), SIGNATURES), "signatures")
     docs = signatures.where("set_id is not null").select("doc", "key", "n", "set_id")
     frequent, times = _frequent(signatures)
@@ -448,17 +448,21 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
 
     kept = docs.where("n > 0").groupBy("set_id", "n").agg(F.min("doc").alias("least"), F.min("key").alias("key"))
     kept = materialise(kept, "sets")
-    sizes = blocks.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    active = blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
-    active = materialise(active.join(kept.select("set_id", "key"), "set_id"), "active")
+    blocks = materialise(blocks.join(kept.select("set_id", "n", "key"), "set_id"), "blocks")
+    sizes = blocks.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    active = blocks.select("set_id", "block", "key").join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+    active = materialise(active, "active")
     texts = rows.join(_small(active), "key").select("text", "set_id", "block", "chunk", "chunks")
     texts = texts.mapInArrow(_tokens(shingle), "set_id bigint, block bigint, chunk bigint, chunks bigint, tokens binary")
     texts = materialise(texts, "active-sets")
 
     own = texts.select("block", "chunk", "chunks", "set_id", "tokens", F.lit(False).alias("probe"), F.col("set_id").alias("component"))
     rare = prefixes.where("token is null").join(active.where("chunks > 1").select("set_id", "block"), "set_id").groupBy("block", "set_id").agg(F.min("rare").alias("rare"), F.max("n").alias("n"))
-    first = F.row_number().over(W.partitionBy("block").orderBy("rare", F.col("n").desc(), "set_id"))
-    pivots = rare.withColumn("first", first).where(F.col("first") <= PIVOTS).select("set_id")
+    rare = rare.withColumn("share", F.pmod(F.xxhash64("set_id", F.lit(2)), F.lit(SHARES)))
+    for keys in (("block", "share"), ("block",)):  # first within shares of a block, so that no block is gathered
+        first = F.row_number().over(W.partitionBy(*keys).orderBy("rare", F.col("n").desc(), "set_id"))
+        rare = rare.withColumn("first", first).where(F.col("first") <= PIVOTS)
+    pivots = rare.select("set_id")
     everywhere = own.where("chunks > 1").join(pivots, "set_id").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("to <> chunk")
     everywhere = everywhere.withColumn("chunk", F.col("to")).select(own.columns)
     links = materialise(_in_groups(own.unionByName(everywhere), percent), "set-links")
@@ -471,10 +475,11 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     merged = kept.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     merged = materialise(merged, "merged")
     ends = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = merged.join(ends, "root").select("set_id", "n", "component_id")
-    out = docs.where("n > 0").join(named, ["set_id", "n"]).select("doc", "n", "component_id")
-    out = out.unionByName(docs.where("n = 0").select("doc", "n", F.col("doc").alias("component_id")))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = materialise(merged.join(ends, "root").select("set_id", "n", "component_id", "root"), "named")
+    out = docs.where("n > 0").join(named, ["set_id", "n"]).select("doc", "n", "component_id", "key", "root")
+    out = out.unionByName(docs.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), "key", F.lit(None).cast("long").alias("root")))
+    more = [F.col("key").alias("row_key"), F.col("root").alias("group")] if groups else []
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
 def _residual_links(own: DataFrame, links: DataFrame, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of, with_text
+from factloom.llm.common import fresh, text_of, with_text
 
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 4000
@@ -179,8 +179,9 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     """
     with_text(df, text_col)
     kept = [c for c in (df.columns if keep is None else keep) if c != score_col]
-    rows = df.select(*(F.col(c) for c in kept), text_of(text_col).alias("__text"))
-    schema = rows.drop("__text").withColumn(score_col, F.lit(0.0)).schema
+    whole = fresh("whole_text", *kept, score_col)
+    rows = df.select(*(F.col(c) for c in kept), text_of(text_col).alias(whole))
+    schema = rows.drop(whole).withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches):
         for batch in batches:

@@ -125,3 +125,11 @@ def test_a_large_block_of_many_small_pairs(spark, monkeypatch):
         table += [(1000 + 2 * k, f"{shared} {x}"), (1001 + 2 * k, f"{shared} {x} end")]
     df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
     assert found(df) == brute(table, 4, 85)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word of a and b and its complement share a polynomial hash modulo 2**64; they must not link."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} x y z"), (2, f"{other} x y z")], "doc_id bigint, text string")
+    assert sorted((x.doc_id, x.component_id) for x in nj.link_components(df).collect()) == [(1, 1), (2, 2)]
