@@ -1,4 +1,4 @@
-"""Substring dedup (operator 5): content-defined chunks between words of least hash.
+"""Substring dedup (operator 5): content-defined chunks, held together as windows of a least number of words.
 
 A text is cut before words: of each WINDOW places in a row, the one whose GRAM words have the least
 hash (the last one of equals) is a cut. A place is chosen by the words around it only, so two texts
@@ -7,20 +7,22 @@ WINDOW - 1 words are lost before these and WINDOW + GRAM - 1 after them, so any
 leaves 20 words or more between them, whatever its words. Words of more than PIECE_BYTES bytes are cut
 further by a gear hash over their own bytes: it is shifted left by one bit and a random number for the
 new byte is added, so its low bits depend on the last few bytes only, and a piece ends where the hash's
-MASK bits are all zero. Chunks are deduplicated by digest: the first
-place of a chunk (smallest id, then position) keeps it, later places are repeats. Repeats that
-adjoin form a run, and a run of at least least_words words is cut out of its text.
-
-Only 64-bit digests travel, counted on each side before the shuffle; texts are shuffled once, to
-meet the few places that are cut. No group of equal chunks is ever gathered in one place. Should two
-chunks in 10**12 share a digest by chance, nothing is cut unless their neighbours do so too or the
-chunk itself has least_words words.
+MASK bits are all zero.
+
+What is deduplicated is a window: from each cut the fewest chunks in a row that hold least_words words,
+and before each cut where no such window ends the fewest chunks that lead up to it. A window is one
+stretch of bytes, known by a 96-bit digest, so what is cut stands in one piece in an earlier place:
+chunks that repeat by chance here and there are never put together. The first place of a window
+(smallest id, then position) keeps it, later places are repeats, and all repeats together are cut.
+
+Windows are found once and written; only digests travel, counted on each side before the shuffle. The
+few digests that repeat are written too and joined to all windows as plain tables, so that Spark can
+split the join where a passage is in a third of all texts. Texts are shuffled once, to meet their cuts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 
 import numpy as np
@@ -30,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, text_of, with_text
+from factloom.llm.common import fresh, materialise, text_of, with_text
 from factloom.llm.ngram_join import MIX, SPACES, word_hashes
 
 #: Places of which one is a cut, and words that are hashed for a place.
@@ -38,7 +40,7 @@ WINDOW, GRAM = 15, 3
 #: A chunk has MIN_BYTES bytes at least and MAX_BYTES at most; a piece of a long word has PIECE_BYTES at least,
 #: and PIECE_BYTES + MASK + 1 or so on average.
 MIN_BYTES, PIECE_BYTES, MASK, MAX_BYTES = 1, 24, 31, 192
-#: Words that a run of repeated chunks must hold in whole or in part to be cut.
+#: Words of a window, in whole or in part.
 LEAST_WORDS = 20
 #: Stands for a null id.
 LEAST = -(1 << 63)
@@ -118,35 +120,60 @@ def piece_places(data: bytes) -> list[int]:
     return ends
 
 
-def chunk_table(ids: list, texts: list[str], versions: list[int]) -> tuple[list, list, list, list, list]:
-    """Columns id, version, digest, place and again of all chunks of the texts.
+def windows(data: bytes, least_words: int) -> list[tuple[int, int]]:
+    """The windows of a text's bytes: start and end, in order. A part of a word counts as one."""
+    ends = cut_places(data)
+    if not ends:
+        return []
+    space = SPACES[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    marks = np.array([0, *ends])
+    before = np.searchsorted(starts, marks)  # words that start before each mark
+    inner = np.concatenate([[False], ~space[marks[1:-1]] & ~space[marks[1:-1] - 1]]).astype(np.int64)  # is a mark inside a word
+    n = np.arange(len(ends))
+    forward = np.maximum(np.searchsorted(before, before[:-1] + least_words - inner), n + 1)
+    found = {(int(i), int(j)) for i, j in zip(n, forward, strict=True) if j <= len(ends)}
+    for j in set(range(1, len(ends) + 1)).difference(forward.tolist()):
+        i = int(np.searchsorted((before[:-1] - inner)[:j], before[j] - least_words, side="right")) - 1
+        if i >= 0:
+            found.add((i, j))
+    return [(int(marks[i]), int(marks[j])) for i, j in sorted(found)]
+
+
+WINDOWS = "id bigint, version int, digest bigint, more int, start bigint, end bigint, again boolean"
+
 
-    place is start * 256 + length in bytes; again says that the same text has the chunk earlier.
+def window_table(ids: list, texts: list[str], versions: list[int], least_words: int) -> list[list]:
+    """The columns of WINDOWS for all windows of the texts.
+
+    digest and more are 96 bits of the window's hash; again says that the same text has the window
+    earlier, not counting places that overlap it.
     """
-    own, marks, digests, places, again = [], [], [], [], []
-    for k, text in enumerate(texts):
-        data, at = text.encode(), 0
-        seen: set[int] = set()
-        for end in cut_places(data):
-            digest = xxhash.xxh3_64_intdigest(data[at:end]) - (1 << 63)
-            again.append(digest in seen)
-            seen.add(digest)
-            digests.append(digest)
-            places.append(at * 256 + end - at)
-            own.append(ids[k])
-            marks.append(versions[k])
-            at = end
-    return own, marks, digests, places, again
-
-
-def _chunks(batches):
-    for batch in batches:
-        step = max(1, min(batch.num_rows, batch.num_rows * BLOCK // max(1, batch.nbytes)))
-        for start in range(0, batch.num_rows, step):
-            ids, texts, versions = (c.to_pylist() for c in batch.slice(start, step).columns)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            columns = [pa.array(x, kind) for x, kind in zip(chunk_table(ids, texts, versions), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "digest", "place", "again"])
+    columns: list[list] = [[] for _ in range(7)]
+    for own, text, version in zip(ids, texts, versions, strict=True):
+        data = text.encode()
+        ended: dict[int, int] = {}  # where the first place of a digest ends
+        for start, end in windows(data, least_words):
+            digest = xxhash.xxh3_128_intdigest(data[start:end])
+            row = (own, version, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31), start, end, ended.setdefault(digest, end) <= start)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+    return columns
+
+
+def _windows(least_words: int):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, min(batch.num_rows, batch.num_rows * BLOCK // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                ids, texts, versions = (c.to_pylist() for c in batch.slice(start, step).columns)
+                columns = window_table(ids, texts, versions, least_words)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+
+    return run
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> list:
@@ -154,51 +181,44 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.hash(text_of(text_col))]
 
 
-def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version, digest, place and again of each chunk of each row; see chunk_table()."""
+def found_windows(df: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The windows of each row; see window_table()."""
     own, version = keyed(df, id_col, text_col)
-    rows = df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version"))
-    return rows.mapInArrow(_chunks, "id bigint, version int, digest bigint, place bigint, again boolean")
+    return df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version")).mapInArrow(_windows(least_words), WINDOWS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """id, version, place and first of the chunks that stand earlier too: in a smaller id or before in their own text.
+    """id, version, start, end and first of the windows that stand earlier too: in a smaller id or before in their own text.
 
-    first is the smallest id that has the chunk.
+    found must be written already, as it is read twice. first is the smallest id that has the window.
     """
-    firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where(F.col("n") > 1).drop("n")
-    return found.join(firsts, "digest").where((F.col("id") > F.col("first")) | F.col("again")).select("id", "version", "place", "first")
+    firsts = found.groupBy("digest", "more").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    firsts = materialise(firsts.where(F.col("n") > 1).drop("n"), "first-places")
+    return found.join(firsts, ["digest", "more"]).where((F.col("id") > F.col("first")) | F.col("again")).select("id", "version", "start", "end", "first")
 
 
 def spans(repeated: DataFrame) -> DataFrame:
-    """id, version and the sorted places of each document's repeats with their firsts (no more than its own chunks)."""
-    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("place", "first"))).alias("places"))
+    """id, version and the sorted places of each document's repeats with their firsts (no more than its own windows)."""
+    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first"))).alias("places"))
 
 
-def runs_of(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Adjoining places (place, first) as runs of bytes, each with the first that most of its chunks have."""
-    runs: list[tuple[int, int, Counter]] = []
-    for place, first in places:
-        start, end = place // 256, place // 256 + place % 256
-        if runs and runs[-1][1] == start:
-            runs[-1] = (runs[-1][0], end, runs[-1][2])
+def runs_of(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted places (start, end, first) as runs of bytes that adjoin no other, each with the first that most of its windows have."""
+    runs: list[list] = []
+    for start, end, first in places:
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(end, runs[-1][1])
         else:
-            runs.append((start, end, Counter()))
+            runs.append([start, end, Counter()])
         runs[-1][2][first] += 1
     return [(start, end, min(firsts, key=lambda x: (-firsts[x], x))) for start, end, firsts in runs]
 
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def cut(text: str, runs: list[tuple[int, int, int]], least_words: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text without the runs of least_words words, and what was cut as character positions with its first."""
+def cut(text: str, runs: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without the runs, and what was cut as character positions with its first."""
     data = text.encode()
     kept, gone, at = [], [], 0
     for start, end, first in runs:
-        if len(WORD.findall(data[start:end])) < least_words:
-            continue
         while start > 0 and start < end and data[start] & 0xC0 == 0x80:  # whole characters only
             start += 1
         while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
@@ -215,19 +235,22 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     """df with its repeated passages cut out of text_col, and the places of the cuts in spans_col.
 
     Of passages that repeat, those in the row with the smallest id stay (null ids first); repeats
-    inside one text count too, the first stays. Rows that share an id are not held against each other. spans_col (none if None) is an
+    inside one text count too, the first stays. Rows that share an id are not held against each other, so
+    rows that are equal in id and text are treated alike. spans_col (none if None) is an
     array of struct(start, end, first) in characters of the whole text, empty where nothing was cut; first
-    is the id that keeps the passage (of most of its chunks).
+    is the id that keeps the passage (of most of its windows).
     Null texts stay null and cut nothing; texts that repeat whole become empty; no row is dropped.
     Other columns stay as they are, an empty table stays empty.
     """
     with_text(df, text_col)
-    found = materialise(spans(repeats(chunks(df, id_col, text_col))), "spans")
-    own, version = keyed(df, id_col, text_col)
-    rows = (df.drop(spans_col) if spans_col else df).withColumns({"__id": own, "__version": version})
-    found = found.select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("places").alias("__places"))
-    rows = rows.join(found, ["__id", "__version"], "left").drop("__id", "__version")
-    names = [c for c in rows.columns if c != "__places"]
+    found = materialise(found_windows(df, least_words, id_col, text_col), "windows")
+    found = materialise(spans(repeats(found)), "spans")
+    rows = df.drop(spans_col) if spans_col else df
+    own, version, gone = (fresh(x, *rows.columns) for x in ("own_id", "text_version", "own_places"))
+    rows = rows.withColumns(dict(zip((own, version), keyed(df, id_col, text_col), strict=True)))
+    found = found.select(F.col("id").alias(own), F.col("version").alias(version), F.col("places").alias(gone))
+    rows = rows.join(found, [own, version], "left").drop(own, version)
+    names = [c for c in rows.columns if c != gone]
     at = names.index(text_col)
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
 
@@ -235,13 +258,13 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         for batch in batches:
             texts, places = batch.column(at).to_pylist(), []
             for k, own in enumerate(batch.column(len(names)).to_pylist()):
-                gone: list[tuple[int, int, int]] = []
+                cuts: list[tuple[int, int, int]] = []
                 if own and texts[k]:
-                    texts[k], gone = cut(texts[k], runs_of([(x["place"], x["first"]) for x in own]), least_words)
-                places.append([{"start": a, "end": b, "first": None if first == LEAST else first} for a, b, first in gone])
+                    texts[k], cuts = cut(texts[k], runs_of([(x["start"], x["end"], x["first"]) for x in own]))
+                places.append([{"start": a, "end": b, "first": None if first == LEAST else first} for a, b, first in cuts])
             columns = [*batch.columns[: len(names)]]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places, pair)] if spans_col else [])], names=[*names, *([spans_col] if spans_col else [])])
 
-    schema = rows.drop("__places").select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint, first: bigint>>").alias(spans_col)] if spans_col else [])).schema
+    schema = rows.drop(gone).select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint, first: bigint>>").alias(spans_col)] if spans_col else [])).schema
     return rows.mapInArrow(run, schema)

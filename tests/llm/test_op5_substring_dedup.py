@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from frames import empty, frame, rows
@@ -30,27 +31,58 @@ def test_chunks_cover_the_text_and_resist_insertions(monkeypatch):
     assert sd.cut_places(b"") == []
 
 
+def plain_windows(data, least):
+    """Windows by trying all stretches of chunks."""
+    marks = [0, *sd.cut_places(data)]
+    words = lambda i, j: len(re.findall(rb"[^\x20\x09-\x0D]+", data[marks[i] : marks[j]]))
+    n = len(marks)
+    forward = {i: next((j for j in range(i + 1, n) if words(i, j) >= least), None) for i in range(n - 1)}
+    found = {(i, j) for i, j in forward.items() if j}
+    for j in set(range(1, n)) - set(forward.values()):
+        i = next((i for i in range(j - 1, -1, -1) if words(i, j) >= least), None)
+        if i is not None:
+            found.add((i, j))
+    return [(marks[i], marks[j]) for i, j in sorted(found)]
+
+
+def test_windows_equal_the_plain_ones():
+    rnd = random.Random(9)
+    for least in (1, 3, 20):
+        for n in (0, 1, 5, 60, 200):
+            text = " ".join("".join(rnd.choice("abcd") for _ in range(rnd.choice([1, 4, 9, 90]))) for _ in range(n)) + rnd.choice(["", " ", "\n"])
+            assert sd.windows(text.encode(), least) == plain_windows(text.encode(), least)
+
+
 def brute(table, least):
-    """Cuts of documents one by one, in the order of their ids, from what chunks are known by then."""
+    """Cuts of documents one by one, from the texts of the windows themselves."""
     first: dict = {}
-    chunked = {}
+    found = {}
     for own, text in table:
         data = (text or "").encode()
-        places = sd.cut_places(data)
-        chunked[own, text] = [(a, b, data[a:b]) for a, b in zip([0, *places], places, strict=False)]
-        for _, _, x in chunked[own, text]:
+        found[own, text] = [(a, b, data[a:b]) for a, b in plain_windows(data, least)]
+        for _, _, x in found[own, text]:
             first[x] = min(first.get(x, own), own)
     out = {}
-    for (own, text), parts in chunked.items():
-        seen, again = set(), []
-        for a, b, x in parts:
-            if first[x] < own or x in seen:
-                again.append((a * 256 + b - a, first[x]))
-            seen.add(x)
-        out[own, text] = sd.cut(text, sd.runs_of(again), least) if text else (text, [])
+    for (own, text), parts in found.items():
+        ended: dict = {}
+        again = [(a, b, first[x]) for a, b, x in parts if ended.setdefault(x, b) <= a or first[x] < own]
+        out[own, text] = sd.cut(text, sd.runs_of(again)) if text else (text, [])
     return out
 
 
+def test_each_cut_stands_in_one_piece_elsewhere(spark):
+    """Whatever is cut, each window of it is in an earlier text or before it in its own."""
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    words = {k: f" {' '.join(x.split())} " for k, x in docs.items()}
+    got = sd.dedupe(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    cuts = [(x.doc_id, s.start, s.end) for x in got for s in x.cut_spans]
+    assert len(cuts) > 300
+    for own, start, end in cuts:
+        piece = docs[own][start:end].split()[:17]  # whole words, fewer than a window has
+        text = f" {' '.join(piece)} "
+        assert any(text in x for k, x in words.items() if k < own) or words[own].count(text) > 1, (own, start)
+
+
 def test_matches_a_plain_version(spark):
     least = -(1 << 63)
     table = {(least if x[0] is None else x[0], x[1]) for x in rows()}

@@ -6,7 +6,7 @@ import sentencepiece
 from frames import empty, frame, rows
 from pyspark.sql import functions as F
 
-from factloom.llm import ngram_join, queries, substring_dedup, toxicity
+from factloom.llm import queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,17 +44,35 @@ def test_one_of_each_group_stays(spark):
     assert sorted(x.doc_id for x in cp.drop_near_copies(spark, docs, SF).collect()) == [0, len(near) + 2, len(near) + 3, len(near) + 4]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rnd = random.Random(12)
+    a, b, c = (" ".join(f"w{rnd.randrange(900)}" for _ in range(100)) for _ in range(3))
+    table = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c), (5, c), (None, b), (None, "alone here")]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in table], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert Counter((x.doc_id, x.text) for x in cp.drop_near_copies(spark, docs, SF).collect()) == Counter([(1, a), (2, b), (3, c), (None, "alone here")])
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ("shard", "tier", "version", "__id", "__text", "__places", "__copies", "__run", "own_id", "row_key", "toxicity", "copies", "copy", "whole_text", "group", "digest", "places", "Found")
+    df = frame(spark).withColumns({x: F.concat(F.lit(x), F.coalesce(F.col("doc_id"), F.lit(-1))) for x in names})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert all(x[n] == f"{n}{-1 if x.doc_id is None else x.doc_id}" for x in out.collect() for n in names)
+
+
 def test_stages_on_awkward_rows(spark):
     df, ids = frame(spark), Counter(x[0] for x in rows())
     for stage in (cp.drop_toxic, cp.drop_near_copies, cp.cut_repeats, cp.mix):
         for table in (df, empty(spark)):
             assert stage(spark, table, SF).columns == df.columns
+    near = Counter((x.doc_id, x.text) for x in cp.drop_near_copies(spark, df, SF).collect())
+    assert max(near.values()) == 1 and (5, "another text of the same id") in near and (None, "no id at all") in near
     assert Counter(x.doc_id for x in cp.cut_repeats(spark, df, SF).collect()) == ids
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in cp.cut_repeats(spark, df, SF).collect())
     assert Counter(x.doc_id for x in cp.encode(spark, df, SF).collect()) == ids
     assert all(n <= 3 * ids[k] for k, n in Counter(x.doc_id for x in cp.mix(spark, df, SF).collect()).items())
     assert cp.encode(spark, empty(spark), SF).count() == 0
-    assert ngram_join.CHUNK and substring_dedup.LEAST_WORDS
 
 
 def test_run_is_registered():
