@@ -11,27 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import mixing, ngram_join, sentencepiece_codec, substring_dedup, toxicity
-from factloom.llm.common import documents, materialise
+from factloom.llm.common import documents, fresh, materialise
 from factloom.llm.queries import labels, tokenizer_path
 
+#: Stands for a null id.
+LAST = (1 << 63) - 1
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents that score 0.5 or more. The model is fitted on the labelled ones among docs."""
+    """Leaves out the documents that score 0.5 or more. The model is fitted on the labelled ones among docs.
+
+    A row is judged by its text alone: null and empty texts have the score of no feature, very long ones are
+    scored whole, equal texts go or stay together. Without labels of both classes the smoothed share of the
+    labels decides for all, and with none at all (a score of one half) documents stay. Columns stay, whatever their names.
+    """
     model = toxicity.train(docs, labels(spark, sf_dir))
-    return toxicity.score(docs, model, score_col="__toxicity").where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    if not model.grams:
+        return docs
+    mark = fresh("toxicity", *docs.columns)
+    return toxicity.score(docs, model, score_col=mark).where(F.col(mark) < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
 
-    Documents without an id stay all. Of rows that repeat an id, and are in one group, all stay that hold it.
+    A document is its id and its text: rows that repeat an id with other texts are told apart, rows equal in
+    both are one document, of which one row stays. Null ids come last in a group. Null and empty texts are
+    no copies of each other. Columns stay, whatever their names.
     """
-    linked = ngram_join.link_components(docs, shingle=5, percent=80).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti").select(docs.columns)
+    own, key = fresh("own_id", *docs.columns), fresh("row_key", *docs.columns)
+    first = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST))
+    found = ngram_join.link_components(docs, shingle=5, percent=80, groups=True).select(first("doc_id").alias(own), F.col("row_key").alias(key), "group")
+    found = materialise(found, "near-copies")
+    heads = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(own, key)).alias("head")).select("head.*")
+    stay = heads.unionByName(found.where(F.col("group").isNull()).select(own, key)).distinct()
+    rows = docs.withColumns({own: first("doc_id"), key: ngram_join.row_key(docs, "doc_id", "text")}).dropDuplicates([own, key])
+    return rows.join(stay, [own, key], "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that an earlier document has; n_chars is that of what is left."""
+    """Cuts out passages that an earlier document has; n_chars is that of what is left.
+
+    Null texts stay null, a text that repeats whole becomes empty; no row goes. See substring_dedup.dedupe().
+    """
     left = substring_dedup.dedupe(docs, spans_col=None)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -40,14 +62,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times).
 
     Rows that repeat an id are taken together: each comes as often as the mix takes all of them on average, rounded up.
+    Texts without words have size 0 and come as often as their source's documents do on average. Columns
+    stay, whatever their names.
     """
-    taken = mixing.mix(docs, cap=3).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id")).agg(F.ceil(F.avg("copies")).cast("int").alias("__copies"))
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(taken.where("__copies > 0"), "__id")
-    return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    own, copies, copy = (fresh(x, *docs.columns) for x in ("own_id", "copies", "copy"))
+    taken = mixing.mix(docs, cap=3).groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(own)).agg(F.ceil(F.avg("copies")).cast("int").alias(copies))
+    taken = materialise(taken.where(F.col(copies) > 0), "copies")
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(taken, own)
+    return keyed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the digests of ids and decoded text of each document."""
+    """doc_id, source, n_tokens and the digests of ids and decoded text of each document.
+
+    Null and empty texts have no tokens; rows are coded one by one, so repeated rows stay.
+    """
     coded = sentencepiece_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "source"))
     return coded.select(
         "doc_id",
