@@ -1,10 +1,12 @@
 """Toxicity scores (operator 2): a linear classifier on character n-grams scaled by naive Bayes.
 
-Features are n-grams of the letters and digits of a text, taken inside words padded with a blank,
-and count as present or absent. A feature's value is its log-count ratio: the logarithm of its share
-of toxic texts over its share of other texts. A logistic regression on those values is fitted by
-gradient descent. The n-grams that tell the classes apart best become an Aho-Corasick automaton, so
-that a text is scored in one scan, whole and whatever its length.
+Features are n-grams of the words (letters and digits, lower case) of a text, taken inside words padded
+with a blank, and count as present or absent. A feature's value is its log-count ratio: the logarithm of
+its share of toxic texts over its share of other texts. A logistic regression on those values is fitted
+by gradient descent. All n-grams are features that LEAST_TEXTS sampled texts hold and whose shares
+differ by more than chance (LEAST_Z standard errors): those of an equal share have a value near zero and
+would add noise alone. A word's features are found once and kept, so a text costs one look-up for each
+of its distinct words, whole and whatever its length.
 
 The fit uses a bounded sample of labelled rows (PER_CLASS of each class, those with the smallest
 hash of the id), weighted to the classes' true shares. Scoring covers every row.
@@ -12,6 +14,7 @@ hash of the id), weighted to the classes' true shares. Scoring covers every row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -22,21 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, text_of, with_text
+from factloom.llm.common import fresh, materialise, text_of, with_text
 
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 4000
-#: Features of the model, at most.
-FEATURES = 4000
 #: Lengths of the n-grams, blanks at a word's ends included.
-LENGTHS = (4, 6, 8)
-#: Sampled texts that must hold an n-gram.
-LEAST_TEXTS = 3
+LENGTHS = (3, 4, 5, 6, 7, 8)
+#: Sampled texts that must hold an n-gram, and standard errors by which its shares differ at least.
+LEAST_TEXTS, LEAST_Z = 3, 3.0
+#: Words whose features a worker keeps, and letters of the longest such word.
+WORDS_KEPT, WORD_CHARS = 200_000, 64
 #: Added to each count before the ratio is taken.
 SMOOTHING = 0.5
 RIDGE, RATE, ROUNDS = 1e-4, 0.05, 300
 
-NOT_WORD = re.compile(r"[\W_]+")
+FIND_WORDS = re.compile(r"[^\W_]+").findall
 
 
 class Model:
@@ -46,35 +49,35 @@ class Model:
         self.grams, self.weights, self.bias = tuple(grams), tuple(weights), bias
 
 
-def plain(text: str) -> str:
-    """Lower case, with one blank for each run of other characters and at both ends."""
-    return f" {NOT_WORD.sub(' ', text.lower()).strip()} "
+def words_of(text: str) -> set[str]:
+    return set(FIND_WORDS(text.lower()))
 
 
-@lru_cache(maxsize=20_000)
-def word_grams(word: str) -> tuple[str, ...]:
+def word_grams(word: str) -> set[str]:
     padded = f" {word} "
-    return tuple({padded[k : k + n] for n in LENGTHS for k in range(len(padded) - n + 1)})
+    return {padded[k : k + n] for n in LENGTHS for k in range(len(padded) - n + 1)}
 
 
 def text_grams(text: str) -> set[str]:
-    return {gram for word in set(plain(text).split()) for gram in word_grams(word)}
+    return {gram for word in words_of(text) for gram in word_grams(word)}
 
 
-@lru_cache(maxsize=2)
-def automaton(grams: tuple[str, ...]):
-    import ahocorasick
+class Features(dict):
+    """The numbers of the features that each word holds; those of frequent words are kept."""
 
-    found = ahocorasick.Automaton()
-    for k, gram in enumerate(grams):
-        found.add_word(gram, k)
-    if grams:
-        found.make_automaton()
-    return found
+    def __init__(self, grams: Iterable[str]):
+        self.number = {gram: k for k, gram in enumerate(grams)}
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.number[x] for x in word_grams(word) if x in self.number)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = found
+        return found
 
-def features_of(text: str, grams: tuple[str, ...]) -> set[int]:
-    return {k for _, k in automaton(grams).iter(plain(text))} if grams else set()
+    def of(self, text: str) -> set[int]:
+        return set().union(*map(self.__getitem__, words_of(text)))
 
 
 def held_out(id_column: Column) -> Column:
@@ -86,7 +89,7 @@ def _gram_counts(batches):
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(text_grams(text))
+            counts[toxic].update(text_grams(text))  # no more than the sample holds
     grams = list(counts[0] | counts[1])
     for start in range(0, len(grams), 100_000):
         part = grams[start : start + 100_000]
@@ -95,8 +98,9 @@ def _gram_counts(batches):
 
 def _indexed(grams: tuple[str, ...]):
     def run(batches):
+        features = Features(grams)
         for batch in batches:
-            found = [sorted(features_of(text, grams)) for text in batch.column(0).to_pylist()]
+            found = [sorted(features.of(text)) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["features", "toxic"])
 
     return run
@@ -109,20 +113,21 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, i
     chosen = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
     # at most 2 * per_class ids, whatever the size of the tables
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(picked, "__id").dropDuplicates(["__id"]).select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(picked, "__id")
+    return rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def fit(rows: list[list[int]], toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients of a ridge logistic regression on the scaled features, by Adam."""
-    lengths = np.array([len(x) for x in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    column = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows]) if len(row) else np.zeros(0, np.int64)
-    value = ratio[column]
+def fit(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of a ridge logistic regression on the scaled features, by Adam; text row[k] holds feature column[k], in order of texts."""
+    rows, value = toxic, ratio[column]
+    first = np.flatnonzero(np.diff(row, prepend=-1))  # where each text's features begin
     beta, bias = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     share = weight / weight.sum()
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(row, value * beta[column], len(rows)) + bias
+        z = np.full(len(rows), bias)
+        if len(first):
+            z[row[first]] += np.add.reduceat(value * beta[column], first)
         slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
         gradient = np.append(np.bincount(column, value * slope[row], len(ratio)) + RIDGE * beta, slope.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
@@ -131,42 +136,47 @@ def fit(rows: list[list[int]], toxic: np.ndarray, weight: np.ndarray, ratio: np.
     return beta, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits a model on the labelled rows that held_out() leaves.
 
-    Null labels and ids are left out; of a repeated id one row is used, and the higher label. With no
+    Null labels and ids are left out; of a repeated id the row with the smallest text is used, and the higher label. With no
     row of either class the model knows no feature and scores every text by the smoothed class share.
     """
-    from pyspark import StorageLevel
-
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     shares = {row.toxic: row.n for row in marked.groupBy(F.col(label_col).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    rows = sample(docs, labels, label_col, per_class, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(sample(docs, labels, label_col, per_class, id_col, text_col), "labelled-sample")
     sampled = {row.toxic: row.n for row in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     have = [sampled.get(k, 0) for k in (0, 1)]
     if not all(have):
-        rows.unpersist()
         return Model([], [], float(np.log((shares.get(1, 0) + SMOOTHING) / (shares.get(0, 0) + SMOOTHING))))
     counts = rows.mapInArrow(_gram_counts, "gram string, toxic bigint, other bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     in_toxic = (F.col("toxic") + SMOOTHING) / (have[1] + 2 * SMOOTHING)
     in_other = (F.col("other") + SMOOTHING) / (have[0] + 2 * SMOOTHING)
-    ratio = F.log(in_toxic / in_other)
-    best = counts.where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).select("gram", ratio.alias("ratio"), (F.abs(in_toxic - in_other) * F.abs(ratio)).alias("gain"))
-    best = best.orderBy(F.col("gain").desc(), "gram").limit(features).collect()
+    both = (F.col("toxic") + F.col("other")) / sum(have)
+    error = F.sqrt(both * (1 - both) * (1 / have[0] + 1 / have[1]))
+    told = F.abs(F.col("toxic") / have[1] - F.col("other") / have[0]) >= LEAST_Z * error
+    best = counts.where((F.col("toxic") + F.col("other") >= LEAST_TEXTS) & (error > 0) & told)
+    best = best.select("gram", F.log(in_toxic / in_other).alias("ratio")).orderBy("gram").collect()  # bounded by the sample
     grams = tuple(x.gram for x in best)
-    table = rows.mapInArrow(_indexed(grams), "features array<int>, toxic int").collect()  # bounded by per_class and features
-    rows.unpersist()
-    toxic = np.array([x.toxic for x in table])
+    table = rows.mapInArrow(_indexed(grams), "features array<int>, toxic int").toArrow().combine_chunks()  # bounded by the sample
+    lists = table.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+    toxic = table.column("toxic").to_numpy()
     weight = np.where(toxic == 1, shares[1] / have[1], shares[0] / have[0])
     scale = np.array([x.ratio for x in best])
-    beta, bias = fit([x.features for x in table], toxic, weight, scale)
+    beta, bias = fit(row, lists.flatten().to_numpy(), toxic, weight, scale)
     keep = np.flatnonzero(np.abs(beta * scale) > 1e-4)
     return Model([grams[k] for k in keep], [float(beta[k] * scale[k]) for k in keep], bias)
 
 
+@lru_cache(maxsize=1)
+def _features(grams: tuple[str, ...]) -> Features:
+    return Features(grams)
+
+
 def score_texts(texts: Iterable[str], model: Model) -> np.ndarray:
-    weights = model.weights
-    z = np.array([model.bias + sum(weights[k] for k in sorted(features_of(x, model.grams))) for x in texts], dtype=float)
+    weight, features = model.weights.__getitem__, _features(model.grams)
+    z = np.array([model.bias + math.fsum(map(weight, features.of(x))) for x in texts], dtype=float)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
