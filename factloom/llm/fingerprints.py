@@ -14,6 +14,8 @@ each choice of the blocks that agree is one table to join on.
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,11 @@ from factloom.llm.common import materialise, text_of, with_text
 SHINGLE = 5
 #: Bits of a fingerprint: two hashes of 64.
 BITS = 128
-#: Bytes of text in a bucket of neighbouring documents, about, and buckets at most (larger ones spill).
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 20_000
+#: Bytes of text in a bucket of neighbouring documents, about. From MOST_BUCKETS on (2 TB) buckets grow instead, to
+#: 200 MB at 100 TB: their first rows are broadcast, which so stays below 32 MB.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 500_000
+#: Ranges of ids that buckets are laid out in, and ids that are looked at to find them.
+RANGES, LOOKED_AT = 512, 200_000
 #: Bits of two lanes that a hash adds to at once.
 LANES = 0x0000000100000001
 LEAST = -(1 << 63)
@@ -96,45 +101,70 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _summed(rows, ["id", "digest"], "text").select(F.col("id").alias(id_col), "fingerprint")
 
 
-def _below(value: Column, limits: list[int]) -> Column:
-    """How many of the sorted limits are less than value, found in two steps of about the root of their number."""
-    if not limits:
-        return F.lit(0)
-    width = max(1, int(len(limits) ** 0.5))
-    groups = [limits[k : k + width] for k in range(0, len(limits), width)]
-    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
-    nested = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
-    group = F.size(F.filter(heads, lambda h: h < value))
-    inside = F.size(F.filter(F.element_at(nested, F.greatest(group, F.lit(1))), lambda c: c < value))
-    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
+def id_ranges(rows: DataFrame, buckets: int) -> list[dict]:
+    """Ranges of the column own, from high to low: low (not in it), high, buckets, and the number of the first one.
+
+    RANGES quantiles of some ids give ranges of about as many rows; a range has buckets by its share. An id
+    that so many rows have that it is several quantiles is a range of its own. Only how evenly rows are
+    dealt depends on this.
+    """
+    n, least, most = rows.agg(F.count("*"), F.min("own"), F.max("own")).first()
+    parts = min(RANGES, buckets)
+    if parts < 2 or not n:
+        return [{"low": None, "high": most, "k": buckets, "first": 0, "one": least == most, "span": float((most or 0) - (least or 0) + 1)}]
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    some = rows.select("own").sample(min(1.0, LOOKED_AT / n), 7).agg(F.percentile_approx("own", shares, 10 * RANGES)).first()[0] or []
+    times = Counter([*some, most])
+    heavy = {x for x, m in times.items() if m > 1}
+    edges = sorted(set(times) | {x - 1 for x in heavy if x > least})
+    out, low, number = [], least - 1 if least > LEAST else None, 0
+    for high in edges:
+        one = high in heavy
+        share = (times.get(high, 1) if one else 1) / parts
+        out.append({"low": low, "high": high, "k": max(1, math.ceil(buckets * share)), "one": one, "span": float(high - (least if low is None else low))})
+        low = high
+    for x in reversed(out):
+        x["first"], number = number, number + x["k"]
+    return out
+
+
+def bucket_of(ranges: list[dict], own: Column, mark: Column) -> Column:
+    """The bucket of a row, ascending in the order of descending own and ascending mark (a 64-bit hash)."""
+    edges = F.from_json(F.lit(json.dumps([x["high"] for x in ranges[:-1]])), "array<bigint>")
+    table = F.from_json(F.lit(json.dumps([{k: x[k] for k in ("high", "k", "first", "one", "span")} for x in ranges])), "array<struct<high: bigint, k: bigint, first: bigint, one: boolean, span: double>>")
+    # a literal table is parsed once for each task, and searched in two steps of about the root of its length
+    width = max(1, math.isqrt(len(ranges)))
+    heads = F.from_json(F.lit(json.dumps([x["high"] for x in ranges[width - 1 : -1 : width]])), "array<bigint>")
+    group = F.size(F.filter(heads, lambda e: e < own)) * width
+    inside = F.size(F.filter(F.slice(edges, (group + 1).cast("int"), width), lambda e: e < own))
+    at = F.element_at(table, (group + inside + 1).cast("int"))
+    down = (at["high"].cast("double") - own.cast("double")) / at["span"]
+    along = F.when(at["one"], (mark.cast("double") + 2.0**63) / 2.0**64).otherwise(down)
+    return at["first"] + F.greatest(F.lit(0), F.least(at["k"] - 1, F.floor(along * at["k"])))
 
 
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, place, halo, id, text and following: each text with the next one by descending id.
 
-    Ids are cut into ranges of about BUCKET_BYTES of text. The first row of a range is also copied to
-    the end of the range before it (the very first to the very last) as a halo row, so that each row's
-    next one is in its own range, and one shuffle of the texts is enough.
+    Ids are cut into buckets of about BUCKET_BYTES of text, which follow each other in that order. The first
+    row of a bucket is also copied to the end of the bucket before it (the very first to the very last) as
+    a halo row, so that each row's next one is in its own bucket, and one shuffle of the texts is enough.
     """
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("own", F.coalesce(F.col("id").cast("long"), F.lit(LEAST)))
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = rows.select("id", F.coalesce(F.col("id").cast("long"), F.lit(LEAST)).alias("own"), F.xxhash64("text").alias("mark"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
-    limits: list[int] = []
-    if n > 1:
-        shares = F.array(*(F.lit(k / n) for k in range(1, n)))
-        limits = sorted(set(rows.agg(F.percentile_approx("own", shares, 20 * n)).first()[0] or []))
-    rows = rows.withColumn("range", _below(F.col("own"), limits))
-    heads = {r.range: r.head for r in rows.groupBy("range").agg(F.max("own").alias("head")).collect()}  # a row for each range
-    ranges = sorted(heads)
-    if not ranges:
-        ranges, heads = [0], {0: LEAST}
-    into = {k: ranges[(i + 1) % len(ranges)] for i, k in enumerate(ranges)}  # where the copy of a range's first row goes
-    known = F.from_json(F.lit(json.dumps({str(k): [heads[k], into[k]] for k in ranges})), "map<string, array<bigint>>")
-    own = F.element_at(known, F.col("range").cast("string"))
-    place = lambda bucket, halo: F.struct(F.lit(bucket).cast("long").alias("bucket") if isinstance(bucket, int) else bucket.cast("long").alias("bucket"), F.lit(halo).alias("halo"))
-    copies = F.when(own[0] == F.col("own"), F.array(place(F.col("range"), 0), place(own[1], 1))).otherwise(F.array(place(F.col("range"), 0)))
-    rows = rows.select("id", "own", "text", F.explode(copies).alias("at")).select("id", "own", "text", "at.bucket", "at.halo")
-    order = W.partitionBy("bucket").orderBy("halo", F.col("own").desc(), F.xxhash64("text"))
+    ranges = id_ranges(rows, min(MOST_BUCKETS, size // BUCKET_BYTES + 1))
+    rows = rows.withColumn("bucket", bucket_of(ranges, F.col("own"), F.col("mark")))
+    head = F.min(F.struct((F.lit(-1) - F.col("own")).alias("down"), "mark")).alias("head")
+    marks = rows.groupBy("bucket").agg(head).select("bucket", (F.lit(-1) - F.col("head.down")).alias("own"), F.col("head.mark").alias("mark"))
+    # a row for each bucket, MOST_BUCKETS or so at most
+    order = W.orderBy("bucket")
+    last = F.max("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    firsts = materialise(marks.select("bucket", "own", "mark", F.coalesce(F.lag("bucket").over(order), last).alias("before")), "bucket-heads")
+    at = lambda bucket, halo: F.struct(F.col(bucket).alias("bucket"), F.lit(halo).alias("halo"))
+    rows = rows.join(F.broadcast(firsts), ["bucket", "own", "mark"], "left")
+    rows = rows.select("id", "own", "mark", "text", F.inline(F.when(F.col("before").isNull(), F.array(at("bucket", 0))).otherwise(F.array(at("bucket", 0), at("before", 1)))))
+    order = W.partitionBy("bucket").orderBy("halo", F.col("own").desc(), "mark")
     return rows.select("bucket", F.row_number().over(order).alias("place"), "halo", "id", "text", F.lead("text").over(order).alias("following"))
 
 
@@ -198,15 +228,17 @@ def search(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int |
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance")
 
 
-def count_within(rows: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
-    """rows (with a column fingerprint) and n_within: how many rows have a fingerprint within the radius.
+def count_within(rows: DataFrame, asked: Column, radius: int = 3, blocks: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """rows (with a column fingerprint), n_within and first_within: how many rows have a fingerprint within the radius, and their smallest id.
 
-    It is counted for the rows for which asked holds, their own row included, and null for the others.
+    They are found for the rows for which asked holds, their own row included, and null for the others.
     Fingerprints are counted before they are joined, so that copies cost one row.
     """
     rows = materialise(rows, "fingerprints")
     queries = rows.where(asked).select("fingerprint")
-    copies = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    near = search(rows, queries, radius).join(copies, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
-    others = rows.where(F.coalesce(~asked, F.lit(True))).withColumn("n_within", F.lit(None).cast("long"))
+    copies = materialise(rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "fingerprint-counts")
+    near = search(copies, queries, radius, blocks).join(copies, "fingerprint")
+    near = near.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n_within"), F.min("least").alias("first_within"))
+    none = {"n_within": F.lit(None).cast("long"), "first_within": F.lit(None).cast(rows.schema[id_col].dataType)}
+    others = rows.where(F.coalesce(~asked, F.lit(True))).withColumns(none)
     return rows.where(asked).join(near, "fingerprint").select(others.columns).unionByName(others)

@@ -20,10 +20,14 @@ def tokenizer_path(name: str) -> str:
 TOKEN_LIMIT = 512
 
 
+#: The search by block tables: bits within which fingerprints are near, and blocks (28 tables with keys of 32 bits).
+NEAR_BITS, NEAR_BLOCKS = 6, 8
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document and of its edited text; for every fiftieth id how many documents are within 3 bits."""
+    """SimHash of every document and of its edited text; for every fiftieth id which documents are within NEAR_BITS bits."""
     found = fingerprints.with_neighbours(documents(spark, sf_dir))
-    return fingerprints.count_within(found, F.col("doc_id") % 50 == 0, radius=3)
+    return fingerprints.count_within(found, F.col("doc_id") % 50 == 0, NEAR_BITS, NEAR_BLOCKS)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

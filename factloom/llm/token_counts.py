@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import path_exists, text_of, with_text
+from factloom.llm.common import materialise, path_exists, text_of, with_text
 
 #: Entries of each worker's cache of pre-token counts; a full cache is emptied.
 PIECE_CACHE = 1_000_000
@@ -131,7 +131,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_dir: str, id_col: str
         distinct = distinct.join(_stored(spark, path), "digest", "left_anti")
     distinct.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint").write.mode("append").parquet(path)
     sizes = rows.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return sizes.join(_stored(spark, path), "digest").select(id_col, "n_bytes", "n_tokens", "digest")
+    # written, so that the join can be split where one text is in a third of all rows
+    known = materialise(_stored(spark, path), "known-counts")
+    return sizes.join(known, "digest").select(id_col, "n_bytes", "n_tokens", "digest")
 
 
 def _stored(spark, path: str) -> DataFrame:
