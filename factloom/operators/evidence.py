@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,13 +11,19 @@ from factloom.functions.text import escape, qualifiers, quoted_in
 #: Grades of confidence, the surest last.
 GRADES = ["probable", "exact"]
 
-#: The order of the facts under a heading: surest first (as it happens, by letter), then by time.
+#: The order of the facts under a heading, after their grade: by time.
 FACT_ORDER = ["confidence", "when_raw", "order_key", "line", "amount_cents"]
 
 
+def doubt() -> Column:
+    """The place of a fact's grade, the surest first; a grade that is not known comes last."""
+    place = F.array_position(F.array(*map(F.lit, reversed(GRADES))), F.col("confidence"))
+    return F.when(place > 0, place).otherwise(len(GRADES) + 1).alias("doubt")
+
+
 def edge_facts(facts: DataFrame) -> DataFrame:
     """One row for each edge: its facts as one sorted array, their number and total."""
-    entry = F.struct(*FACT_ORDER)
+    entry = F.struct(doubt(), *FACT_ORDER)
     return facts.groupBy("subject_id", "predicate", "object_id").agg(F.count("*").alias("n_facts"), F.sum("amount_cents").alias("total_cents"), F.array_sort(F.collect_list(entry)).alias("facts"))
 
 
@@ -43,7 +49,7 @@ def footnotes(facts: DataFrame) -> DataFrame:
 
     A snippet's first place is found by aggregation, so only one row for each page and snippet is sorted.
     """
-    order = F.struct("object_id", *FACT_ORDER)
+    order = F.struct("object_id", doubt(), *FACT_ORDER)
     first = facts.groupBy(F.col("subject_id").alias("page_id"), "snippet_id").agg(F.min(order).alias("first"), F.count("*").alias("uses"))
     number = F.row_number().over(W.partitionBy("page_id").orderBy("first", "snippet_id"))
     return first.select("page_id", "snippet_id", number.alias("number"), "uses")
@@ -53,7 +59,7 @@ def numbered(facts: DataFrame) -> DataFrame:
     """Facts with their page's number for the snippet, and a back link that no other fact of the page has."""
     notes = footnotes(facts).select(F.col("page_id").alias("subject_id"), "snippet_id", "number")
     found = facts.join(notes, ["subject_id", "snippet_id"])
-    use = F.row_number().over(W.partitionBy("subject_id", "snippet_id").orderBy("object_id", *FACT_ORDER))
+    use = F.row_number().over(W.partitionBy("subject_id", "snippet_id").orderBy("object_id", doubt(), *FACT_ORDER))
     return found.withColumn("back_link", F.format_string("fnref-%d-%d", F.col("number"), use))
 
 

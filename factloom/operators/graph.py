@@ -105,3 +105,9 @@ def common_neighbours(edges: DataFrame, one: str, other: str) -> DataFrame:
     """The neighbours that two pages share."""
     near = neighbours(edges)
     return near.where(F.col("page_id") == one).select("other_id").intersect(near.where(F.col("page_id") == other).select("other_id"))
+
+
+def lost_edges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Edges that an older graph has and a newer one has not, as often as they are missing."""
+    names = ["subject_id", "predicate", "object_id"]
+    return before.select(names).exceptAll(after.select(names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import colour, escape
@@ -48,6 +48,17 @@ def index_counts(entities: DataFrame) -> DataFrame:
     return entities.select(F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("entities"))
 
 
+def file_name(entity_id: Column) -> Column:
+    """The name of an entity's page."""
+    return F.concat(F.lit("entity-"), F.replace(entity_id, F.lit(":"), F.lit("-")), F.lit(".html"))
+
+
+def index_list(entities: DataFrame) -> DataFrame:
+    """The list of all profiles: type, entity_id, name and file_name, by type and lower-cased name."""
+    rows = entities.select(F.explode("types").alias("type"), "entity_id", "name", file_name(F.col("entity_id")).alias("file_name"))
+    return rows.orderBy("type", F.lower("name"), "entity_id")
+
+
 def profiles(entities: DataFrame, edges: DataFrame, facts: DataFrame, snippets: DataFrame, labels: DataFrame, red: str) -> DataFrame:
     """entity_id, file_name and html of each entity's page.
 
@@ -62,7 +73,7 @@ def profiles(entities: DataFrame, edges: DataFrame, facts: DataFrame, snippets:
     found = entities.join(bar, "entity_id", "left").join(body, "entity_id", "left").join(sources, "entity_id", "left")
     head = F.format_string('<h1 class="%s">%s</h1><p>%s</p>', colour(F.col("types"), red), escape(F.col("name")), F.array_join(F.array_sort("types"), ", "))
     empty = F.lit(f"<p>{NO_EDGES}</p>")
-    return found.select("entity_id", F.concat(F.lit("entity-"), F.replace(F.col("entity_id"), F.lit(":"), F.lit("-")), F.lit(".html")).alias("file_name"), F.concat_ws("", head, F.col("bar"), F.coalesce("body", empty), F.col("sources")).alias("html"))
+    return found.select("entity_id", file_name(F.col("entity_id")).alias("file_name"), F.concat_ws("", head, F.col("bar"), F.coalesce("body", empty), F.col("sources")).alias("html"))
 
 
 def write_profiles(pages: DataFrame, path: str) -> None:

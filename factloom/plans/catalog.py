@@ -135,6 +135,65 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.index_counts(tb.entities(spark, sf_dir))
 
 
+@query("SELECT type, entity_id, name, 'entity-' || replace(entity_id, ':', '-') || '.html' AS file_name FROM (SELECT unnest(types) AS type, entity_id, name FROM entity)")
+def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of all profiles, by type and name."""
+    return pages.index_list(tb.entities(spark, sf_dir))
+
+
+@query("""SELECT subject_id, object_id, coalesce(label, code, 'linked') AS label FROM (SELECT subject_id, object_id, CASE WHEN predicate <> 'IN_REGION' THEN predicate END AS code FROM edge) e
+LEFT JOIN label USING (code)""")
+def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with their labels where places have no predicate at all."""
+    edges = tb.edges(spark, sf_dir).withColumn("predicate", F.when(F.col("predicate") != "IN_REGION", F.col("predicate")))
+    return graph.labelled(edges, tb.predicate_labels(spark)).select("subject_id", "object_id", "label")
+
+
+@query("""SELECT subject_id, predicate, object_id FROM edge WHERE (subject_id, predicate, object_id) NOT IN (SELECT subject_id, predicate, object_id FROM fact WHERE confidence = 'exact')
+AND predicate IN ('ORDERED', 'SUPPLIES')""")
+def lost_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are lost if only exact facts count."""
+    facts = tb.facts(spark, sf_dir)
+    edges = facts.select("subject_id", "predicate", "object_id").distinct()
+    return graph.lost_edges(edges, evidence.at_least(facts, "exact").select("subject_id", "predicate", "object_id").distinct())
+
+
+#: Orders write their dates in eight ways and their prices in six; the twins say what must be read without parsing.
+WHEN_SQL = """SELECT o_orderkey, CASE WHEN k = 7 THEN NULL WHEN k = 6 THEN NULL ELSE y END::INT AS first_year, CASE WHEN k IN (5, 7) THEN NULL WHEN k = 2 THEN y + 3 WHEN k = 6 THEN y ELSE y END::INT AS last_year,
+       CASE k WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'range' WHEN 3 THEN 'about' WHEN 4 THEN 'year' WHEN 5 THEN 'bound' WHEN 6 THEN 'bound' END AS precision, k IN (5, 6) AS is_open
+FROM (SELECT o_orderkey, o_orderkey % 8 AS k, year(o_orderdate) AS y FROM orders)"""
+
+
+@query(WHEN_SQL)
+def when_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in free text, read back as years with their precision."""
+    date, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    year = F.date_format(date, "yyyy")
+    ways = [F.date_format(date, "yyyy-MM-dd"), F.date_format(date, "yyyy-MM"), F.concat(year, F.lit(" - "), (F.year(date) + 3).cast("string")), F.concat(F.lit("~"), year), year, F.concat(F.lit("after "), year), F.concat(F.lit("before "), year)]
+    raw = F.lit("not known")
+    for n, way in enumerate(ways):
+        raw = F.when(k == n, way).otherwise(raw)
+    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_when(raw).alias("read"))
+    return rows.select("o_orderkey", *(F.col(f"read.{x}").alias(x) for x in ("first_year", "last_year", "precision", "is_open")))
+
+
+AMOUNT_SQL = """SELECT o_orderkey, (CASE k WHEN 0 THEN n WHEN 1 THEN n + 0.5 WHEN 2 THEN (n + 0.5) * 1000 WHEN 3 THEN n * 1000000 WHEN 4 THEN n::DECIMAL(20,4) * 1000000000 END)::DOUBLE AS value,
+       CASE k WHEN 0 THEN 'number' WHEN 1 THEN 'percent' WHEN 5 THEN NULL ELSE 'currency' END AS unit, CASE k WHEN 2 THEN 'USD' WHEN 3 THEN 'UAH' WHEN 4 THEN 'EUR' END AS currency
+FROM (SELECT o_orderkey, o_orderkey % 6 AS k, (o_orderkey % 997)::DECIMAL(20,4) AS n FROM orders)"""
+
+
+@query(AMOUNT_SQL)
+def amount_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in free text, read back as a value with its unit and currency."""
+    k, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 997).cast("string")
+    ways = [n, F.concat(n, F.lit(".5%")), F.concat(F.lit("$"), n, F.lit(",5 тыс.")), F.concat(n, F.lit(" млн гривен")), F.concat(F.lit("€"), n, F.lit(" млрд"))]
+    raw = F.lit("some of it")
+    for at, way in enumerate(ways):
+        raw = F.when(k == at, way).otherwise(raw)
+    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_amount(raw).alias("read"))
+    return rows.select("o_orderkey", F.col("read.value").cast("double").alias("value"), "read.unit", "read.currency")
+
+
 @query("""SELECT subject_id, object_id, order_key, line, amount_cents, concat_ws(' · ', when_raw,
        CASE WHEN amount_cents >= 1000000 THEN '$' || (amount_cents // 100) END, CASE WHEN confidence <> 'exact' THEN confidence END) AS shown FROM fact""")
 def fact_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,18 +240,21 @@ def last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.last_change(tb.facts(spark, sf_dir))
 
 
-#: A third of the quotations are damaged by a word that no text has.
-QUOTES_SQL = """SELECT doc_id AS quote_id, doc_id AS snippet_id, substr(coalesce(text, ''), 1, 40) || CASE WHEN doc_id % 3 = 0 THEN ' zzqx ' ELSE '... ' END || substr(coalesce(text, ''), 61, 40) AS quote FROM documents WHERE doc_id >= 0"""
+#: Quotations come from places all over the texts; a third of them are damaged by a word that no text has.
+PLACE_SQL = "(coalesce(abs(doc_id), 0) * 7919) % greatest(length(coalesce(text, '')) - 100, 1)"
+QUOTES_SQL = f"""SELECT doc_id AS quote_id, doc_id AS snippet_id, substr(coalesce(text, ''), ({PLACE_SQL} + 1)::BIGINT, 40) || CASE WHEN coalesce(doc_id, 0) % 3 = 0 THEN ' zzqx ' ELSE '... ' END || substr(coalesce(text, ''), ({PLACE_SQL} + 61)::BIGINT, 40) AS quote FROM documents"""
 
 
 @query(f"""SELECT quote_id, q.snippet_id, coalesce(len(list_filter(list_filter(list_transform(string_split(quote, '...'), lambda p: trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda p: length(p) > 0),
        lambda p: NOT contains(trim(regexp_replace(lower(d.text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), p))) = 0, false) AS found
 FROM ({QUOTES_SQL}) q LEFT JOIN documents d ON q.snippet_id = d.doc_id""")
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two slices of each document as a quotation with an elision; every third one is damaged."""
-    docs = tb.table(spark, sf_dir, "documents").where("doc_id >= 0")
+    """Two slices of each document, from anywhere in it, as a quotation with an elision; every third one is damaged."""
+    docs = tb.table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    quote = F.concat(F.substring(text, 1, 40), F.when(F.col("doc_id") % 3 == 0, " zzqx ").otherwise("... "), F.substring(text, 61, 40))
+    own = F.coalesce(F.abs("doc_id"), F.lit(0))
+    at = ((own * 7919) % F.greatest(F.char_length(text) - 100, F.lit(1))).cast("int")
+    quote = F.concat(F.substr(text, at + 1, F.lit(40)), F.when(F.coalesce("doc_id", F.lit(0)) % 3 == 0, " zzqx ").otherwise("... "), F.substr(text, at + 61, F.lit(40)))
     quotes = docs.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("snippet_id"), quote.alias("quote"))
     return evidence.quote_check(quotes, docs.select(F.col("doc_id").alias("snippet_id"), "text"))
 

@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Snippets that facts cite are the documents with these many smallest ids.
-SNIPPETS = 200
+#: Factors that spread order lines over all documents as their snippets.
+SPREAD_ORDER, SPREAD_LINE = 31, 7
 
 #: Predicate codes with their labels; a code without one is shown as it is.
 PREDICATES = {
@@ -53,7 +53,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two facts for each order line: the customer ordered the part, the supplier supplies it."""
+    """Two facts for each order line: the customer ordered the part, the supplier supplies it.
+
+    A line's facts cite one of all documents, by its number modulo the largest id; some cite an id that no document has.
+    """
+    documents = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     ends = F.array(F.struct(ref("customer", "o_custkey").alias("subject_id"), F.lit("ORDERED").alias("predicate")), F.struct(ref("supplier", "l_suppkey").alias("subject_id"), F.lit("SUPPLIES").alias("predicate")))
     return lines.select(
@@ -64,7 +68,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("when_raw"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount_cents"),
         F.when(F.col("l_linestatus") == "F", "exact").otherwise("probable").alias("confidence"),
-        F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(SNIPPETS)).cast("long").alias("snippet_id"),
+        F.pmod(F.col("l_orderkey") * SPREAD_ORDER + F.col("l_linenumber") * SPREAD_LINE, documents).cast("long").alias("snippet_id"),
     )
 
 
@@ -77,7 +81,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.col("doc_id") >= 0) & (F.col("doc_id") < SNIPPETS))
+    """All documents as snippets."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("snippet_id"), "text", F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("source_url"))
 
 
@@ -96,7 +101,7 @@ entity AS (
   UNION ALL SELECT 'region:' || r_regionkey, r_name, 'region', ['region'], NULL FROM region),
 line AS (SELECT *, 'part:' || l_partkey AS object_id, l_orderkey AS order_key, l_linenumber AS line, strftime(l_shipdate, '%Y-%m-%d') AS when_raw,
     round(l_extendedprice * 100)::BIGINT AS amount_cents, CASE WHEN l_linestatus = 'F' THEN 'exact' ELSE 'probable' END AS confidence,
-    ((l_orderkey + l_linenumber) % {SNIPPETS})::BIGINT AS snippet_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    ((l_orderkey * {SPREAD_ORDER} + l_linenumber * {SPREAD_LINE}) % (SELECT max(doc_id) + 1 FROM documents))::BIGINT AS snippet_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 fact AS (
   SELECT 'customer:' || o_custkey AS subject_id, 'ORDERED' AS predicate, object_id, order_key, line, when_raw, amount_cents, confidence, snippet_id FROM line
   UNION ALL SELECT 'supplier:' || l_suppkey, 'SUPPLIES', object_id, order_key, line, when_raw, amount_cents, confidence, snippet_id FROM line),
@@ -105,6 +110,6 @@ edge AS (
   UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey FROM supplier
   UNION ALL SELECT 'nation:' || n_nationkey, 'IN_REGION', 'region:' || n_regionkey FROM nation
   UNION ALL (SELECT DISTINCT subject_id, predicate, object_id FROM fact)),
-snippet AS (SELECT doc_id AS snippet_id, text, 'https://' || source || '.example/' || doc_id AS source_url FROM documents WHERE doc_id >= 0 AND doc_id < {SNIPPETS}),
+snippet AS (SELECT doc_id AS snippet_id, text, 'https://' || source || '.example/' || doc_id AS source_url FROM documents),
 label AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in PREDICATES.items())}) AS t(code, label))
 """
