@@ -60,7 +60,7 @@ MIX = tuple(np.uint64(int.from_bytes(xxhash.xxh3_128_digest(f"shingle {k}")[:8],
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Words whose hashes a worker keeps, and bytes of the longest such word.
-WORDS_KEPT, WORD_BYTES = 500_000, 64
+WORDS_KEPT, WORD_BYTES = 200_000, 64
 
 
 class _WordHashes(dict):
@@ -78,6 +78,11 @@ class _WordHashes(dict):
 _KNOWN = _WordHashes()
 
 
+def forget_words() -> None:
+    """Empties the cache: a worker that waits for its next task holds no memory that others need."""
+    _KNOWN.clear()
+
+
 def _hashes(data: bytes) -> np.ndarray:
     words = data.lower().split()  # bytes: A-Z only, and ASCII white space only
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
@@ -175,6 +180,7 @@ def _signatures(shingle: int):
                     held, seen, total = [], set(), 0
         if held:
             yield flush(held)
+        forget_words()
 
     return run
 
@@ -228,6 +234,7 @@ def _prefixes(shingle: int, percent: int, frequent: np.ndarray, times: np.ndarra
                 flat = np.concatenate(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(table[:, 0], counts)), *none(len(flat), 5)], names=names)
                 yield pa.RecordBatch.from_arrays([*none(len(table), 1), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(6))], names=names)
+        forget_words()
 
     return run
 
@@ -370,6 +377,7 @@ def _tokens(shingle: int):
                         packed.append(tokens.tobytes())
                 rest = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], names=[*batch.schema.names[1:], "tokens"])
+        forget_words()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh, materialise, text_of, with_text
-from factloom.llm.ngram_join import MIX, SPACES, word_hashes
+from factloom.llm.ngram_join import MIX, SPACES, forget_words, word_hashes
 
 #: Places of which one is a cut, and words that are hashed for a place.
 WINDOW, GRAM = 15, 3
@@ -172,6 +172,7 @@ def _windows(least_words: int):
                 ids, texts, versions = (c.to_pylist() for c in batch.slice(start, step).columns)
                 columns = window_table(ids, texts, versions, least_words)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+        forget_words()
 
     return run
 

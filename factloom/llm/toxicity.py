@@ -5,8 +5,8 @@ with a blank, and count as present or absent. A feature's value is its log-count
 its share of toxic texts over its share of other texts. A logistic regression on those values is fitted
 by gradient descent. All n-grams are features that LEAST_TEXTS sampled texts hold and whose shares
 differ by more than chance (LEAST_Z standard errors): those of an equal share have a value near zero and
-would add noise alone. A word's features are found once and kept, so a text costs one look-up for each
-of its distinct words, whole and whatever its length.
+would add noise alone. A word's features are found by one Aho-Corasick scan and kept, so a text costs
+one look-up for each of its distinct words, whole and whatever its length.
 
 The fit uses a bounded sample of labelled rows (PER_CLASS of each class, those with the smallest
 hash of the id), weighted to the classes' true shares. Scoring covers every row.
@@ -34,7 +34,7 @@ LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Sampled texts that must hold an n-gram, and standard errors by which its shares differ at least.
 LEAST_TEXTS, LEAST_Z = 3, 3.0
 #: Words whose features a worker keeps, and letters of the longest such word.
-WORDS_KEPT, WORD_CHARS = 200_000, 64
+WORDS_KEPT, WORD_CHARS = 100_000, 64
 #: Added to each count before the ratio is taken.
 SMOOTHING = 0.5
 RIDGE, RATE, ROUNDS = 1e-4, 0.05, 300
@@ -66,10 +66,16 @@ class Features(dict):
     """The numbers of the features that each word holds; those of frequent words are kept."""
 
     def __init__(self, grams: Iterable[str]):
-        self.number = {gram: k for k, gram in enumerate(grams)}
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for k, gram in enumerate(grams):
+            self.automaton.add_word(gram, k)
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.number[x] for x in word_grams(word) if x in self.number)
+        found = tuple({k for _, k in self.automaton.iter(f" {word} ")}) if len(self.automaton) else ()
         if len(word) <= WORD_CHARS:
             if len(self) >= WORDS_KEPT:
                 self.clear()
@@ -197,5 +203,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
         for batch in batches:
             n = batch.num_columns - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score_texts(batch.column(n).to_pylist(), model), pa.float64())], names=[*kept, score_col])
+        _features.cache_clear()  # a worker that waits for its next task holds no memory that others need
 
     return rows.mapInArrow(run, schema)
