@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ LEAST_TEXTS, LEAST_Z = 3, 3.0
 WORDS_KEPT, WORD_CHARS = 100_000, 64
 #: Added to each count before the ratio is taken.
 SMOOTHING = 0.5
+#: n-grams that a task counts before it hands the counts on, and values of features that the fit holds at once, about.
+GRAMS_HELD, VALUES_HELD = 200_000, 500_000
+#: Tasks that the sample's texts are dealt to.
+SAMPLE_TASKS = 24
 RIDGE, RATE, ROUNDS = 1e-4, 0.05, 300
 
 FIND_WORDS = re.compile(r"[^\W_]+").findall
@@ -92,14 +97,22 @@ def held_out(id_column: Column) -> Column:
 
 
 def _gram_counts(batches):
+    """Rows of n-grams with the texts of each class that hold them; an n-gram may come several times, each with a part of its count."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def handed_on() -> pa.RecordBatch:
+        grams = list(counts[0] | counts[1])
+        columns = [pa.array(grams, pa.string()), *(pa.array([counts[k][x] for x in grams], pa.int64()) for k in (1, 0))]
+        for x in counts:
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "toxic", "other"])
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(text_grams(text))  # no more than the sample holds
-    grams = list(counts[0] | counts[1])
-    for start in range(0, len(grams), 100_000):
-        part = grams[start : start + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[k][x] for x in part], pa.int64()) for k in (1, 0))], names=["gram", "toxic", "other"])
+            counts[toxic].update(text_grams(text))
+            if len(counts[0]) + len(counts[1]) >= GRAMS_HELD:
+                yield handed_on()
+    yield handed_on()
 
 
 def _indexed(grams: tuple[str, ...]):
@@ -125,17 +138,26 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, i
 
 def fit(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Coefficients of a ridge logistic regression on the scaled features, by Adam; text row[k] holds feature column[k], in order of texts."""
-    rows, value = toxic, ratio[column]
-    first = np.flatnonzero(np.diff(row, prepend=-1))  # where each text's features begin
+    n = len(toxic)
+    first = np.searchsorted(row, np.arange(n + 1))  # where each text's features begin
+    cuts = [0]  # whole texts whose features are held at once
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + VALUES_HELD, side="right")) - 1))
     beta, bias = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     share = weight / weight.sum()
     for step in range(1, ROUNDS + 1):
-        z = np.full(len(rows), bias)
-        if len(first):
-            z[row[first]] += np.add.reduceat(value * beta[column], first)
-        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
-        gradient = np.append(np.bincount(column, value * slope[row], len(ratio)) + RIDGE * beta, slope.sum())
+        by_feature, by_text = np.zeros(len(ratio)), 0.0
+        scaled = ratio * beta
+        for start, stop in pairwise(cuts):
+            held, sizes = column[first[start] : first[stop]], np.diff(first[start : stop + 1])
+            z, some = np.full(stop - start, bias), np.flatnonzero(sizes)
+            if len(some):
+                z[some] += np.add.reduceat(scaled[held], (first[start:stop] - first[start])[some])
+            slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[start:stop]) * share[start:stop]
+            by_feature += np.bincount(held, np.repeat(slope, sizes), len(ratio))
+            by_text += slope.sum()
+        gradient = np.append(by_feature * ratio + RIDGE * beta, by_text)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         beta, bias = beta - move[:-1], bias - move[-1]
@@ -150,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     shares = {row.toxic: row.n for row in marked.groupBy(F.col(label_col).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    rows = materialise(sample(docs, labels, label_col, per_class, id_col, text_col), "labelled-sample")
+    rows = materialise(sample(docs, labels, label_col, per_class, id_col, text_col), "labelled-sample").repartition(SAMPLE_TASKS)
     sampled = {row.toxic: row.n for row in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     have = [sampled.get(k, 0) for k in (0, 1)]
     if not all(have):
