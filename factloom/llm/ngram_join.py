@@ -151,9 +151,12 @@ def _signatures(shingle: int):
     names = ["doc", "key", "n", "set_id", "token", "times"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate(held), return_counts=True)
-        more = times > 1
-        tokens, times = tokens[more].view(np.int64), times[more]
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        turns = np.diff((tokens[1:] == tokens[:-1]).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        first, last = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)  # of each run of equal shingles
+        tokens, times = tokens[first].view(np.int64), last - first + 1
         none = pa.nulls(len(tokens), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens), pa.array(times)], names=names)
 
