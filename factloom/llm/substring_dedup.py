@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -161,15 +163,21 @@ def window_table(ids: list, texts: list[str], versions: list[int], least_words:
     return columns
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BLOCK bytes, so that few rows at a time become Python objects."""
+    step = max(1, min(batch.num_rows, batch.num_rows * BLOCK // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def _windows(least_words: int):
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
     names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            step = max(1, min(batch.num_rows, batch.num_rows * BLOCK // max(1, batch.nbytes)))
-            for start in range(0, batch.num_rows, step):
-                ids, texts, versions = (c.to_pylist() for c in batch.slice(start, step).columns)
+        for whole in batches:
+            for batch in slices(whole):
+                ids, texts, versions = (c.to_pylist() for c in batch.columns)
                 columns = window_table(ids, texts, versions, least_words)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
         forget_words()
@@ -203,7 +211,7 @@ def spans(repeated: DataFrame) -> DataFrame:
     return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first"))).alias("places"))
 
 
-def runs_of(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def runs_of(places: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Sorted places (start, end, first) as runs of bytes that adjoin no other, each with the first that most of its windows have."""
     runs: list[list] = []
     for start, end, first in places:
@@ -256,16 +264,20 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
-            texts, places = batch.column(at).to_pylist(), []
-            for k, own in enumerate(batch.column(len(names)).to_pylist()):
-                cuts: list[tuple[int, int, int]] = []
-                if own and texts[k]:
-                    texts[k], cuts = cut(texts[k], runs_of([(x["start"], x["end"], x["first"]) for x in own]))
-                places.append([{"start": a, "end": b, "first": None if first == LEAST else first} for a, b, first in cuts])
-            columns = [*batch.columns[: len(names)]]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places, pair)] if spans_col else [])], names=[*names, *([spans_col] if spans_col else [])])
+        for whole in batches:
+            for batch in slices(whole):
+                texts, places, a = batch.column(at).to_pylist(), [], 0
+                own = batch.column(len(names))
+                flat = [x.to_pylist() for x in own.flatten().flatten()]  # start, end and first of all rows' places
+                for k, n in enumerate(pc.fill_null(pc.list_value_length(own), 0).to_pylist()):
+                    cuts: list[tuple[int, int, int]] = []
+                    if n and texts[k]:
+                        texts[k], cuts = cut(texts[k], runs_of(zip(*(x[a : a + n] for x in flat), strict=True)))
+                    a += n
+                    places.append([{"start": x, "end": y, "first": None if first == LEAST else first} for x, y, first in cuts])
+                columns = [*batch.columns[: len(names)]]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places, pair)] if spans_col else [])], names=[*names, *([spans_col] if spans_col else [])])
 
     schema = rows.drop(gone).select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint, first: bigint>>").alias(spans_col)] if spans_col else [])).schema
     return rows.mapInArrow(run, schema)
