@@ -96,15 +96,23 @@ class PieceCodec:
             raise ValueError("a piece goes on past a word's end; such models are not supported")
         self.split = COARSE.findall if crosses or "\n" in self.chars else FINE.findall
         self.compatible: dict[int, bool] = {}
+        self.packed_pairs = array("q")
         self.segments = _Cache(self._packed, SEGMENT_CACHE)
         self.words = _Cache(self._word, SEGMENT_CACHE)
         self.shown = [self._shown(i) for i in ids]
         self._check(model)
 
     def forget(self) -> None:
-        """Empties the caches of texts: a worker that waits for its next task holds no memory that others need."""
+        """Empties the caches of texts and packs that of pairs: a worker that waits for its next task holds no memory that others need."""
         self.segments.clear()
         self.words.clear()
+        self.packed_pairs = array("q", (pair << 1 | fits for pair, fits in self.compatible.items()))
+        self.compatible.clear()
+
+    def recall(self) -> None:
+        """Unpacks the pairs that forget() packed."""
+        self.compatible.update((pair >> 1, bool(pair & 1)) for pair in self.packed_pairs)
+        self.packed_pairs = array("q")
 
     def _check(self, model) -> None:
         """Refuses models whose normaliser is not the one that encode() assumes."""
@@ -280,6 +288,7 @@ def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, kind: s
 
     def run(batches):
         model = codec(model_path)
+        model.recall()
         for batch in batches:
             rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_CHARS // max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, rows):
@@ -302,6 +311,7 @@ def round_trip(df: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         model = codec(model_path)
+        model.recall()
         for batch in batches:
             rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_CHARS // max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, rows):
