@@ -40,6 +40,8 @@ WORDS_KEPT, WORD_CHARS = 100_000, 64
 SMOOTHING = 0.5
 #: n-grams that a task counts before it hands the counts on, and values of features that the fit holds at once, about.
 GRAMS_HELD, VALUES_HELD = 200_000, 500_000
+#: Bytes of rows whose texts are Python strings at once, about.
+SLICE_BYTES = 4 << 20
 #: Tasks that the sample's texts are dealt to.
 SAMPLE_TASKS = 24
 RIDGE, RATE, ROUNDS = 1e-4, 0.05, 300
@@ -222,9 +224,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     schema = rows.drop(whole).withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score_texts(batch.column(n).to_pylist(), model), pa.float64())], names=[*kept, score_col])
+        for whole_batch in batches:
+            n = whole_batch.num_columns - 1
+            step = max(1, whole_batch.num_rows * SLICE_BYTES // max(1, whole_batch.nbytes))
+            for start in range(0, whole_batch.num_rows, step):
+                batch = whole_batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score_texts(batch.column(n).to_pylist(), model), pa.float64())], names=[*kept, score_col])
         _features.cache_clear()  # a worker that waits for its next task holds no memory that others need
 
     return rows.mapInArrow(run, schema)
