@@ -55,10 +55,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that is cut out of a document because an earlier place has it, with the document that keeps it.
 
-    A document that nothing is cut out of has no row; left_sha256 is the digest of what is left of the text.
+    A document that nothing is cut out of has one row with null places; left_sha256 is the digest of what is left of the text.
     """
     left = substring_dedup.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
-    rows = left.select("doc_id", F.sha2("text", 256).alias("left_sha256"), F.char_length("text").cast("long").alias("left_chars"), F.inline("cut_spans"))
+    rows = left.select("doc_id", F.sha2("text", 256).alias("left_sha256"), F.char_length("text").cast("long").alias("left_chars"), F.inline_outer("cut_spans"))
     return rows.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("first").alias("kept_in_doc_id"), "left_chars", "left_sha256")
 
 

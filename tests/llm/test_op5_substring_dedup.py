@@ -129,3 +129,14 @@ def test_no_passage_of_51_words_is_missed(spark):
             n += 1
     got = {x.doc_id: x.cut_spans for x in sd.dedupe(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
     assert [k for k in range(n) if not got[10_000 + k]] == []
+
+
+def test_the_query_has_rows_for_each_document(spark):
+    from factloom.llm.queries import op5_substring_dedup
+
+    ids = [x.doc_id for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = op5_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {x.doc_id for x in got} == set(ids)
+    uncut = [x for x in got if x.start_char is None]
+    assert all(x.end_char is None and x.kept_in_doc_id is None for x in uncut)
+    assert len({x.doc_id for x in uncut}) == len(uncut)  # one row for each
