@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprints, license_scan, media, mixing, ngram_join, rasters, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
-from factloom.llm.common import documents, fresh, shared_folder
+from factloom.llm import chat_format, conversation_repair, fingerprints, license_scan, media, mixing, ngram_join, periodic_runs, rasters, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from factloom.llm.common import WORD, documents, fresh, shared_folder, text_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -129,6 +129,93 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+#: A conversation whose texts are made of the template's own control strings.
+AWKWARD_ID, AWKWARD_TEXT = -1, "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one training text: its turns and the text under the loss mask, read back from the output."""
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    awkward = spark.createDataFrame([(AWKWARD_ID, k, role, AWKWARD_TEXT) for k, role in enumerate(("user", "assistant"))], rows.schema)
+    back = chat_format.read_back(chat_format.format_conversations(rows.unionByName(awkward)))
+    said = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """docs, about every tenth of which repeats itself from some word on; the ids alone say which, where and how often.
+
+    Rows without an id and without words stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        made = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int"))), " ")
+        return F.when(n > 0, made)
+
+    # within an array of one element the words are split once and named
+    made = F.transform(F.array(F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), F.lit(1))), loop)[0]
+    return docs.withColumn("text", F.when(h % 10 == 0, F.coalesce(made, F.col("text"))).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of periodic words of every document, some of which were made to loop, and what is left without repeats."""
+    found = periodic_runs.collapse(looped(documents(spark, sf_dir).select("doc_id", "text")), keep=("doc_id",))
+    longest = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    rows = found.select("doc_id", "runs", "collapsed", longest.alias("longest"), F.array_join(lines, "").alias("lines"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations, some dropped, emptied, without their sentence ends, doubled or said by the user; their keys say which."""
+    one_blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(one_blank("conv_id"), F.lit(":"), one_blank("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", one_blank("role").alias("role"), one_blank("text").alias("text"), way.alias("way")).where("way <> 0")
+    text = F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("way") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(1), F.when(F.col("way") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("once")).drop("once")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every conversation after some damage, and the cheapest edits that mend its structure."""
+    turns = conversations(spark, sf_dir)
+    audits, rows = conversation_repair.repair(damaged(turns))
+    found = conversation_repair.digests(rows).withColumnRenamed("sha256", "repaired_sha256")
+    own = turns.select("conv_id").distinct().withColumnRenamed("conv_id", "own")
+    every = own.join(audits, F.col("own").eqNullSafe(audits["conv_id"]), "left").drop("conv_id")
+    every = every.join(found, F.col("own").eqNullSafe(found["conv_id"]), "left")
+    counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(F.col("own").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 #: Names to functions of (spark, sf_dir).
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -141,6 +228,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_chat_format": op11_chat_format,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Names to DuckDB SQL, where SQL can express the query.
