@@ -1,19 +1,19 @@
 """Substring dedup (operator 5): content-defined chunks, held together as windows of a least number of words.
 
-A text is cut before words: of each WINDOW places in a row, the one whose GRAM words have the least
-hash (the last one of equals) is a cut. A place is chosen by the words around it only, so two texts
-that share a passage have the same cuts from the first place chosen inside it to the last one. At most
-WINDOW - 1 words are lost before these and WINDOW + GRAM - 1 after them, so any passage of 51 words
-leaves 20 words or more between them, whatever its words. Words of more than PIECE_BYTES bytes are cut
-further by a gear hash over their own bytes: it is shifted left by one bit and a random number for the
-new byte is added, so its low bits depend on the last few bytes only, and a piece ends where the hash's
-MASK bits are all zero.
+A gear hash is rolled over a text's bytes: it is shifted left by one bit and a random number for the new byte is
+added. A text is cut before words: of each WINDOW words in a row, the one with the least low half of the hash before
+it (the last one of equals) is a cut. Those 16 bits depend on the 16 bytes before a cut only, so two texts that share a
+passage have the same cuts from the first one chosen inside it to the last one. Sixteen bytes are eight words at
+most, so WINDOW + 7 words at most are lost before these and WINDOW - 1 after them, and any passage of 51 words
+leaves 20 words or more between them, whatever its words. Words of more than PIECE_BYTES bytes are cut further where
+some bits of the same hash are all zero.
 
 What is deduplicated is a window: from each cut the fewest chunks in a row that hold least_words words,
 and before each cut where no such window ends the fewest chunks that lead up to it. A window is one
 stretch of bytes, known by a 96-bit digest, so what is cut stands in one piece in an earlier place:
 chunks that repeat by chance here and there are never put together. The first place of a window
 (smallest id, then position) keeps it, later places are repeats, and all repeats together are cut.
+A document is its id and 128 bits of its text's hashes, so rows that share an id, or have none, are told apart.
 
 Windows are found once and written; only digests travel, counted on each side before the shuffle. The
 few digests that repeat are written too and joined to all windows as plain tables, so that Spark can
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh, materialise, text_of, with_text
-from factloom.llm.ngram_join import MIX, SPACES, forget_words, word_hashes
+from factloom.llm.ngram_join import SPACES
 
-#: Places of which one is a cut, and words that are hashed for a place.
-WINDOW, GRAM = 15, 3
+#: Words of which one is a cut, and the bits of the hash before a word by which it is chosen.
+WINDOW, CHOICE = 12, 0xFFFF
 #: A chunk has MIN_BYTES bytes at least and MAX_BYTES at most; a piece of a long word has PIECE_BYTES at least,
 #: and PIECE_BYTES + MASK + 1 or so on average.
 MIN_BYTES, PIECE_BYTES, MASK, MAX_BYTES = 1, 24, 31, 192
@@ -63,32 +63,34 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chosen(words: np.ndarray) -> np.ndarray:
-    """The numbers of the words, given by hashes, before which a text is cut."""
-    n = len(words) - GRAM + 1
-    if n < WINDOW:
+def rolled(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The gear hashes of a text's bytes, BLOCK bytes at a time, each with its first byte's number."""
+    for start in range(0, len(data), BLOCK):  # 31 bytes before a block settle its first hashes
+        lead = min(start, 31)
+        yield start, gear_hashes(data[start - lead : start + BLOCK])[lead:]
+
+
+def chosen(hashes: np.ndarray) -> np.ndarray:
+    """The numbers of the words before which a text is cut, given by the gear hash before each word."""
+    if len(hashes) < WINDOW:
         return np.zeros(0, np.int64)
-    grams = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        part = words[k : k + n]
-        grams += (part ^ (part >> np.uint64(31 + k))) * MIX[k + 1]
-    grams ^= grams >> np.uint64(32)
-    least = sliding_window_view(grams[::-1], WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
-    return np.unique(n - 1 - least)
+    least = sliding_window_view(hashes[::-1], WINDOW).argmin(axis=1) + np.arange(len(hashes) - WINDOW + 1)
+    return np.unique(len(hashes) - 1 - least)
 
 
 def cut_places(data: bytes) -> list[int]:
     """The ends of the chunks of a text's bytes, the last one its length."""
-    space = SPACES[np.frombuffer(data, np.uint8)]
-    change = np.flatnonzero(np.diff(space, prepend=True, append=True))  # where words start and end, in turn
+    raw = np.frombuffer(data, np.uint8)
+    change = np.flatnonzero(np.diff(SPACES[raw], prepend=True, append=True))  # where words start and end, in turn
     starts, stops = change[::2], change[1::2]
-    if not len(starts):
-        marks = []
-    else:
-        marks = starts[chosen(word_hashes(data))].tolist()
-        for k in np.flatnonzero(stops - starts > PIECE_BYTES).tolist():
-            start = int(starts[k])
-            marks += [start + x for x in piece_places(data[start : int(stops[k])])[:-1]]
+    before, zeros = np.full(len(starts), CHOICE + 1, np.uint32), []  # nothing is cut before the first byte
+    for begin, hashes in rolled(raw):
+        a, b = np.searchsorted(starts, [begin + 1, begin + len(hashes) + 1])
+        before[a:b] = hashes[starts[a:b] - 1 - begin] & np.uint32(CHOICE)
+        zeros.append(np.flatnonzero((hashes >> np.uint32(8)) & np.uint32(MASK) == 0) + begin + 1)
+    marks = starts[chosen(before)].tolist()
+    for k in np.flatnonzero(stops - starts > PIECE_BYTES).tolist():
+        marks += piece_places(int(starts[k]), int(stops[k]), np.concatenate(zeros))
     ends, last = [], 0
     for place in [*sorted(set(marks)), len(data)]:
         while place - last > MAX_BYTES:
@@ -100,26 +102,15 @@ def cut_places(data: bytes) -> list[int]:
     return ends
 
 
-def piece_places(data: bytes) -> list[int]:
-    """The ends of the pieces of a long word's bytes, the last one its length."""
-    n = len(data)
-    raw = np.frombuffer(data, np.uint8)
-    ends, last = [], 0
-    found: list[int] = []
-    for start in range(0, n, BLOCK):  # 31 bytes before a block settle its first hashes
-        lead = min(start, 31)
-        hashes = gear_hashes(raw[start - lead : start + BLOCK])[lead:]
-        found += (np.flatnonzero((hashes >> np.uint32(8)) & np.uint32(MASK) == 0) + start + 1).tolist()
-    for place in [*found, n]:
-        if place - last < PIECE_BYTES and place < n:
-            continue
-        while place - last > MAX_BYTES:
-            last += MAX_BYTES
-            ends.append(last)
-        if place > last and (place - last >= PIECE_BYTES or place == n):
-            ends.append(place)
+def piece_places(start: int, stop: int, zeros: np.ndarray) -> list[int]:
+    """Where a long word's bytes are cut: at zeros (sorted places after bytes whose hash has zero bits), PIECE_BYTES apart."""
+    places, last = [], start
+    inside = zeros[np.searchsorted(zeros, start + PIECE_BYTES) : np.searchsorted(zeros, stop)]
+    for place in inside.tolist():
+        if place - last >= PIECE_BYTES:
+            places.append(place)
             last = place
-    return ends
+    return places
 
 
 def windows(data: bytes, least_words: int) -> list[tuple[int, int]]:
@@ -142,22 +133,22 @@ def windows(data: bytes, least_words: int) -> list[tuple[int, int]]:
     return [(int(marks[i]), int(marks[j])) for i, j in sorted(found)]
 
 
-WINDOWS = "id bigint, version int, digest bigint, more int, start bigint, end bigint, again boolean"
+WINDOWS = "id bigint, version bigint, proof bigint, digest bigint, more int, start bigint, end bigint, again boolean"
 
 
-def window_table(ids: list, texts: list[str], versions: list[int], least_words: int) -> list[list]:
+def window_table(ids: list, texts: list[str], versions: list[int], proofs: list[int], least_words: int) -> list[list]:
     """The columns of WINDOWS for all windows of the texts.
 
     digest and more are 96 bits of the window's hash; again says that the same text has the window
     earlier, not counting places that overlap it.
     """
-    columns: list[list] = [[] for _ in range(7)]
-    for own, text, version in zip(ids, texts, versions, strict=True):
+    columns: list[list] = [[] for _ in range(8)]
+    for own, text, version, proof in zip(ids, texts, versions, proofs, strict=True):
         data = text.encode()
         ended: dict[int, int] = {}  # where the first place of a digest ends
         for start, end in windows(data, least_words):
             digest = xxhash.xxh3_128_intdigest(data[start:end])
-            row = (own, version, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31), start, end, ended.setdefault(digest, end) <= start)
+            row = (own, version, proof, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31), start, end, ended.setdefault(digest, end) <= start)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
     return columns
@@ -171,44 +162,45 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(least_words: int):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
     names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                ids, texts, versions = (c.to_pylist() for c in batch.columns)
-                columns = window_table(ids, texts, versions, least_words)
+                columns = window_table(*(c.to_pylist() for c in batch.columns), least_words)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
-        forget_words()
 
     return run
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> list:
-    """The id (null: the smallest number) and version (a hash of the text) that name a document here."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.hash(text_of(text_col))]
+    """The id (null: the smallest number), version and proof (two hashes of the text) that name a document here."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.xxhash64(text_of(text_col)), F.xxhash64(F.lit("proof"), text_of(text_col))]
 
 
 def found_windows(df: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The windows of each row; see window_table()."""
-    own, version = keyed(df, id_col, text_col)
-    return df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version")).mapInArrow(_windows(least_words), WINDOWS)
+    own, version, proof = keyed(df, id_col, text_col)
+    return df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version"), proof.alias("proof")).mapInArrow(_windows(least_words), WINDOWS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """id, version, start, end and first of the windows that stand earlier too: in a smaller id or before in their own text.
+    """id, version, proof, start, end and first of the windows that stand earlier too: in a smaller id, in the text of that id
+    that keeps them, or before in their own text.
 
-    found must be written already, as it is read twice. first is the smallest id that has the window.
+    found must be written already, as it is read twice. first is the smallest id that has the window; of several
+    texts of that id one keeps it, whichever is met.
     """
-    firsts = found.groupBy("digest", "more").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    firsts = found.groupBy("digest", "more").agg(F.min("id").alias("first"), F.min_by("version", "id").alias("keeper"), F.count("*").alias("n"))
     firsts = materialise(firsts.where(F.col("n") > 1).drop("n"), "first-places")
-    return found.join(firsts, ["digest", "more"]).where((F.col("id") > F.col("first")) | F.col("again")).select("id", "version", "start", "end", "first")
+    later = (F.col("id") > F.col("first")) | (F.col("version") != F.col("keeper")) | F.col("again")
+    return found.join(firsts, ["digest", "more"]).where(later).select("id", "version", "proof", "start", "end", "first")
 
 
 def spans(repeated: DataFrame) -> DataFrame:
-    """id, version and the sorted places of each document's repeats with their firsts (no more than its own windows)."""
-    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first"))).alias("places"))
+    """id, version, proof and the sorted places of each document's repeats with their firsts (no more than its own windows)."""
+    return repeated.groupBy("id", "version", "proof").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first"))).alias("places"))
 
 
 def runs_of(places: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -244,8 +236,8 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     """df with its repeated passages cut out of text_col, and the places of the cuts in spans_col.
 
     Of passages that repeat, those in the row with the smallest id stay (null ids first); repeats
-    inside one text count too, the first stays. Rows that share an id are not held against each other, so
-    rows that are equal in id and text are treated alike. spans_col (none if None) is an
+    inside one text count too, the first stays. Of rows that share an id, or have none, and differ in text one keeps
+    a passage; rows that are equal in id and text are one document and treated alike. spans_col (none if None) is an
     array of struct(start, end, first) in characters of the whole text, empty where nothing was cut; first
     is the id that keeps the passage (of most of its windows).
     Null texts stay null and cut nothing; texts that repeat whole become empty; no row is dropped.
@@ -255,10 +247,10 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     found = materialise(found_windows(df, least_words, id_col, text_col), "windows")
     found = materialise(spans(repeats(found)), "spans")
     rows = df.drop(spans_col) if spans_col else df
-    own, version, gone = (fresh(x, *rows.columns) for x in ("own_id", "text_version", "own_places"))
-    rows = rows.withColumns(dict(zip((own, version), keyed(df, id_col, text_col), strict=True)))
-    found = found.select(F.col("id").alias(own), F.col("version").alias(version), F.col("places").alias(gone))
-    rows = rows.join(found, [own, version], "left").drop(own, version)
+    *names, gone = (fresh(x, *rows.columns) for x in ("own_id", "text_version", "text_proof", "own_places"))
+    rows = rows.withColumns(dict(zip(names, keyed(df, id_col, text_col), strict=True)))
+    found = found.toDF(*names, gone)
+    rows = rows.join(found, names, "left").drop(*names)
     names = [c for c in rows.columns if c != gone]
     at = names.index(text_col)
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from frames import empty, frame, rows
+from pyspark.sql import functions as F
 
 from factloom.llm import substring_dedup as sd
 
@@ -122,7 +123,7 @@ def test_no_passage_of_51_words_is_missed(spark):
     rnd = random.Random(7)
     prose = lambda n, most: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(1, most + 1))) for _ in range(n))
     table, n = [], 0
-    for most in (2, 4, 9):
+    for most in (1, 2, 4, 9):
         for _ in range(200):
             passage = prose(51, most)
             table += [(n, f"{prose(40, most)} {passage} {prose(40, most)}"), (10_000 + n, f"{prose(30, most)} {passage} {prose(50, most)}")]
@@ -131,6 +132,41 @@ def test_no_passage_of_51_words_is_missed(spark):
     assert [k for k in range(n) if not got[10_000 + k]] == []
 
 
+def test_cuts_depend_on_the_sixteen_bytes_before_them():
+    rnd = random.Random(13)
+    for most in (1, 3, 9):
+        passage = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, most + 1))) for _ in range(51)).encode()
+        cuts = []
+        for lead in (b"", b"x ", rnd.randbytes(5000) + b" "):
+            places = [x - len(lead) for x in sd.cut_places(lead + passage + b" tail" * 40)]
+            cuts.append([x for x in places if len(passage[:x].split()) > sd.WINDOW + 7 and 0 < x < len(passage) - 1 and len(passage[x:].split()) > sd.WINDOW])
+        assert cuts[0] == cuts[1] == cuts[2]
+
+
+def prose_of(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+
+
+def test_rows_without_ids_and_of_one_id_are_held_against_each_other(spark):
+    passage = prose_of(1, 80)
+    for own in (None, 7):
+        table = [(own, f"{passage} {prose_of(k, 30)}") for k in range(2, 5)] + [(own, prose_of(9, 60))]
+        got = sd.dedupe(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+        assert sorted(len(x.cut_spans) for x in got) == [0, 0, 1, 1]
+        assert sum(passage[300:400] in x.text for x in got) == 1
+        assert [x.text for x in got if x.text == table[3][1]]
+
+
+def test_a_text_that_repeats_nothing_is_left_alone_whatever_its_short_hash(spark, monkeypatch):
+    """One id, two texts that even agree in the version that they are ordered by."""
+    monkeypatch.setattr(sd, "keyed", lambda df, a, b: [F.coalesce(F.col(a).cast("long"), F.lit(sd.LEAST)), F.lit(1).cast("long"), F.xxhash64(F.lit("proof"), F.coalesce(F.col(b), F.lit("")))])
+    passage, clean = prose_of(1, 80), prose_of(2, 120)
+    table = [(1, passage), (7, f"{prose_of(3, 40)} {passage}"), (7, clean)]
+    got = {x.text for x in sd.dedupe(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert clean in got and passage in got
+
+
 def test_the_query_has_rows_for_each_document(spark):
     from factloom.llm.queries import op5_substring_dedup
 
