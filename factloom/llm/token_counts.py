@@ -2,21 +2,25 @@
 
 The cache is a Parquet dataset: one folder for each tokenizer version (a digest of the vocabulary
 file and of the counting settings), in it the SHA-256 of a text and its number of tokens. Texts are
-joined to it by digest; only distinct texts that it lacks are encoded, and their counts are appended.
-Counts are exact, so two writers that append the same text do no harm.
+joined to it by digest; only distinct texts that it lacks are encoded, and their counts are appended. Each
+run appends a folder of its own, so runs that share a cache at one time do not touch each other's files. Counts are exact,
+so two runs that append the same text do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, path_exists, text_of, with_text
+from factloom.llm.common import hadoop_path, materialise, path_exists, text_of, with_text
 
+#: How the folder of a run's counts begins.
+RUN = "run="
 #: Entries of each worker's cache of pre-token counts; a full cache is emptied.
 PIECE_CACHE = 1_000_000
 #: Characters of text that are split into pre-tokens at once.
@@ -119,7 +123,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_dir: str, id_col: str
     tokenizer_path must be readable on the driver and on each executor, cache_dir by Spark. The
     only normalisation that keeps counts exact is null to empty, so null and empty texts both
     have 0 bytes and 0 tokens. Repeated texts are encoded once and each row gets their count;
-    repeated rows stay. Other columns of df are not read. Nothing is appended for an empty table.
+    repeated rows stay. Other columns of df are not read. Nothing is appended for an empty table. A row whose
+    count is neither in the cache nor among those appended ends the job with an error; none is left out.
     """
     spark = df.sparkSession
     path = f"{cache_dir}/version={version_digest(tokenizer_path)}"
@@ -127,16 +132,28 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_dir: str, id_col: str
     rows = df.select(F.col(id_col), text_of(text_col).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     distinct = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
-    if path_exists(spark, path):
-        distinct = distinct.join(_stored(spark, path), "digest", "left_anti")
-    distinct.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint").write.mode("append").parquet(path)
+    earlier = _runs(spark, path)
+    if earlier:
+        distinct = distinct.join(_stored(spark, earlier), "digest", "left_anti")
+    own = f"{path}/{RUN}{uuid.uuid4().hex}"
+    distinct.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint").write.parquet(own)
     sizes = rows.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     # written, so that the join can be split where one text is in a third of all rows
-    known = materialise(_stored(spark, path), "known-counts")
-    return sizes.join(known, "digest").select(id_col, "n_bytes", "n_tokens", "digest")
+    known = materialise(_stored(spark, [*earlier, own]), "known-counts")
+    count = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("no count for the text with digest "), F.hex("digest"))).cast("long"))
+    return sizes.join(known, "digest", "left").select(id_col, "n_bytes", count.alias("n_tokens"), "digest")
 
 
-def _stored(spark, path: str) -> DataFrame:
-    """The cache, with one row for each digest."""
-    stored = spark.read.schema("digest binary, n_tokens bigint").parquet(path)
+def _runs(spark, path: str) -> list[str]:
+    """The folders of the runs that have ended, one for each run."""
+    if not path_exists(spark, path):
+        return []
+    fs, at = hadoop_path(spark, path)
+    found = [x.getPath().toString() for x in fs.listStatus(at) if x.getPath().getName().startswith(RUN)]
+    return sorted(x for x in found if path_exists(spark, f"{x}/_SUCCESS"))
+
+
+def _stored(spark, runs: list[str]) -> DataFrame:
+    """The counts of some runs, with one row for each digest."""
+    stored = spark.read.schema("digest binary, n_tokens bigint").parquet(*runs)
     return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

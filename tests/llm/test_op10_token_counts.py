@@ -55,9 +55,9 @@ def test_cached_counts_are_used(spark):
     folder = shared_folder(spark, "test-cache")
     df = spark.createDataFrame([(1, "some text")], "doc_id int, text string")
     tc.count_tokens(df, PATH, folder).collect()
-    path = f"{folder}/version={tc.version_digest(PATH)}"
-    stored = spark.read.parquet(path).selectExpr("digest", "cast(77 as bigint) n_tokens").collect()
-    spark.createDataFrame(stored, "digest binary, n_tokens bigint").write.mode("overwrite").parquet(path)
+    (run,) = tc._runs(spark, f"{folder}/version={tc.version_digest(PATH)}")
+    stored = spark.read.parquet(run).selectExpr("digest", "cast(77 as bigint) n_tokens").collect()
+    spark.createDataFrame(stored, "digest binary, n_tokens bigint").write.mode("overwrite").parquet(run)
     assert tc.count_tokens(df, PATH, folder).first().n_tokens == 77
 
 
@@ -66,3 +66,22 @@ def test_sentencepiece_models_count_too(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {x.doc_id: x.n_tokens for x in tc.count_tokens(frame(spark, rows()[:15]), path, shared_folder(spark, "test-cache")).collect()}
     assert got == {x[0]: len(model.encode(x[1] or "")) for x in rows()[:15]}
+
+
+def test_runs_that_share_a_cache_at_one_time_lose_nothing(spark, library):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = shared_folder(spark, "test-cache")
+    tables = [spark.createDataFrame([(k, f"text number {k % 200} of {n % 2}") for k in range(400)], "doc_id int, text string") for n in range(6)]
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(lambda df: tc.count_tokens(df, PATH, folder).collect(), tables))
+    for n, got in enumerate(found):
+        assert len(got) == 400
+        assert all(x.n_tokens == len(library.encode(f"text number {x.doc_id % 200} of {n % 2}")) for x in got)
+    assert len(tc._runs(spark, f"{folder}/version={tc.version_digest(PATH)}")) == 6
+
+
+def test_a_missing_count_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(tc, "_stored", lambda spark, runs: spark.createDataFrame([], "digest binary, n_tokens bigint"))
+    with pytest.raises(Exception, match="no count"):
+        tc.count_tokens(frame(spark), PATH, shared_folder(spark, "test-cache")).collect()
