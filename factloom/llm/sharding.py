@@ -22,7 +22,7 @@ import json
 import math
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -132,13 +132,18 @@ class ShardStore:
 
         An arrival is one immutable folder; its files are as large as the tasks that wrote them. Rows are
         kept as they are: nulls, repeated rows, empty and long texts, any column names. arrival_col itself
-        is not stored. No rows make a version with no new shard.
+        is not stored. No rows make a version with no new shard. If other writers commit meanwhile, the shards come
+        in the version after theirs.
         """
-        version, batch = self.last() + 1, uuid.uuid4().hex[:12]
+        batch = uuid.uuid4().hex[:12]
         number = fresh("arrival", *arrivals.columns)
         rows = arrivals.withColumn(number, F.coalesce(F.col(arrival_col).cast("long"), F.lit(-1))).drop(arrival_col)
         rows.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.path}/shards/{batch}")
-        return self.commit(version, [x for _, x in self._written(batch, number, rows.schema, version)])
+        new = [x for _, x in self._written(batch, number, rows.schema, 0)]
+        while True:
+            version = self.last() + 1
+            with suppress(Conflict):
+                return self.commit(version, [replace(x, version=version) for x in new])
 
     def read(self, shards: list[Shard], schema) -> DataFrame:
         """The rows of the given shards."""
@@ -187,19 +192,22 @@ class ShardStore:
                 runs.append(run)
         return runs
 
-    def open_shards(self) -> list[Shard]:
-        """The shards of the last version that are still to be merged; those that are done stay in the table."""
+    def open_shards(self, version: int | None = None) -> list[Shard]:
+        """The shards of a version (by default the last) that are still to be merged; those that are done stay in the table."""
         small = (F.col("bytes") < self.target_bytes) | (2 * F.col("bytes") < self.target_bytes * F.col("files"))
-        return [Shard(**x.asDict()) for x in self.shards().where(small).collect()]
+        return [Shard(**x.asDict()) for x in self.shards(version).where(small).collect()]
 
-    def merge(self, runs: list[list[Shard]], schema) -> int:
-        """Merges each run into files of about target_bytes and commits the outcome as the next version.
+    def merge(self, base: int, runs: list[list[Shard]], schema) -> int:
+        """Merges each run of shards of version base into files of about target_bytes and commits the outcome as version base + 1.
+
+        If another writer has committed that version meanwhile, what it did may concern the same shards: Conflict is raised
+        and nothing comes or goes. A merge is planned again then, never committed later.
 
         All runs are merged by one job. A run that fits one file is read by one task, one small file after
         the other; the rows of a larger run are dealt evenly to its files by a shuffle. Rows keep all their
         columns, whatever their names.
         """
-        version, batch = self.last() + 1, uuid.uuid4().hex[:12]
+        version, batch = base + 1, uuid.uuid4().hex[:12]
         number = fresh("run", *schema.names)
         files = [max(1, round(sum(x.bytes for x in run) / self.target_bytes)) for run in runs]
         parts = [(self.read(run, schema).coalesce(1) if n == 1 else self.read(run, schema).repartition(n)).withColumn(number, F.lit(k).cast("long")) for k, (run, n) in enumerate(zip(runs, files, strict=True))]
@@ -213,11 +221,17 @@ class ShardStore:
     def compact(self, schema) -> int:
         """Merges until no tier holds FAN_IN files of shards that are not done; the last version's number.
 
-        Nothing is deleted: readers of older versions and other writers go on undisturbed.
+        Nothing is deleted: readers of older versions and other writers go on undisturbed. Each merge is planned from one
+        version and makes the next; where another writer was faster, it is planned again from what that one left.
+        Rows keep their number and columns: nulls, repeated rows, empty and long texts. An empty store stays as it is.
         """
-        while runs := self.plan(self.open_shards()):
-            self.merge(runs[:RUNS_AT_ONCE], schema)
-        return self.last()
+        while True:
+            base = self.last()
+            runs = self.plan(self.open_shards(base))
+            if not runs:
+                return base
+            with suppress(Conflict):
+                self.merge(base, runs[:RUNS_AT_ONCE], schema)
 
     def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
         """Deletes shards that the last version does not name and that nothing has touched for grace_seconds; their number.

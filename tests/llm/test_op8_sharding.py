@@ -49,10 +49,10 @@ def test_versions_are_committed_once(spark):
 def test_old_versions_are_read_until_they_are_deleted(spark):
     own, df = store(spark), frame(spark)
     own.append(arrivals(spark, FAN_IN + 2), "__arrival")
-    first = own.manifest()[1]
+    base, first = own.manifest()
     runs = own.plan(first)
     assert runs and all(len(x) >= FAN_IN for x in runs)
-    own.merge(runs, df.schema)
+    own.merge(base, runs, df.schema)
     assert content(own.read(first, df.schema)) == content(df)
     assert own.vacuum() == 0
     assert content(own.read(first, df.schema)) == content(df)
@@ -73,6 +73,88 @@ def test_shards_of_another_writer_survive(spark):
     assert content(own.located(df.schema).drop("located")) == content(df.unionByName(df))
 
 
+def test_two_writers_that_compact_keep_each_row_once(spark):
+    own, df = store(spark), frame(spark)
+    own.append(arrivals(spark, FAN_IN + 2), "__arrival")
+    other = ShardStore(spark, own.path, own.target_bytes, own.small_bytes)
+    base, shards = own.manifest()
+    runs = own.plan(shards)
+    other.compact(df.schema)
+    with pytest.raises(Conflict):
+        own.merge(base, runs, df.schema)
+    assert content(own.located(df.schema).drop("located")) == content(df)
+    # the other order: one plans and merges while the other has planned the same and comes second
+    own.append(arrivals(spark, FAN_IN + 3), "__arrival")
+    base, shards = own.manifest()
+    runs = other.plan(shards)
+    assert own.merge(base, runs, df.schema) == base + 1
+    with pytest.raises(Conflict):
+        other.merge(base, runs, df.schema)
+    assert other.compact(df.schema) == own.last()
+    assert content(own.located(df.schema).drop("located")) == content(df.unionByName(df))
+
+
+def test_a_merge_that_was_overtaken_is_planned_again(spark, monkeypatch):
+    own, df = store(spark), frame(spark)
+    own.append(arrivals(spark, FAN_IN + 2), "__arrival")
+    other = ShardStore(spark, own.path, own.target_bytes, own.small_bytes)
+    merge, overtaken = own.merge, []
+
+    def slow(base, runs, schema):
+        if not overtaken:
+            overtaken.append(other.append(arrivals(spark, 2), "__arrival"))
+        return merge(base, runs, schema)
+
+    monkeypatch.setattr(own, "merge", slow)
+    assert own.compact(df.schema) > overtaken[0]
+    assert content(own.located(df.schema).drop("located")) == content(df.unionByName(df))
+
+
+def test_appends_at_one_time_all_come(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    own, df = store(spark), frame(spark)
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda _: ShardStore(spark, own.path, own.target_bytes, own.small_bytes).append(arrivals(spark, 2), "__arrival"), range(3)))
+    assert sorted(versions) == [1, 2, 3]
+    assert sum(x.rows for x in own.manifest()[1]) == 3 * len(rows())
+    assert {x.version for x in own.manifest()[1]} == {1, 2, 3}
+
+
+def plain_runs(own, shards):
+    """Runs of each tier by their rule: in order of arrival, ended as soon as bytes and files suffice, the rest if its files do."""
+    runs = []
+    for tier in sorted({x.tier for x in shards}):
+        waiting = sorted((x for x in shards if x.tier == tier and not own.done(x)), key=lambda x: (x.version, x.name))
+        while waiting:
+            n = next((n for n in range(1, len(waiting) + 1) if sum(x.bytes for x in waiting[:n]) >= own.target_bytes and sum(x.files for x in waiting[:n]) >= FAN_IN), len(waiting))
+            if sum(x.files for x in waiting[:n]) >= FAN_IN:
+                runs.append(waiting[:n])
+            waiting = waiting[n:]
+    return runs
+
+
+def test_plans_and_tiers_equal_the_plain_ones(spark):
+    import random
+
+    from factloom.llm.sharding import Shard
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        own = ShardStore(spark, "unused", rnd.choice([100, 1000, 10_000]), rnd.choice([1, 10]))
+        shards = []
+        for k in range(rnd.randrange(40)):
+            size, files = rnd.randrange(1, 3000), rnd.randrange(1, 4)
+            tier = next(t for t in range(50) if size / files < own.small_bytes * FAN_IN ** (t + 1))
+            assert own.tier(size / files) == tier
+            shards.append(Shard(f"s{k}", 1, size, tier, rnd.randrange(1, 5), files))
+        runs = own.plan(shards)
+        assert runs == plain_runs(own, shards)
+        named = [x.name for run in runs for x in run]
+        assert len(named) == len(set(named))
+        assert all(len({x.tier for x in run}) == 1 for run in runs)
+
+
 def test_clashing_names_stay_as_they_are(spark):
     own = store(spark)
     names = ("shard", "tier", "version", "name", "rows", "file", "run", "arrival", "__run", "__arrival_", "ARRIVAL_")
