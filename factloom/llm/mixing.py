@@ -60,22 +60,25 @@ def source_ranks(sources: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", ((rank - 1) % 3 + 1).cast("long").alias("weight"))
 
 
-def mix(df: DataFrame, cap: int = 3, weights: DataFrame | None = None, seed: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, cap: int = 3, weights: DataFrame | None = None, seed: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
     """One row for each row of df: id_col, source, size, source_size, target and copies.
 
-    copies is how often the mix takes the document (0 to cap); the same input and seed give the
+    With carry, the rows of df themselves with copies in a column of that name, whatever the names of the others. copies is how often the mix takes the document (0 to cap); the same input and seed give the
     same copies. weights has source and weight (a positive integer) for each source; without it
     weights are 1, 2, 3 and so on as source_ranks() says. Sources are few enough for one row each
     in a task; documents are not.
 
     A null source is a source of its own. Null and empty texts have size 0; a source without words
-    has target 0 and takes nothing. Null ids share a place in the order. Rows that repeat an id are
+    has target 0 and takes nothing. Rows without an id are dealt to cells by their texts. Rows that repeat an id are
     documents of their own, and identical rows may differ in copies as they stand at different
     places. An empty table gives no rows; other columns are ignored.
     """
     with_text(df, text_col)
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"))
-    rows = materialise(rows, "sizes")
+    size = word_count(text_of(text_col))
+    by_text = F.conv(F.substring(F.md5(text_of(text_col)), 1, 8), 16, 10).cast("long")
+    number = F.when(F.col(id_col).isNull(), by_text).otherwise(F.col(id_col).cast("long"))
+    rows = df.select(F.col(id_col).alias("id"), number.alias("number"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(text_of(text_col)).alias("tie")] if carry else []))
+    rows = rows if carry else materialise(rows, "sizes")  # whole rows are read twice rather than written once more
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).withColumn("bin", size_bin(F.col("size")))
     bins = rows.groupBy("key", "bin").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words"))
     totals = bins.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
@@ -87,24 +90,26 @@ def mix(df: DataFrame, cap: int = 3, weights: DataFrame | None = None, seed: str
     plan = targets(weighted, cap).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source")
     plan = bins.select("key", "bin", F.ceil(F.col("n") / CELL_ROWS).alias("cells")).join(plan, "key")
     rows = rows.join(plan, ["key", "bin"])
-    spread = F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(MODULUS)) * F.lit(SPREAD)
+    spread = F.pmod(F.col("number"), F.lit(MODULUS)) * F.lit(SPREAD)
     rows = rows.withColumn("cell", F.shiftright(spread, 15) % F.col("cells"))
     cells = rows.groupBy("key", "bin", "cell").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("key").orderBy("bin", "cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("key", "bin", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    rank = F.row_number().over(W.partitionBy("key", "bin", "cell").orderBy("id", "size"))
+    rank = F.row_number().over(W.partitionBy("key", "bin", "cell").orderBy("id", "size", *(["tie"] if carry else [])))
     rows = rows.withColumn("rank", rank).join(cells, ["key", "bin", "cell"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("key"))), 1, 4), 16, 10).cast("double") / 65536
     at = F.col("earlier") + F.col("rank")
     copies = F.floor(expected * at + offset) - F.floor(expected * (at - 1) + offset)
+    if carry:
+        return rows.select("row.*", copies.cast("long").alias(carry))
     return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 #: The same in DuckDB SQL, with the columns of the registered query.
 MIX_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, coalesce(doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT) AS number, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          coalesce('=' || source, 'null') AS key
   FROM documents),
 b AS (
@@ -123,7 +128,7 @@ t AS (
   SELECT key, source_size, least((SELECT arg_min(share, (most::DOUBLE / weight, coalesce('0' || source, '1'))) FROM f WHERE share * weight <= most) * weight, most::DOUBLE) AS target
   FROM f),
 c AS (
-  SELECT b.*, ((((coalesce(doc_id, 0) % {MODULUS}) + {MODULUS}) % {MODULUS} * {SPREAD}) >> 15)
+  SELECT b.*, ((((number % {MODULUS}) + {MODULUS}) % {MODULUS} * {SPREAD}) >> 15)
               % ceil(count(*) OVER (PARTITION BY key, size_bin) / {CELL_ROWS}.0)::BIGINT AS cell
   FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size_bin, cell, doc_id NULLS FIRST, size) AS pos FROM c),

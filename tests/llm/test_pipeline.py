@@ -72,9 +72,28 @@ def test_stages_on_awkward_rows(spark):
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in cp.cut_repeats(spark, df, SF).collect())
     assert Counter(x.doc_id for x in cp.encode(spark, df, SF).collect()) == ids
     assert all(n <= 3 * ids[k] for k, n in Counter(x.doc_id for x in cp.mix(spark, df, SF).collect()).items())
+    assert cp.mix(spark, df, SF).dtypes == df.dtypes
     assert cp.encode(spark, empty(spark), SF).count() == 0
 
 
+def test_mix_keeps_to_its_targets_without_ids_and_with_repeated_ones(spark):
+    rnd = random.Random(21)
+    for ids in (lambda k: None, lambda k: k % 7, lambda k: k):
+        table = [(ids(k), " ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(10, 60))), "en", f"s{k % 3}", 0) for k in range(900)]
+        docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        words, largest = Counter(), Counter()
+        for _, text, _, source, _ in table:
+            words[source] += len(text.split())
+            largest[source] = max(largest[source], len(text.split()))
+        taken, times = Counter(), Counter()
+        for x in cp.mix(spark, docs, SF).collect():
+            taken[x.source] += len(x.text.split())
+            times[x.text] += 1
+        total, weights = sum(words.values()), {"s0": 1, "s1": 2, "s2": 3}
+        assert all(abs(taken[s] - total * w / 6) <= 2 * largest[s] for s, w in weights.items()), taken
+        assert max(times.values()) <= 3
+
+
 def test_run_is_registered():
     import __spark_entry__ as entry
 
