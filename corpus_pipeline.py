@@ -59,17 +59,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 3 times).
+    """Each row as often as the mix takes it (0 to 3 times).
 
-    Rows that repeat an id are taken together: each comes as often as the mix takes all of them on average, rounded up.
+    Rows are counted one by one, whether or not they share an id or have none: each source comes within one document of its target.
     Texts without words have size 0 and come as often as their source's documents do on average. Columns
     stay, whatever their names.
     """
-    own, copies, copy = (fresh(x, *docs.columns) for x in ("own_id", "copies", "copy"))
-    taken = mixing.mix(docs, cap=3).groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(own)).agg(F.ceil(F.avg("copies")).cast("int").alias(copies))
-    taken = materialise(taken.where(F.col(copies) > 0), "copies")
-    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(taken, own)
-    return keyed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+    copies, copy = fresh("copies", *docs.columns), fresh("copy", *docs.columns)
+    mixed = mixing.mix(docs, cap=3, carry=copies)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col(copies) > 0).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
