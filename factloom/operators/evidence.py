@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.text import escape, qualifiers, quoted_in
+from factloom.operators.ranking import ranked
+from factloom.staging import materialise
 
 #: Grades of confidence, the surest last.
 GRADES = ["probable", "exact"]
@@ -44,23 +46,27 @@ def cited(facts: DataFrame, snippets: DataFrame) -> DataFrame:
     return facts.join(snippets.select("snippet_id", "source_url"), "snippet_id", "left")
 
 
-def footnotes(facts: DataFrame) -> DataFrame:
+def footnotes(facts: DataFrame, hub_rows: int | None = None) -> DataFrame:
     """page_id, snippet_id, number and uses: each page's snippets numbered in the order of first use.
 
     A snippet's first place is found by aggregation, so only one row for each page and snippet is sorted.
+    Pages of more than hub_rows snippets are numbered in ranges.
     """
     order = F.struct("object_id", doubt(), *FACT_ORDER)
     first = facts.groupBy(F.col("subject_id").alias("page_id"), "snippet_id").agg(F.min(order).alias("first"), F.count("*").alias("uses"))
-    number = F.row_number().over(W.partitionBy("page_id").orderBy("first", "snippet_id"))
-    return first.select("page_id", "snippet_id", number.alias("number"), "uses")
+    return ranked(first, ["page_id"], ["first", "snippet_id"], "number", hub_rows).select("page_id", "snippet_id", "number", "uses")
 
 
-def numbered(facts: DataFrame) -> DataFrame:
-    """Facts with their page's number for the snippet, and a back link that no other fact of the page has."""
-    notes = footnotes(facts).select(F.col("page_id").alias("subject_id"), "snippet_id", "number")
+def numbered(facts: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """Facts with their page's number for the snippet, and a back link that no other fact of the page has.
+
+    Facts are read twice, so they should be a written table.
+    """
+    notes = materialise(footnotes(facts, hub_rows), "footnotes").withColumnRenamed("page_id", "subject_id")
     found = facts.join(notes, ["subject_id", "snippet_id"])
-    use = F.row_number().over(W.partitionBy("subject_id", "snippet_id").orderBy("object_id", doubt(), *FACT_ORDER))
-    return found.withColumn("back_link", F.format_string("fnref-%d-%d", F.col("number"), use))
+    sizes = notes.select("subject_id", "snippet_id", F.col("uses").alias("n"))
+    found = ranked(found, ["subject_id", "snippet_id"], ["object_id", doubt(), *FACT_ORDER], "use", hub_rows, sizes)
+    return found.withColumn("back_link", F.format_string("fnref-%d-%d", F.col("number"), F.col("use"))).drop("uses", "use")
 
 
 def quote_check(quotes: DataFrame, snippets: DataFrame) -> DataFrame:
@@ -74,9 +80,13 @@ def last_change(facts: DataFrame) -> DataFrame:
     return facts.groupBy(F.col("subject_id").alias("page_id")).agg(F.max("when_raw").alias("updated"))
 
 
+def source_lines(facts: DataFrame, snippets: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """page_id, number and line: each page's sources as escaped markup."""
+    notes = footnotes(facts, hub_rows).join(snippets.select("snippet_id", "source_url"), "snippet_id", "left")
+    return notes.select("page_id", "number", F.format_string('<li id="fn-%d">%s</li>', F.col("number"), escape(F.coalesce("source_url", F.lit("")))).alias("line"))
+
+
 def source_list(facts: DataFrame, snippets: DataFrame) -> DataFrame:
     """Each page's sources as one text of escaped markup, in the order of their numbers."""
-    notes = footnotes(facts).join(snippets.select("snippet_id", "source_url"), "snippet_id", "left")
-    line = F.format_string('<li id="fn-%d">%s</li>', F.col("number"), escape(F.coalesce("source_url", F.lit(""))))
-    lines = F.array_sort(F.collect_list(F.struct("number", line.alias("line"))))
-    return notes.groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("sources"), F.count("*").alias("n_sources"))
+    lines = F.array_sort(F.collect_list(F.struct("number", "line")))
+    return source_lines(facts, snippets).groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("sources"), F.count("*").alias("n_sources"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.text import colour
+from factloom.operators.ranking import ranked
 from factloom.sources.tables import DEFAULT_PREDICATE
 
 
@@ -51,17 +52,32 @@ def neighbour_bar(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return named.groupBy("page_id").agg(F.array_join(F.transform(bar, lambda x: x["name"]), " · ").alias("bar"), F.count("*").alias("n"))
 
 
+def ranked_neighbours(edges: DataFrame, entities: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """page_id, other_id, name and position: each page's neighbours numbered in the order of their lower-cased names."""
+    near = neighbours(edges)
+    named = near.join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
+    return ranked(named, ["page_id"], [F.lower("name"), "other_id"], hub_rows=hub_rows, counts=page_sizes(edges))
+
+
+def page_sizes(edges: DataFrame) -> DataFrame:
+    """page_id and n, the number of headings of each page."""
+    return both_ends(edges).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
 def labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges with the label of their predicate: the code where there is none, a default where there is no code."""
     small = F.broadcast(labels)  # the vocabulary, a few fixed rows
     return edges.join(small, edges["predicate"] == small["code"], "left").select(*edges.columns, F.coalesce("label", "predicate", F.lit(DEFAULT_PREDICATE)).alias("label"))
 
 
-def sections(edges: DataFrame, entities: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each page's headings in order: outgoing first, then by the neighbour's lower-cased name and the label."""
+def sections(edges: DataFrame, entities: DataFrame, labels: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """Each page's headings in order: outgoing first, then by the neighbour's lower-cased name and the label.
+
+    edges are read more than once, so they should be a written table. Pages of more than hub_rows headings are numbered in ranges.
+    """
     seen = labelled(both_ends(edges), labels).join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
-    order = W.partitionBy("page_id").orderBy(F.when(F.col("direction") == "out", 0).otherwise(1), F.lower("name"), "label", "other_id")
-    return seen.select("page_id", F.row_number().over(order).alias("position"), "direction", "label", "other_id", "name")
+    order = [F.when(F.col("direction") == "out", 0).otherwise(1), F.lower("name"), "label", "other_id"]
+    return ranked(seen, ["page_id"], order, hub_rows=hub_rows, counts=page_sizes(edges)).select("page_id", "position", "direction", "label", "other_id", "name")
 
 
 def without_edges(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import colour, escape
 from factloom.operators import evidence, graph
+from factloom.staging import materialise
 
 #: Shown on a page without edges.
 NO_EDGES = "No links are recorded"
+#: Lines of a section on one part of a page.
+PART_LINES = 10_000
 
 
 def cleaned(pages: DataFrame) -> DataFrame:
@@ -59,21 +62,39 @@ def index_list(entities: DataFrame) -> DataFrame:
     return rows.orderBy("type", F.lower("name"), "entity_id")
 
 
-def profiles(entities: DataFrame, edges: DataFrame, facts: DataFrame, snippets: DataFrame, labels: DataFrame, red: str) -> DataFrame:
-    """entity_id, file_name and html of each entity's page.
+def part_name(entity_id: Column, part: Column) -> Column:
+    """The name of a part of an entity's page; the first one has the page's name."""
+    more = F.when(part > 1, F.concat(F.lit("-"), part.cast("string"))).otherwise("")
+    return F.replace(file_name(entity_id), F.lit(".html"), F.concat(more, F.lit(".html")))
+
+
+def profiles(entities: DataFrame, edges: DataFrame, facts: DataFrame, snippets: DataFrame, labels: DataFrame, red: str, part_lines: int = PART_LINES, hub_rows: int | None = None) -> DataFrame:
+    """entity_id, part, parts, file_name and html of each entity's page, in parts of part_lines lines of a section at most.
 
     A page has a header, the bar of neighbours, the headings of outgoing and then incoming edges, and the
-    numbered sources. A section without content is left out, a page without edges says so.
+    numbered sources. A section without content is left out, a page without edges says so. A page whose sections are all
+    short is one part; of a hub each part has the header, its place among the parts and its share of each section. So
+    no group is larger than a part, whatever an entity's degree. edges and facts are read more than once and should be written tables.
     """
-    bar = graph.neighbour_bar(edges, entities).select(F.col("page_id").alias("entity_id"), F.concat(F.lit("<nav>"), escape(F.col("bar")), F.lit("</nav>")).alias("bar"))
+    bar = graph.ranked_neighbours(edges, entities, hub_rows).select("page_id", F.lit(0).alias("section"), "position", escape(F.col("name")).alias("line"))
     heading = F.format_string("<h3>%s: %s</h3>", escape(F.col("label")), escape(F.col("name")))
-    lines = F.array_sort(F.collect_list(F.struct("position", heading.alias("line"))))
-    body = graph.sections(edges, entities, labels).groupBy(F.col("page_id").alias("entity_id")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("body"))
-    sources = evidence.source_list(facts, snippets).select(F.col("page_id").alias("entity_id"), F.concat(F.lit("<ol>"), "sources", F.lit("</ol>")).alias("sources"))
-    found = entities.join(bar, "entity_id", "left").join(body, "entity_id", "left").join(sources, "entity_id", "left")
+    body = graph.sections(edges, entities, labels, hub_rows).select("page_id", F.lit(1).alias("section"), "position", heading.alias("line"))
+    sources = evidence.source_lines(facts, snippets, hub_rows).select("page_id", F.lit(2).alias("section"), F.col("number").alias("position"), "line")
+    lines = bar.unionByName(body).unionByName(sources).withColumn("part", F.floor((F.col("position") - 1) / part_lines) + 1)
+    found = lines.groupBy(F.col("page_id").alias("entity_id"), "part").agg(F.array_sort(F.collect_list(F.struct("section", "position", "line"))).alias("lines"))
+    found = materialise(found, "page-parts")
+    hubs = found.where("part > 1").groupBy("entity_id").agg(F.max("part").alias("parts"))
+    found = entities.join(found, "entity_id", "left").join(hubs, "entity_id", "left").withColumns({"part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+
+    def section(k: int, before: str, between: str, after: str) -> Column:
+        own = F.transform(F.filter("lines", lambda x: x["section"] == k), lambda x: x["line"])
+        return F.when(F.size(own) > 0, F.concat(F.lit(before), F.array_join(own, between), F.lit(after)))
+
     head = F.format_string('<h1 class="%s">%s</h1><p>%s</p>', colour(F.col("types"), red), escape(F.col("name")), F.array_join(F.array_sort("types"), ", "))
-    empty = F.lit(f"<p>{NO_EDGES}</p>")
-    return found.select("entity_id", file_name(F.col("entity_id")).alias("file_name"), F.concat_ws("", head, F.col("bar"), F.coalesce("body", empty), F.col("sources")).alias("html"))
+    place = F.when(F.col("parts") > 1, F.format_string("<p>part %d of %d</p>", "part", "parts"))
+    empty = F.when(F.col("part") == 1, F.lit(f"<p>{NO_EDGES}</p>"))
+    html = F.concat_ws("", head, place, section(0, "<nav>", " · ", "</nav>"), F.coalesce(section(1, "", "", ""), empty), section(2, "<ol>", "", "</ol>"))
+    return found.select("entity_id", "part", "parts", part_name(F.col("entity_id"), F.col("part")).alias("file_name"), html.alias("html"))
 
 
 def write_profiles(pages: DataFrame, path: str) -> None:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import evidence, graph, pages, resolve
+from factloom.operators import evidence, graph, pages, paths, resolve
+from factloom.operators.components import components
 from factloom.sources import tables as tb
+from factloom.staging import materialise
 from factloom.streaming import events as ev
 
 #: The type whose entities are shown in red.
@@ -32,12 +34,23 @@ note AS (SELECT page_id, snippet_id, uses, row_number() OVER (PARTITION BY page_
 """
 
 
-def query(sql: str):
+def written_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges, written once for queries that read them more than once."""
+    return materialise(tb.edges(spark, sf_dir), "edges")
+
+
+def written_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The edges and the facts that they come from, each written once: the order lines are scanned a single time."""
+    facts = materialise(tb.facts(spark, sf_dir), "facts")
+    return materialise(tb.edges(spark, sf_dir, facts), "edges"), facts
+
+
+def query(sql: str, recursive: bool = False):
     """Registers a function under its name, with its SQL twin."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"WITH {tb.VIEWS_SQL}, {SIDES_SQL} {sql}"
+        ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{tb.VIEWS_SQL}, {SIDES_SQL} {sql}"
         return f
 
     return register
@@ -89,7 +102,8 @@ def predicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY direction = 'in', lower(name), label, other_id)::INT AS position, direction, label, other_id, name
 FROM named""")
 def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.sections(tb.edges(spark, sf_dir), tb.entities(spark, sf_dir), tb.predicate_labels(spark))
+    found = graph.sections(written_edges(spark, sf_dir), tb.entities(spark, sf_dir), tb.predicate_labels(spark))
+    return found.withColumn("position", F.col("position").cast("int"))
 
 
 @query("""SELECT subject_id, predicate, object_id, count(*) AS n_facts, sum(amount_cents)::BIGINT AS total_cents,
@@ -207,14 +221,15 @@ def exact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, snippet_id, number::INT AS number, uses FROM note")
 def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.footnotes(tb.facts(spark, sf_dir))
+    return evidence.footnotes(tb.facts(spark, sf_dir)).withColumn("number", F.col("number").cast("int"))
 
 
 @query("""SELECT fact.subject_id, object_id, order_key, line, amount_cents, fact.snippet_id, number::INT AS number,
        'fnref-' || number || '-' || row_number() OVER (PARTITION BY fact.subject_id, fact.snippet_id ORDER BY object_id, confidence, when_raw, order_key, line, amount_cents) AS back_link
 FROM fact JOIN note ON subject_id = page_id AND fact.snippet_id = note.snippet_id""")
 def facts_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.numbered(tb.facts(spark, sf_dir)).select("subject_id", "object_id", "order_key", "line", "amount_cents", "snippet_id", "number", "back_link")
+    found = evidence.numbered(materialise(tb.facts(spark, sf_dir), "facts"))
+    return found.select("subject_id", "object_id", "order_key", "line", "amount_cents", "snippet_id", F.col("number").cast("int").alias("number"), "back_link")
 
 
 @query("SELECT DISTINCT subject_id AS page_id, snippet_id FROM fact")
@@ -346,7 +361,9 @@ LEFT JOIN (SELECT page_id, string_agg('<li id="fn-' || number || '">' || {ESCAPE
 
 @query(PROFILE_SQL)
 def profile_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.profiles(tb.entities(spark, sf_dir), tb.edges(spark, sf_dir), tb.facts(spark, sf_dir), tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED)
+    edges, facts = written_graph(spark, sf_dir)
+    made = pages.profiles(tb.entities(spark, sf_dir), edges, facts, tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED)
+    return made.select("entity_id", "file_name", "html")
 
 
 @query(""", near AS (SELECT DISTINCT page_id, other_id FROM side), first AS (SELECT page_id AS start_id, other_id FROM near WHERE page_id LIKE 'region:%'),
@@ -363,6 +380,111 @@ def common_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.common_neighbours(tb.edges(spark, sf_dir), "supplier:1", "supplier:2")
 
 
+#: Lines of a section on one part of a page, where pages are shown in parts.
+SHORT_PART = 25
+PARTS_SQL = f"""
+, bar AS (SELECT page_id, {ESCAPED_SQL.format("name")} AS line, row_number() OVER (PARTITION BY page_id ORDER BY lower(name), other_id) AS position FROM (SELECT DISTINCT page_id, other_id, name FROM named)),
+body AS (SELECT page_id, '<h3>' || {ESCAPED_SQL.format("label")} || ': ' || {ESCAPED_SQL.format("name")} || '</h3>' AS line, row_number() OVER (PARTITION BY page_id ORDER BY direction = 'in', lower(name), label, other_id) AS position FROM named),
+source AS (SELECT page_id, '<li id="fn-' || number || '">' || {ESCAPED_SQL.format("coalesce(source_url, '')")} || '</li>' AS line, number AS position FROM note LEFT JOIN snippet ON note.snippet_id = snippet.snippet_id),
+lines AS (SELECT *, (position - 1) // {SHORT_PART} + 1 AS part FROM (SELECT 0 AS section, * FROM bar UNION ALL SELECT 1, * FROM body UNION ALL SELECT 2, * FROM source)),
+piece AS (SELECT page_id, part, '<nav>' || string_agg(line, ' · ' ORDER BY position) FILTER (section = 0) || '</nav>' AS bar, string_agg(line, '' ORDER BY position) FILTER (section = 1) AS body,
+       '<ol>' || string_agg(line, '' ORDER BY position) FILTER (section = 2) || '</ol>' AS sources, max(part) OVER (PARTITION BY page_id) AS parts FROM lines GROUP BY page_id, part)
+SELECT entity_id, coalesce(part, 1)::BIGINT AS part, coalesce(parts, 1)::BIGINT AS parts, 'entity-' || replace(entity_id, ':', '-') || CASE WHEN part > 1 THEN '-' || part ELSE '' END || '.html' AS file_name,
+  '<h1 class="' || CASE WHEN list_contains(types, 'customer') THEN 'red' ELSE 'green' END || '">' || {ESCAPED_SQL.format("name")} || '</h1><p>' || array_to_string(list_sort(types), ', ') || '</p>'
+  || CASE WHEN parts > 1 THEN '<p>part ' || part || ' of ' || parts || '</p>' ELSE '' END || coalesce(bar, '') || coalesce(body, CASE WHEN coalesce(part, 1) = 1 THEN '<p>No links are recorded</p>' END, '') || coalesce(sources, '') AS html
+FROM entity LEFT JOIN piece ON page_id = entity_id"""
+
+
+@query(PARTS_SQL)
+def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in numbered parts of a few lines, as a hub's page is shown."""
+    edges, facts = written_graph(spark, sf_dir)
+    return pages.profiles(tb.entities(spark, sf_dir), edges, facts, tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED, part_lines=SHORT_PART)
+
+
+#: Customers that stand for others: chains of up to three, circles of two, ids of another kind, and some with two meanings.
+SAME_SQL = """same AS (
+  SELECT 'customer:' || c_custkey AS entity_id, 'customer:' || (c_custkey - 1) AS stands_for FROM customer WHERE c_custkey % 10 IN (1, 2, 3)
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || (c_custkey + CASE WHEN c_custkey % 100 = 58 THEN 1 ELSE -1 END) FROM customer WHERE c_custkey % 100 IN (58, 59)
+  UNION ALL SELECT 'customer:' || c_custkey, 'supplier:' || c_custkey FROM customer WHERE c_custkey % 20 = 7
+  UNION ALL SELECT 'customer:' || c_custkey, 'part:' || c_custkey FROM customer WHERE c_custkey % 10 = 3),
+target AS (SELECT entity_id, min(stands_for) AS stands_for FROM same GROUP BY entity_id),
+walk AS (SELECT entity_id, stands_for AS spot, 1 AS steps FROM target UNION ALL SELECT walk.entity_id, target.stands_for, steps + 1 FROM walk JOIN target ON spot = target.entity_id WHERE steps < 20),
+root AS (SELECT entity_id, coalesce(min(spot) FILTER (spot NOT IN (SELECT entity_id FROM target)), min(spot)) AS root FROM walk GROUP BY entity_id),
+moved AS (SELECT * FROM root WHERE entity_id <> root)"""
+
+
+def _same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    kind = lambda name, key: tb.ref(name, key)
+    meanings = F.array(
+        F.when((k % 10).isin(1, 2, 3), kind("customer", k - 1)),
+        F.when(k % 100 == 58, kind("customer", k + 1)).when(k % 100 == 59, kind("customer", k - 1)),
+        F.when(k % 20 == 7, kind("supplier", k)),
+        F.when(k % 10 == 3, kind("part", k)),
+    )
+    rows = tb.table(spark, sf_dir, "customer").select(kind("customer", k).alias("entity_id"), F.explode(meanings).alias("stands_for"))
+    return rows.where("stands_for IS NOT NULL")
+
+
+@query(f", {SAME_SQL} SELECT entity_id, root FROM moved", recursive=True)
+def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each id finally stands for."""
+    return resolve.canonical_ids(_same(spark, sf_dir))
+
+
+CANONICAL_SQL = f""", {SAME_SQL}, said AS (SELECT coalesce(s.root, subject_id) AS subject, predicate, coalesce(o.root, object_id) AS object, {{0}} FROM {{1}} LEFT JOIN moved s ON subject_id = s.entity_id LEFT JOIN moved o ON object_id = o.entity_id)"""
+
+
+@query(f"{CANONICAL_SQL.format('1 AS one', 'edge')} SELECT subject AS subject_id, predicate, object AS object_id, count(*) AS merged FROM said WHERE subject <> object GROUP BY ALL", recursive=True)
+def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One heading for each canonical triple, and how many headings it was before names were resolved."""
+    roots = materialise(resolve.canonical_ids(_same(spark, sf_dir)), "roots")
+    return resolve.canonical_edges(tb.edges(spark, sf_dir), roots)
+
+
+@query(f"""{CANONICAL_SQL.format('confidence, when_raw, order_key, line, amount_cents', 'fact')} SELECT subject AS subject_id, predicate, object AS object_id, count(*) AS n_facts, sum(amount_cents)::BIGINT AS total_cents,
+       string_agg(confidence || ' ' || when_raw || ' ' || order_key || ' ' || line, '; ' ORDER BY confidence, when_raw, order_key, line, amount_cents) AS facts FROM said WHERE subject <> object GROUP BY ALL""", recursive=True)
+def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts under each canonical heading."""
+    roots = materialise(resolve.canonical_ids(_same(spark, sf_dir)), "roots")
+    found = evidence.edge_facts(resolve.canonical_facts(tb.facts(spark, sf_dir), roots))
+    shown = F.transform("facts", lambda x: F.concat_ws(" ", x["confidence"], x["when_raw"], x["order_key"], x["line"]))
+    return found.withColumn("facts", F.array_join(shown, "; "))
+
+
+#: Levels that the twin of the search has; no page of the tables is as far from the start, and the last level is empty.
+LEVELS = 9
+START = "customer:1"
+
+
+def _levels_sql() -> str:
+    level = ", l{k} AS MATERIALIZED (SELECT other_id AS node, min(list_append(path, other_id)) AS path FROM l{j} JOIN near ON node = page_id WHERE other_id NOT IN ({known}) GROUP BY other_id)"
+    known = lambda k: " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(k))
+    steps = "".join(level.format(k=k, j=k - 1, known=known(k)) for k in range(1, LEVELS))
+    rows = " UNION ALL ".join(f"SELECT node, path, {k} AS distance FROM l{k}" for k in range(LEVELS))
+    return f""", near AS MATERIALIZED (SELECT DISTINCT page_id, other_id FROM side), l0 AS (SELECT '{START}' AS node, ['{START}'] AS path){steps}
+SELECT node, distance, CASE WHEN distance > 0 THEN path[-2] END AS parent, array_to_string(path, ' > ') AS path FROM ({rows})"""
+
+
+@query(_levels_sql())
+def least_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each page is from one customer's, and the least of the shortest ways there."""
+    start = tb.entities(spark, sf_dir).where(F.col("entity_id") == START)
+    return paths.least_paths(written_edges(spark, sf_dir), start).withColumn("path", F.array_join("path", " > "))
+
+
+@query("""SELECT entity_id, min(entity_id) OVER (PARTITION BY region) AS component, count(*) OVER (PARTITION BY region) AS size FROM (
+  SELECT 'customer:' || c_custkey AS entity_id, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_regionkey FROM region)""")
+def place_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is connected by places alone: the component of each page, named by its smallest id, and its size."""
+    places = tb.edges(spark, sf_dir).where(F.col("predicate").isin("LOCATED_IN", "IN_REGION")).select("subject_id", "object_id")
+    found = materialise(components(places), "components")
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    return found.join(sizes, "root").select(F.col("node").alias("entity_id"), F.col("root").alias("component"), "size")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole profile of one customer: header, neighbours, headings with their facts, numbered sources."""
     one = F.col("subject_id") == "customer:1"

@@ -72,12 +72,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct edges of facts, and those of places."""
+def edges(spark: SparkSession, sf_dir: str, from_facts: DataFrame | None = None) -> DataFrame:
+    """The distinct edges of facts (those of the tables, if none are given), and those of places."""
     located = [table(spark, sf_dir, t).select(ref(t, k).alias("subject_id"), F.lit("LOCATED_IN").alias("predicate"), ref("nation", n).alias("object_id")) for t, k, n in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"))]
     nations = table(spark, sf_dir, "nation").select(ref("nation", "n_nationkey").alias("subject_id"), F.lit("IN_REGION").alias("predicate"), ref("region", "n_regionkey").alias("object_id"))
-    from_facts = facts(spark, sf_dir).select("subject_id", "predicate", "object_id").distinct()
-    return reduce(DataFrame.unionByName, [*located, nations, from_facts])
+    given = facts(spark, sf_dir) if from_facts is None else from_facts
+    return reduce(DataFrame.unionByName, [*located, nations, given.select("subject_id", "predicate", "object_id").distinct()])
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
