@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.staging import hadoop_path, materialise, path_exists, shared_folder
+
+__all__ = ["documents", "fresh", "hadoop_path", "lower_ascii", "materialise", "path_exists", "shared_folder", "text_of", "with_text"]
+
 #: The ASCII letters, for lower-casing A-Z and nothing else.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -30,30 +31,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor can see.
-
-    It lies below the session's spark.checkpoint.dir; where that is unset a temporary folder is made
-    and set, but only if the session runs on this machine alone: elsewhere executors could not see it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes df to a shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = folder or shared_folder(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, *taken: str) -> str:
     """name, made longer until no column among taken has it (column names do not tell cases apart)."""
     used = {x.lower() for x in taken}
@@ -62,18 +39,6 @@ def fresh(name: str, *taken: str) -> str:
     return name
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """The Hadoop file system and path object behind a path string."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, at = hadoop_path(spark, path)
-    return fs.exists(at)
-
-
 def with_text(df: DataFrame, text_col: str) -> DataFrame:
     """df, checked to have the text column as a string."""
     kind = df.schema[text_col].dataType
