@@ -14,19 +14,6 @@ ESCAPES = {
     "'": "&#39;",
 }
 
-#: Words for scales and for units in amounts.
-SCALES = {
-    "тыс": 1_000,
-    "млн": 1_000_000,
-    "млрд": 1_000_000_000,
-}
-CURRENCIES = {
-    "$": "USD",
-    "€": "EUR",
-    "гривен": "UAH",
-    "руб": "RUB",
-}
-
 
 def escape(text: Column) -> Column:
     """Text with the characters of markup written out, & first. Null stays null."""
@@ -54,41 +41,3 @@ def colour(types: Column, red: str) -> Column:
 def qualifiers(*columns: Column) -> Column:
     """The qualifiers that are there, joined by a middle dot."""
     return F.concat_ws(" · ", *columns)
-
-
-def parse_when(raw: Column) -> Column:
-    """A struct of the raw text, first and last year, precision and whether an end is open; nulls where unsure."""
-    text = F.trim(raw)
-    iso = F.regexp_extract(text, r"^(\d{4})-(\d{2})(?:-\d{2})?$", 1)
-    span = F.regexp_extract(text, r"^(\d{4})\s*[-–]\s*(\d{4})$", 1)
-    span_end = F.regexp_extract(text, r"^(\d{4})\s*[-–]\s*(\d{4})$", 2)
-    about = F.regexp_extract(text, r"^~\s*(\d{4})$", 1)
-    year = F.regexp_extract(text, r"^(\d{4})$", 1)
-    after = F.regexp_extract(text, r"^(?:after|since|после|с)\s+(\d{4})", 1)
-    before = F.regexp_extract(text, r"^(?:before|by|until|до|к)\s+(\d{4})", 1)
-    pick = lambda *found: F.coalesce(*(F.when(x != "", x) for x in found)).cast("int")
-    precision = (
-        F.when(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}$", 0) != "", "day").when(iso != "", "month").when(span != "", "range").when(about != "", "about").when(year != "", "year").when((after != "") | (before != ""), "bound")
-    )
-    return F.struct(
-        raw.alias("raw"),
-        pick(iso, span, about, year, after).alias("first_year"),
-        pick(iso, span_end, about, year, before).alias("last_year"),
-        precision.alias("precision"),
-        ((after != "") | (before != "")).alias("is_open"),
-    )
-
-
-def parse_amount(raw: Column) -> Column:
-    """A struct of the raw text, value, unit (percent, currency or number) and currency; nulls where unsure."""
-    text = F.lower(F.trim(raw))
-    digits = F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)", 1)
-    number = F.replace(digits, F.lit(","), F.lit(".")).try_cast("decimal(20,4)")
-    scale = F.lit(1)
-    for word, factor in SCALES.items():
-        scale = F.when(F.contains(text, F.lit(word)), F.lit(factor)).otherwise(scale)
-    currency = F.lit(None).cast("string")
-    for sign, code in CURRENCIES.items():
-        currency = F.when(F.contains(text, F.lit(sign)), F.lit(code)).otherwise(currency)
-    unit = F.when(number.isNull(), None).when(F.contains(text, F.lit("%")), "percent").when(currency.isNotNull(), "currency").otherwise("number")
-    return F.struct(raw.alias("raw"), (number * scale).cast("decimal(20,4)").alias("value"), unit.alias("unit"), currency.alias("currency"))

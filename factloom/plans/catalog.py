@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import amounts, times
 from factloom.functions import text as tx
 from factloom.operators import evidence, graph, pages, paths, resolve
 from factloom.operators.components import components
@@ -187,10 +188,53 @@ def when_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.lit("not known")
     for n, way in enumerate(ways):
         raw = F.when(k == n, way).otherwise(raw)
-    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_when(raw).alias("read"))
+    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", times.parse_when(raw).alias("read"))
     return rows.select("o_orderkey", *(F.col(f"read.{x}").alias(x) for x in ("first_year", "last_year", "precision", "is_open")))
 
 
+#: Orders write their dates as people do, in two languages; the twin says from the dates alone which days are meant.
+WORDED_SQL = """SELECT o_orderkey, array_to_string(list_transform(spans, lambda x: coalesce(x.a::DATE::VARCHAR, '') || '/' || coalesce(x.b::DATE::VARCHAR, '')), ' ') AS spans FROM (
+SELECT o_orderkey, CASE o_orderkey % 14
+  WHEN 0 THEN [{'a': y0, 'b': y1}] WHEN 1 THEN [{'a': m0, 'b': m1}] WHEN 2 THEN [{'a': y0, 'b': y1 + INTERVAL 2 YEAR}] WHEN 3 THEN [{'a': y0, 'b': NULL}]
+  WHEN 4 THEN [{'a': y0, 'b': y1}, {'a': y0 + INTERVAL 3 YEAR, 'b': y1 + INTERVAL 4 YEAR}] WHEN 5 THEN [{'a': NULL, 'b': y1}] WHEN 6 THEN [{'a': d, 'b': d}]
+  WHEN 7 THEN [{'a': y0 + INTERVAL 5 MONTH, 'b': y0 + INTERVAL 8 MONTH - INTERVAL 1 DAY}] WHEN 8 THEN [{'a': make_date(y // 10 * 10, 1, 1), 'b': make_date(y // 10 * 10 + 9, 12, 31)}]
+  WHEN 9 THEN [{'a': y1 - INTERVAL (((y1::DATE - y0 + 1) // 3) - 1) DAY, 'b': y1}] WHEN 10 THEN [{'a': y0, 'b': y1 + INTERVAL 3 YEAR}] WHEN 11 THEN [{'a': y0, 'b': y1}] WHEN 12 THEN []::STRUCT(a TIMESTAMP, b TIMESTAMP)[] END AS spans
+FROM (SELECT o_orderkey, y, d, make_date(y, 1, 1) AS y0, make_date(y, 12, 31)::TIMESTAMP AS y1, date_trunc('month', d) AS m0, date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS m1 FROM (SELECT o_orderkey, year(o_orderdate) AS y, o_orderdate::DATE AS d FROM orders)))"""
+RUSSIAN_MONTHS = "январе феврале марте апреле мае июне июле августе сентябре октябре ноябре декабре".split()
+ENGLISH_MONTHS = "January February March April May June July August September October November December".split()
+
+
+@query(WORDED_SQL)
+def when_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as people write them, read as spans of days; overlapping ones are one."""
+    date, k = F.col("o_orderdate"), F.col("o_orderkey") % 14
+    year = lambda more=0: (F.year(date) + more).cast("string")
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    month = F.element_at(F.array(*map(F.lit, RUSSIAN_MONTHS)), F.month(date))
+    english = F.element_at(F.array(*map(F.lit, ENGLISH_MONTHS)), F.month(date))
+    ways = [
+        said(year(), " г."),
+        said("в ", month, " ", year(), " года"),
+        said("с ", year(), " по ", year(2)),
+        said(year(), " - now"),
+        said(year(3), "–", year(4), ", ", year()),
+        said("до ", year(), " г."),
+        said(F.dayofmonth(date).cast("string"), " ", english, " ", year()),
+        said("summer of ", year()),
+        said(F.substring(year(), 1, 3), "0s"),
+        said("конец ", year(), " года"),
+        said(year(), "-", year(2), " и ", year(1), "-", year(3)),
+        said("~ ", year()),
+        F.lit("не указано"),
+        said("через год после ", year()),
+    ]
+    raw = F.lit(None).cast("string")
+    for n, way in enumerate(ways):
+        raw = F.when(k == n, way).otherwise(raw)
+    shown = F.transform("spans", lambda x: F.concat(F.coalesce(x["first"].cast("string"), F.lit("")), F.lit("/"), F.coalesce(x["last"].cast("string"), F.lit(""))))
+    return tb.table(spark, sf_dir, "orders").select("o_orderkey", times.when_spans(raw).alias("spans")).select("o_orderkey", F.array_join(shown, " ").alias("spans"))
+
+
 AMOUNT_SQL = """SELECT o_orderkey, (CASE k WHEN 0 THEN n WHEN 1 THEN n + 0.5 WHEN 2 THEN (n + 0.5) * 1000 WHEN 3 THEN n * 1000000 WHEN 4 THEN n::DECIMAL(20,4) * 1000000000 END)::DOUBLE AS value,
        CASE k WHEN 0 THEN 'number' WHEN 1 THEN 'percent' WHEN 5 THEN NULL ELSE 'currency' END AS unit, CASE k WHEN 2 THEN 'USD' WHEN 3 THEN 'UAH' WHEN 4 THEN 'EUR' END AS currency
 FROM (SELECT o_orderkey, o_orderkey % 6 AS k, (o_orderkey % 997)::DECIMAL(20,4) AS n FROM orders)"""
@@ -204,7 +248,7 @@ def amount_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.lit("some of it")
     for at, way in enumerate(ways):
         raw = F.when(k == at, way).otherwise(raw)
-    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_amount(raw).alias("read"))
+    rows = tb.table(spark, sf_dir, "orders").select("o_orderkey", amounts.parse_amount(raw).alias("read"))
     return rows.select("o_orderkey", F.col("read.value").cast("double").alias("value"), "read.unit", "read.currency")
 
 
