@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.staging import hadoop_path, materialise, path_exists, shared_folder
 
-__all__ = ["documents", "fresh", "hadoop_path", "lower_ascii", "materialise", "path_exists", "shared_folder", "text_of", "with_text"]
+__all__ = ["documents", "fresh", "give_back", "hadoop_path", "lower_ascii", "materialise", "path_exists", "shared_folder", "small_batches", "text_of", "with_text"]
+
+#: The setting for bytes of a batch of rows on its way to Python, and what it is set to.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 #: The ASCII letters, for lower-casing A-Z and nothing else.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,6 +45,21 @@ def fresh(name: str, *taken: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later to the system, at a task's end: a worker waits, others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand texts to Python in batches of some megabytes, where it has no setting of its own for that."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def with_text(df: DataFrame, text_col: str) -> DataFrame:
     """df, checked to have the text column as a string."""
     kind = df.schema[text_col].dataType

@@ -13,7 +13,8 @@ and before each cut where no such window ends the fewest chunks that lead up to
 stretch of bytes, known by a 96-bit digest, so what is cut stands in one piece in an earlier place:
 chunks that repeat by chance here and there are never put together. The first place of a window
 (smallest id, then position) keeps it, later places are repeats, and all repeats together are cut.
-A document is its id and 128 bits of its text's hashes, so rows that share an id, or have none, are told apart.
+A document is its id and a hash of its text, so rows that share an id, or have none, are told apart; should two of one id
+agree in that hash, nothing is cut that is not where it was found, as each window's digest is held against the text again.
 
 Windows are found once and written; only digests travel, counted on each side before the shuffle. The
 few digests that repeat are written too and joined to all windows as plain tables, so that Spark can
@@ -34,7 +35,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, materialise, text_of, with_text
+from factloom.llm.common import fresh, give_back, materialise, text_of, with_text
 from factloom.llm.ngram_join import SPACES
 
 #: Words of which one is a cut, and the bits of the hash before a word by which it is chosen.
@@ -133,24 +134,29 @@ def windows(data: bytes, least_words: int) -> list[tuple[int, int]]:
     return [(int(marks[i]), int(marks[j])) for i, j in sorted(found)]
 
 
-WINDOWS = "id bigint, version bigint, proof bigint, digest bigint, more int, start bigint, end bigint, again boolean"
+#: place has start (from bit 32), whether the same text has the window earlier (bit 31) and length (31 bits).
+WINDOWS = "id bigint, version bigint, digest bigint, more int, place bigint"
+AGAIN, LENGTH = 1 << 31, (1 << 31) - 1
 
 
-def window_table(ids: list, texts: list[str], versions: list[int], proofs: list[int], least_words: int) -> list[list]:
-    """The columns of WINDOWS for all windows of the texts.
+def digest_of(window: bytes) -> tuple[int, int]:
+    """96 bits of a window's hash, as two signed numbers."""
+    digest = xxhash.xxh3_128_intdigest(window)
+    return (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31)
 
-    digest and more are 96 bits of the window's hash; again says that the same text has the window
-    earlier, not counting places that overlap it.
-    """
-    columns: list[list] = [[] for _ in range(8)]
-    for own, text, version, proof in zip(ids, texts, versions, proofs, strict=True):
+
+def window_table(ids: list, texts: list[str], versions: list[int], least_words: int) -> list[list]:
+    """The columns of WINDOWS for all windows of the texts. Earlier places in the same text count if they do not overlap."""
+    columns: list[list] = [[] for _ in range(5)]
+    add = [x.append for x in columns]
+    for own, text, version in zip(ids, texts, versions, strict=True):
         data = text.encode()
-        ended: dict[int, int] = {}  # where the first place of a digest ends
+        ended: dict[tuple[int, int], int] = {}  # where the first place of a digest ends
         for start, end in windows(data, least_words):
-            digest = xxhash.xxh3_128_intdigest(data[start:end])
-            row = (own, version, proof, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31), start, end, ended.setdefault(digest, end) <= start)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
+            key = digest_of(data[start:end])
+            place = start << 32 | end - start | (AGAIN if ended.setdefault(key, end) <= start else 0)
+            for append, value in zip(add, (own, version, *key, place), strict=True):
+                append(value)
     return columns
 
 
@@ -162,7 +168,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(least_words: int):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
     names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches):
@@ -170,37 +176,51 @@ def _windows(least_words: int):
             for batch in slices(whole):
                 columns = window_table(*(c.to_pylist() for c in batch.columns), least_words)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+        give_back()
 
     return run
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> list:
-    """The id (null: the smallest number), version and proof (two hashes of the text) that name a document here."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.xxhash64(text_of(text_col)), F.xxhash64(F.lit("proof"), text_of(text_col))]
+    """The id (null: the smallest number) and version (a hash of the text) that name a document here."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), F.xxhash64(text_of(text_col))]
 
 
 def found_windows(df: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The windows of each row; see window_table()."""
-    own, version, proof = keyed(df, id_col, text_col)
-    return df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version"), proof.alias("proof")).mapInArrow(_windows(least_words), WINDOWS)
+    own, version = keyed(df, id_col, text_col)
+    return df.select(own.alias("id"), text_of(text_col).alias("text"), version.alias("version")).mapInArrow(_windows(least_words), WINDOWS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """id, version, proof, start, end and first of the windows that stand earlier too: in a smaller id, in the text of that id
-    that keeps them, or before in their own text.
+    """The windows that stand earlier too, with first: in a smaller id, in another text of the same id, or before in their own text.
 
     found must be written already, as it is read twice. first is the smallest id that has the window; of several
-    texts of that id one keeps it, whichever is met.
+    texts of that id the one with the smallest version keeps it.
     """
-    firsts = found.groupBy("digest", "more").agg(F.min("id").alias("first"), F.min_by("version", "id").alias("keeper"), F.count("*").alias("n"))
+    firsts = found.groupBy("digest", "more").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     firsts = materialise(firsts.where(F.col("n") > 1).drop("n"), "first-places")
-    later = (F.col("id") > F.col("first")) | (F.col("version") != F.col("keeper")) | F.col("again")
-    return found.join(firsts, ["digest", "more"]).where(later).select("id", "version", "proof", "start", "end", "first")
+    repeated = materialise(found.join(firsts, ["digest", "more"]), "repeated")
+    later = (F.col("id") > F.col("first")) | (F.shiftright("place", 31).bitwiseAND(F.lit(1)) == 1)
+    same = repeated.where("id = first").groupBy("digest", "more").agg(F.min("version").alias("keeper"), F.max("version").alias("other"))
+    same = materialise(same.where("keeper <> other").drop("other"), "keepers")  # ids that several rows have
+    if same.isEmpty():
+        return repeated.where(later)
+    return repeated.join(same, ["digest", "more"], "left").where(later | (F.col("version") != F.col("keeper"))).drop("keeper")
 
 
 def spans(repeated: DataFrame) -> DataFrame:
-    """id, version, proof and the sorted places of each document's repeats with their firsts (no more than its own windows)."""
-    return repeated.groupBy("id", "version", "proof").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first"))).alias("places"))
+    """id, version and the sorted places of each document's repeats with their firsts and digests (no more than its own windows)."""
+    return repeated.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("place", "first", "digest", "more"))).alias("places"))
+
+
+def standing(data: bytes, places: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """start, end and first of those places whose window is there in the text's bytes."""
+    for place, first, digest, more in places:
+        start = place >> 32
+        end = start + (place & LENGTH)
+        if digest_of(data[start:end]) == (digest, more):
+            yield start, end, first
 
 
 def runs_of(places: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -247,7 +267,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     found = materialise(found_windows(df, least_words, id_col, text_col), "windows")
     found = materialise(spans(repeats(found)), "spans")
     rows = df.drop(spans_col) if spans_col else df
-    *names, gone = (fresh(x, *rows.columns) for x in ("own_id", "text_version", "text_proof", "own_places"))
+    *names, gone = (fresh(x, *rows.columns) for x in ("own_id", "text_version", "own_places"))
     rows = rows.withColumns(dict(zip(names, keyed(df, id_col, text_col), strict=True)))
     found = found.toDF(*names, gone)
     rows = rows.join(found, names, "left").drop(*names)
@@ -260,16 +280,17 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
             for batch in slices(whole):
                 texts, places, a = batch.column(at).to_pylist(), [], 0
                 own = batch.column(len(names))
-                flat = [x.to_pylist() for x in own.flatten().flatten()]  # start, end and first of all rows' places
+                flat = [x.to_pylist() for x in own.flatten().flatten()]  # the fields of all rows' places
                 for k, n in enumerate(pc.fill_null(pc.list_value_length(own), 0).to_pylist()):
                     cuts: list[tuple[int, int, int]] = []
                     if n and texts[k]:
-                        texts[k], cuts = cut(texts[k], runs_of(zip(*(x[a : a + n] for x in flat), strict=True)))
+                        texts[k], cuts = cut(texts[k], runs_of(standing(texts[k].encode(), zip(*(x[a : a + n] for x in flat), strict=True))))
                     a += n
                     places.append([{"start": x, "end": y, "first": None if first == LEAST else first} for x, y, first in cuts])
                 columns = [*batch.columns[: len(names)]]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places, pair)] if spans_col else [])], names=[*names, *([spans_col] if spans_col else [])])
+        give_back()
 
     schema = rows.drop(gone).select("*", *([F.lit(None).cast("array<struct<start: bigint, end: bigint, first: bigint>>").alias(spans_col)] if spans_col else [])).schema
     return rows.mapInArrow(run, schema)
