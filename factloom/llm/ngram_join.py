@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, text_of, with_text
+from factloom.llm.common import give_back, materialise, text_of, with_text
 from factloom.operators.components import components
 
 #: Sets and shingles in one prefix tree, at most about so many, and least edited sets that each chunk of a block meets.
@@ -81,6 +81,7 @@ _KNOWN = _WordHashes()
 def forget_words() -> None:
     """Empties the cache: a worker that waits for its next task holds no memory that others need."""
     _KNOWN.clear()
+    give_back()
 
 
 def _hashes(data: bytes) -> np.ndarray:

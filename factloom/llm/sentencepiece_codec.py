@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_of, with_text
+from factloom.llm.common import fresh, give_back, text_of, with_text
 
 SPACE = "▁"
 #: Entries each worker keeps; a full cache is emptied, so memory stays bounded.
-SEGMENT_CACHE = 250_000
-PAIR_CACHE = 500_000
+SEGMENT_CACHE = 150_000
+PAIR_CACHE = 400_000
 #: Characters of the longest text that is a key of a cache: longer ones are encoded each time.
 KEY_CHARS = 64
 #: Texts are handled in slices of about so many characters, which bounds an output batch.
@@ -108,6 +108,7 @@ class PieceCodec:
         self.words.clear()
         self.packed_pairs = array("q", (pair << 1 | fits for pair, fits in self.compatible.items()))
         self.compatible.clear()
+        give_back()
 
     def recall(self) -> None:
         """Unpacks the pairs that forget() packed."""
@@ -303,9 +304,10 @@ def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, kind: s
 def round_trip(df: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns keep, ids and decoded of each row: encoding, then decoding of those ids, in one pass over the rows.
 
-    Null texts count as empty: no ids, an empty decoded text.
+    Null texts count as empty: no ids, an empty decoded text. Rows are handled one by one, so repeated rows stay, an empty
+    table stays empty, and long texts are coded whole. The columns keep may have any names but ids and decoded.
     """
-    narrow = df.select(*keep, text_of(text_col).alias("__text"))
+    narrow = df.select(*keep, text_of(text_col).alias(fresh("text_to_code", *keep)))
     schema = narrow.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
     n = len(keep)
 

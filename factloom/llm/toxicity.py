@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, materialise, text_of, with_text
+from factloom.llm.common import fresh, give_back, materialise, text_of, with_text
 
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 4000
@@ -231,5 +231,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
                 batch = whole_batch.slice(start, step)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score_texts(batch.column(n).to_pylist(), model), pa.float64())], names=[*kept, score_col])
         _features.cache_clear()  # a worker that waits for its next task holds no memory that others need
+        give_back()
 
     return rows.mapInArrow(run, schema)

@@ -60,3 +60,10 @@ def test_awkward_rows(spark, library):
     assert all(x.ids == library.encode(x.text or "") and x.decoded == library.decode(x.ids) for x in got)
     assert sc.round_trip(empty(spark), PATH).count() == 0
     assert sorted((repr(x.doc_id), x.decoded) for x in sc.round_trip(frame(spark), PATH).collect()) == sorted((repr(x.doc_id), x.decoded) for x in got)
+
+
+def test_columns_with_names_of_the_operator_stay(spark):
+    df = frame(spark, rows()[:4]).selectExpr("doc_id", "text", "doc_id AS __text", "doc_id AS text_to_code")
+    got = sc.round_trip(df, queries.tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "__text", "text_to_code"))
+    assert got.columns == ["doc_id", "__text", "text_to_code", "ids", "decoded"]
+    assert all(x.doc_id == x["__text"] == x.text_to_code for x in got.collect())
