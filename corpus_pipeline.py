@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
 return the columns of documents; run() writes each stage's rows as Parquet to the shared folder and reads
-them again as the next one's docs.
+them again as the next one's docs. Stages let the session hand texts to Python in batches of 4 MB, unless it has
+a setting for that.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import mixing, ngram_join, sentencepiece_codec, substring_dedup, toxicity
-from factloom.llm.common import documents, fresh, materialise
+from factloom.llm.common import documents, fresh, materialise, small_batches
 from factloom.llm.queries import labels, tokenizer_path
 
 #: Stands for a null id.
@@ -25,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored whole, equal texts go or stay together. Without labels of both classes the smoothed share of the
     labels decides for all, and with none at all (a score of one half) documents stay. Columns stay, whatever their names.
     """
+    small_batches(spark)
     model = toxicity.train(docs, labels(spark, sf_dir))
     if not model.grams:
         return docs
@@ -41,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     own, key = fresh("own_id", *docs.columns), fresh("row_key", *docs.columns)
     first = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST))
+    small_batches(spark)
     found = ngram_join.link_components(docs, shingle=5, percent=80, groups=True).select(first("doc_id").alias(own), F.col("row_key").alias(key), "group")
     found = materialise(found, "near-copies")
     heads = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(own, key)).alias("head")).select("head.*")
@@ -54,6 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null, a text that repeats whole becomes empty; no row goes. See substring_dedup.dedupe().
     """
+    small_batches(spark)
     left = substring_dedup.dedupe(docs, spans_col=None)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -75,6 +79,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens; rows are coded one by one, so repeated rows stay.
     """
+    small_batches(spark)
     coded = sentencepiece_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "source"))
     return coded.select(
         "doc_id",
