@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import amounts, times
 from factloom.functions import text as tx
-from factloom.operators import evidence, graph, pages, paths, resolve
+from factloom.operators import evidence, graph, intervals, pages, paths, resolve
 from factloom.operators.components import components
 from factloom.sources import tables as tb
 from factloom.staging import materialise
@@ -529,6 +529,29 @@ def place_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(sizes, "root").select(F.col("node").alias("entity_id"), F.col("root").alias("component"), "size")
 
 
+@query(""", shipped AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
+span AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS first, coalesce(shipped, o_orderdate)::DATE AS last FROM orders LEFT JOIN shipped ON l_orderkey = o_orderkey)
+SELECT a.o_custkey, a.o_orderkey AS one, b.o_orderkey AS other, greatest(a.first, b.first)::VARCHAR AS first, least(a.last, b.last)::VARCHAR AS last FROM span a JOIN span b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+WHERE a.first <= a.last AND b.first <= b.last AND a.first <= b.last AND b.first <= a.last""")
+def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one customer that were open on the same day: from the order to its last line's shipment."""
+    shipped = tb.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("shipped"))
+    spans = tb.table(spark, sf_dir, "orders").join(shipped, "o_orderkey", "left")
+    spans = materialise(spans.select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("first"), F.coalesce("shipped", "o_orderdate").cast("date").alias("last")), "spans")
+    pairs = intervals.overlaps(spans, spans, ["o_custkey"], width_days=360).where("left_o_orderkey < right_o_orderkey")
+    shared = [F.greatest("left_first", "right_first").cast("string").alias("first"), F.least("left_last", "right_last").cast("string").alias("last")]
+    return pairs.select("o_custkey", F.col("left_o_orderkey").alias("one"), F.col("right_o_orderkey").alias("other"), *shared)
+
+
+@query("""SELECT e.event_id, e.user_id, (SELECT max({'ts': v.ts, 'event_id': v.event_id}).event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts) AS view_id FROM events e WHERE e.event_type = 'purchase'""")
+def last_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase what its user had viewed last."""
+    events = tb.table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    viewed = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return intervals.last_before(bought, viewed, ["user_id"], "ts", ["view_id"], cell_days=7).select("event_id", "user_id", "view_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole profile of one customer: header, neighbours, headings with their facts, numbered sources."""
     one = F.col("subject_id") == "customer:1"
