@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import amounts, times
 from factloom.functions import text as tx
-from factloom.operators import evidence, graph, intervals, pages, paths, resolve
+from factloom.operators import evidence, graph, intervals, pages, paths, quotes, resolve, sketches
 from factloom.operators.components import components
 from factloom.sources import tables as tb
-from factloom.staging import materialise
+from factloom.staging import materialise, shared_folder
 from factloom.streaming import events as ev
+from factloom.streaming import upkeep
 
 #: The type whose entities are shown in red.
 RED = "customer"
@@ -552,6 +553,28 @@ def last_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.last_before(bought, viewed, ["user_id"], "ts", ["view_id"], cell_days=7).select("event_id", "user_id", "view_id")
 
 
+#: Words of a quotation, and the word by which one of them is replaced or before which one is put.
+QUOTE_WORDS, WRONG_WORD = 14, "zzqx"
+
+
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where fourteen words of each document stand in it, a third of them quoted with a wrong word and a third with a word too many.
+
+    No SQL can tell the nearest place; tests hold it against all places.
+    """
+    docs = tb.table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    at = F.pmod(F.coalesce(F.abs("doc_id"), F.lit(0)) * 7919, F.greatest(F.size("words") - QUOTE_WORDS, F.lit(1))).cast("int")
+    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.slice("words", at + 1, F.lit(QUOTE_WORDS)).alias("said"))
+    middle = F.when(F.col("doc_id") % 3 == 1, F.array(F.lit(WRONG_WORD))).when(F.col("doc_id") % 3 == 2, F.concat(F.array(F.lit(WRONG_WORD)), F.slice("said", 8, 1))).otherwise(F.slice("said", 8, 1))
+    quote = F.array_join(F.concat(F.slice("said", 1, 7), middle, F.slice("said", 9, QUOTE_WORDS)), " ")
+    cited = rows.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("snippet_id"), quote.alias("quote"))
+    return quotes.quote_places(cited, docs.select(F.col("doc_id").alias("snippet_id"), "text"))
+
+
+QUERIES["quote_places"] = quote_places
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole profile of one customer: header, neighbours, headings with their facts, numbered sources."""
     one = F.col("subject_id") == "customer:1"
@@ -574,3 +597,40 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sessions(tb.table(spark, sf_dir, "events"))
+
+
+@query("""SELECT page_id, count(*) AS facts, count(DISTINCT other_id) AS neighbours, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated FROM (
+SELECT 'user:' || user_id AS page_id, 'type:' || event_type AS other_id, ts FROM events UNION ALL SELECT 'type:' || event_type, 'user:' || user_id, ts FROM events) GROUP BY page_id""")
+def upkept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a stream of events has kept up to date, batch by batch; the twin builds them all at once."""
+    path = f"{sf_dir}/events.parquet"
+    stream = ev.read_stream(spark, path, spark.read.parquet(path).schema)
+    facts = stream.select(F.col("event_id").alias("fact_id"), "ts", tb.ref("user", "user_id").alias("subject_id"), F.lit("DID").alias("predicate"), tb.ref("type", "event_type").alias("object_id"))
+    folder = shared_folder(spark, "upkeep")
+    made = upkeep.PageUpkeep(spark, f"{folder}/pages", "36500 days").run(facts, f"{folder}/checkpoint")
+    return made.withColumn("updated", F.date_format("updated", "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Errors within which the estimates of sketches are held: of a distinct count, and of a median's rank.
+COUNT_ERROR, RANK_ERROR = 0.05, 0.03
+
+
+@query("""SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::INT AS level, count(*) AS n, true AS parts_close, true AS median_close FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def sketch_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of order lines merged from sketches by day, and whether its estimates keep to their errors when held against the lines."""
+    by = ["l_returnflag", "l_linestatus"]
+    lines = tb.table(spark, sf_dir, "lineitem").select(*by, F.to_date("l_shipdate").alias("day"), "l_partkey", "l_extendedprice")
+    kept = materialise(sketches.stored(lines, ["day", *by], "l_partkey", "l_extendedprice"), "sketches")
+    found = sketches.cubed(kept, by).select(*by, F.col("level").cast("int").alias("level"), "n", sketches.distinct_count().alias("parts"), sketches.quantile(0.5).alias("median"))
+    found = materialise(found, "cube")
+    exact = lines.cube(*by).agg(F.grouping_id().cast("int").alias("of"), F.count_distinct("l_partkey").alias("true_parts")).select(*(F.col(c).alias(f"_{c}") for c in by), "of", "true_parts")
+    # each line counts below or above the medians of the four groups that it is in
+    told = found.select(F.col("level").alias("of"), *(F.col(c).alias(f"_{c}") for c in by), "median")
+    same = [(F.col("of").bitwiseAND(F.lit(2 >> k)) > 0) | F.col(c).eqNullSafe(F.col(f"_{c}")) for k, c in enumerate(by)]
+    below = lines.join(F.broadcast(told), same[0] & same[1]).groupBy("of", *(f"_{c}" for c in by)).agg(F.avg((F.col("l_extendedprice") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("upto"))
+    held = found
+    for other in (exact, below):
+        held = held.join(other, [held["level"] == other["of"], *(held[c].eqNullSafe(other[f"_{c}"]) for c in by)]).drop("of", *(f"_{c}" for c in by))
+    close = F.abs(F.col("parts") - F.col("true_parts")) <= F.greatest(F.lit(1), COUNT_ERROR * F.col("true_parts"))
+    middle = (F.col("below") <= 0.5 + RANK_ERROR) & (F.col("upto") >= 0.5 - RANK_ERROR)
+    return held.select(*(F.col(c) for c in by), "level", "n", close.alias("parts_close"), middle.alias("median_close"))

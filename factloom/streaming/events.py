@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.staging import hadoop_path
+
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New event files below path as a stream, with ts as a timestamp (event time must be one)."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    """New event files below path, or the one file that path is, as a stream, with ts as a timestamp (event time must be one)."""
+    files, at = hadoop_path(spark, path)
+    reader = spark.readStream.schema(schema)
+    if files.exists(at) and files.getFileStatus(at).isFile():  # a stream reads folders
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily(events: DataFrame, late: str | None = None) -> DataFrame:
