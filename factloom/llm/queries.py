@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, conversation_repair, fingerprints, license_scan, media, mixing, ngram_join, periodic_runs, rasters, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from factloom.llm import chat_format, conversation_repair, fingerprints, license_scan, media, mixing, ngram_join, periodic_runs, rasters, sentencepiece_codec, sharding, sql, substring_dedup, token_counts, toxicity
 from factloom.llm.common import WORD, documents, fresh, shared_folder, text_of
 
 
@@ -235,6 +235,9 @@ QUERIES = {
 
 #: Names to DuckDB SQL, where SQL can express the query.
 ORACLES: dict[str, str] = {
+    "op3_ngram_join": sql.JOIN_SQL,
     "op4_mix_sources": mixing.MIX_SQL,
     "op7_license_scan": license_scan.scan_sql(),
+    "op11_chat_format": sql.CHAT_SQL,
+    "op13_conversation_repair": sql.REPAIR_SQL,
 }

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from oracle import same
 
 from factloom.llm import chat_format as cf
 from factloom.llm import queries
@@ -120,6 +121,12 @@ def test_query_on_awkward_rows(spark, tmp_path):
     assert {x.conv_id: tuple(x)[1:] for x in got} == expected(plain) and len(got) == len(expected(plain))
 
 
+def test_query_matches_its_sql_twin(spark, sf_dir, tmp_path):
+    same(queries.op11_chat_format(spark, sf_dir), sf_dir, queries.ORACLES["op11_chat_format"])
+    spark.createDataFrame([x[:4] for x in awkward()], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    same(queries.op11_chat_format(spark, str(tmp_path)), str(tmp_path), queries.ORACLES["op11_chat_format"])
+
+
 def test_query_on_the_table(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, k, role, queries.AWKWARD_TEXT) for k, role in enumerate(("user", "assistant"))]

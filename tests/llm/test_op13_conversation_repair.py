@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+from oracle import same
+
 from factloom.llm import conversation_repair as cr
 from factloom.llm import queries
 
@@ -124,6 +126,12 @@ def test_query_on_awkward_rows(spark, tmp_path):
     assert sum(x[4] for x in wanted.values()) > 0 and any(not x[6] for x in wanted.values())
 
 
+def test_query_matches_its_sql_twin(spark, sf_dir, tmp_path):
+    same(queries.op13_conversation_repair(spark, sf_dir), sf_dir, queries.ORACLES["op13_conversation_repair"])
+    spark.createDataFrame([x[:4] for x in awkward()], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    same(queries.op13_conversation_repair(spark, str(tmp_path)), str(tmp_path), queries.ORACLES["op13_conversation_repair"])
+
+
 def test_query_on_the_table(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = queries.op13_conversation_repair(spark, sf_dir)

@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from frames import empty, frame, rows
+from oracle import same
 
 from factloom.llm import ngram_join as nj
+from factloom.llm import queries
 from factloom.operators.components import components
 
 
@@ -133,3 +135,7 @@ def test_words_that_a_polynomial_hash_confuses(spark):
     other = word.translate(str.maketrans("ab", "ba"))
     df = spark.createDataFrame([(1, f"{word} x y z"), (2, f"{other} x y z")], "doc_id bigint, text string")
     assert sorted((x.doc_id, x.component_id) for x in nj.link_components(df).collect()) == [(1, 1), (2, 2)]
+
+
+def test_query_matches_its_sql_twin(spark, sf_dir):
+    same(queries.op3_ngram_join(spark, sf_dir), sf_dir, queries.ORACLES["op3_ngram_join"])
