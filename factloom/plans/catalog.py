@@ -11,6 +11,8 @@ from factloom.functions import amounts, times
 from factloom.functions import text as tx
 from factloom.operators import evidence, graph, intervals, pages, paths, quotes, resolve, sketches
 from factloom.operators.components import components
+from factloom.sinks.site import write_site
+from factloom.sources import files
 from factloom.sources import tables as tb
 from factloom.staging import materialise, shared_folder
 from factloom.streaming import events as ev
@@ -169,7 +171,7 @@ def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND predicate IN ('ORDERED', 'SUPPLIES')""")
 def lost_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that are lost if only exact facts count."""
-    facts = tb.facts(spark, sf_dir)
+    facts = materialise(tb.facts(spark, sf_dir).select("subject_id", "predicate", "object_id", "confidence"), "facts")
     edges = facts.select("subject_id", "predicate", "object_id").distinct()
     return graph.lost_edges(edges, evidence.at_least(facts, "exact").select("subject_id", "predicate", "object_id").distinct())
 
@@ -417,7 +419,7 @@ SELECT start_id, far_id, ways FROM hop WHERE (start_id, far_id) NOT IN (SELECT s
 def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies two links from each region."""
     start = tb.entities(spark, sf_dir).where("kind = 'region'")
-    return graph.two_hops(tb.edges(spark, sf_dir), start)
+    return graph.two_hops(written_edges(spark, sf_dir), start)
 
 
 @query("SELECT other_id FROM side WHERE page_id = 'supplier:1' INTERSECT SELECT other_id FROM side WHERE page_id = 'supplier:2'")
@@ -611,6 +613,24 @@ def upkept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("updated", F.date_format("updated", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("SELECT substr(sha256(coalesce(html, '')), 1, 6) AS upload_id, 'page-' || page_id || '.html' AS file_name, length(coalesce(html, ''))::BIGINT AS n_chars FROM pages")
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages written as files of their own and taken in as uploads, each with an id of its text."""
+    folder = shared_folder(spark, "uploads")
+    raw = tb.table(spark, sf_dir, "pages")
+    write_site(raw.select(F.format_string("page-%d.html", "page_id").alias("file_name"), "html"), folder)
+    return files.uploads(spark, f"{folder}/*.html").select("upload_id", "file_name", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT subject_id, predicate, object_id, order_key, line, when_raw, amount_cents, confidence, snippet_id FROM fact")
+def facts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written as lines of JSON, as an extractor leaves them, and read by an explicit schema."""
+    found = tb.facts(spark, sf_dir)
+    folder = shared_folder(spark, "fact-files")
+    found.write.json(folder)
+    return files.fact_files(spark, folder, found.schema)
+
+
 #: Errors within which the estimates of sketches are held: of a distinct count, and of a median's rank.
 COUNT_ERROR, RANK_ERROR = 0.05, 0.03
 
