@@ -6,7 +6,8 @@ centre of brightness and 128 binary tests of the smoothed patch, turned by that
 
 1. Hamming tables: a descriptor is split into blocks, each block is a key. Two images that share keys
    are candidates, so no pair of descriptors is ever a row. A key that many images have tells little: there
-   the bits after the block count as well, so keys grow longer as the table grows.
+   one of several stretches of the other bits must be the same as well, which tells as much as two rare keys. So keys
+   grow longer as the table grows, and an edited copy has a chance with each stretch.
 2. Geometric consensus: a candidate pair is held together in one row. Each descriptor of the one finds
    its nearest in the other (RADIUS bits at most), each match says how to turn, scale and shift one image
    onto the other, and a copy has many matches that say the same; chance matches do not.
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise
@@ -39,13 +40,17 @@ SCALES, INDEX_SCALES = (1.0, 0.84, 0.71, 0.59), (1.0, 0.77)
 PATCH, APART = 12, 4
 #: Share of the strongest corner's response that a corner has.
 LEAST_RESPONSE = 0.01
-TESTS, BLOCKS, BLOCK_BITS, MORE_BITS = 128, 5, 25, 16
-#: Images that a short key may have; where there are more, MORE_BITS bits are added to it.
+TESTS, BLOCKS, BLOCK_BITS = 128, 5, 25
+#: Stretches of bits after a block, and bits of each.
+STRETCHES, STRETCH_BITS = 6, 16
+#: Images that a short key may have; where there are more, a stretch must be the same too.
 POPULAR = 8
 #: Bits in which matching descriptors differ, at most.
 RADIUS = 24
-#: Keys that candidates share, at least: a query and an image, and two images of one class.
-SHARED, SHARED_CLASS = 2, 2
+#: Weights of a rare short key that candidates share and of a popular one with a stretch, and what they come to, at least.
+RARE, LONG, SHARED = 1, 2, 2
+#: Keys that two images of one class share, at least.
+SHARED_CLASS = 2
 #: Keys of an image by which it looks for its class: those of least hash, the same ones in near copies.
 SKETCH = 32
 #: Entries of queries up to which they are broadcast (24 bytes each); more are shuffled.
@@ -174,15 +179,38 @@ def describe(image: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarra
     return np.concatenate(found)
 
 
+#: A key: the number of a block and its bits, and the stretches after it, four in one number and two in another.
+KEY = np.dtype([("short", "<i8"), ("first", "<i8"), ("more", "<i8")])
+
+
+def _number(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as numbers."""
+    powers = np.uint64(1) << np.arange(bits.shape[1] - 1, -1, -1, dtype=np.uint64)
+    return (bits.astype(np.uint64) @ powers).view(np.int64)
+
+
 def keys(found: np.ndarray) -> np.ndarray:
-    """The distinct long keys of an image: the number of a block, its bits and the MORE_BITS bits after it."""
-    bits = np.unpackbits(found["bits"], axis=1).astype(np.int64)
-    length = BLOCK_BITS + MORE_BITS
-    powers = np.int64(1) << np.arange(length - 1, -1, -1, dtype=np.int64)
-    parts = [(bits[:, (np.arange(length) + k * BLOCK_BITS) % TESTS] @ powers) + (k << length) for k in range(BLOCKS)]
+    """The distinct keys of an image's descriptors, as KEYs."""
+    bits = np.unpackbits(found["bits"], axis=1)
+    parts = []
+    for k in range(BLOCKS):
+        turned = np.roll(bits, -k * BLOCK_BITS, axis=1)
+        part = np.zeros(len(found), KEY)
+        part["short"] = _number(turned[:, :BLOCK_BITS]) + (k << BLOCK_BITS)
+        part["first"] = _number(turned[:, BLOCK_BITS : BLOCK_BITS + 4 * STRETCH_BITS])
+        part["more"] = _number(turned[:, BLOCK_BITS + 4 * STRETCH_BITS : BLOCK_BITS + STRETCHES * STRETCH_BITS])
+        parts.append(part)
     return np.unique(np.concatenate(parts))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The SKETCH keys of least hash, each with its first stretch, as numbers."""
+    long = own["short"] << STRETCH_BITS | (own["first"] >> 3 * STRETCH_BITS & (1 << STRETCH_BITS) - 1)
+    hashed = np.unique(long.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    hashed = np.sort((hashed ^ hashed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+    return hashed[:SKETCH].view(np.int64)
+
+
 def matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each descriptor of a that has one in b within RADIUS bits: its number and the nearest one's."""
     if not len(a) or not len(b):
@@ -203,7 +231,8 @@ def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float, f
     """votes, turn (degrees), scale, dx and dy of the motion of b onto a that most matches agree on.
 
     Votes are counted by distinct places in b, so that one corner found at several scales counts once. Each
-    match's motion is tried and all matches that agree with it are counted, in slices; the first best one wins.
+    match's motion is tried and all matches that agree with it are counted, in slices; the first best one wins. A motion
+    whose matches are no more than the best one's places cannot win, so places are only counted for the others.
     """
     own, other = matched(a, b)
     if not len(own):
@@ -222,7 +251,10 @@ def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float, f
         my = q["y"][k] + size[k] * ((f["x"] - f["x"][k]) * sin[k] + (f["y"] - f["y"][k]) * cos[k])
         reach = 0.12 * size[k] * np.hypot(f["x"] - f["x"][k], f["y"] - f["y"][k]) + slack  # an angle's error moves far places more
         fits = (np.hypot(mx - q["x"], my - q["y"]) <= reach) & (np.abs((turn - turn[k] + 180) % 360 - 180) <= TURN) & (np.abs(np.log(size / size[k])) <= math.log(FACTOR))
-        for row in np.argsort(-fits.sum(1), kind="stable")[:8]:
+        counts = fits.sum(1)
+        for row in np.argsort(-counts, kind="stable"):
+            if counts[row] <= best:
+                break
             votes = len(np.unique(place[fits[row]]))
             if votes > best:
                 best, agreed = votes, np.flatnonzero(fits[row])
@@ -243,11 +275,31 @@ def same_frame(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(votes >= CONSENSUS and still and votes >= SAME_FRAME * places)
 
 
-def short(key: Column) -> Column:
-    return F.shiftright(key, MORE_BITS)
+DESCRIBED = "image binary, name bigint, found binary, sketch array<bigint>"
+ENTRY = "name bigint, short bigint, first bigint, more bigint"
+
 
+def entries(images: DataFrame) -> DataFrame:
+    """A row for each key of each image of described()."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            own = [keys(np.frombuffer(x, RECORD)) for x in batch.column(1).to_pylist()]
+            names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+            flat = np.concatenate([np.zeros(0, KEY), *own])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(flat[c]), pa.int64()) for c in KEY.names)], names=["name", *KEY.names])
 
-DESCRIBED = "image binary, name bigint, found binary, keys array<bigint>"
+    return images.select("name", "found").mapInArrow(run, ENTRY)
+
+
+def stretched(rows: DataFrame) -> DataFrame:
+    """Rows of entries() once for each stretch, with key: the short key, the stretch's number and its bits."""
+    keyed = []
+    for k in range(STRETCHES):
+        at = F.shiftrightunsigned("first", (3 - k) * STRETCH_BITS) if k < 4 else F.shiftrightunsigned("more", (STRETCHES - 1 - k) * STRETCH_BITS)
+        own = F.shiftleft("short", STRETCH_BITS + 3).bitwiseOR(F.lit(k << STRETCH_BITS))
+        keyed.append(own.bitwiseOR(at.bitwiseAND(F.lit((1 << STRETCH_BITS) - 1))))
+    return rows.select("name", "short", F.explode(F.array(*keyed)).alias("key"))
 
 
 def _describe(scales: tuple[float, ...]):
@@ -257,13 +309,13 @@ def _describe(scales: tuple[float, ...]):
                 part = batch.slice(start, 200)
                 found = [describe(pixels_of(x), scales) for x in part.column(1).to_pylist()]
                 names = [int.from_bytes(x[:8], "big", signed=True) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([keys(x) for x in found], pa.list_(pa.int64()))], names=["image", "name", "found", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(keys(x)) for x in found], pa.list_(pa.int64()))], names=["image", "name", "found", "sketch"])
 
     return run
 
 
 def described(images: DataFrame, media_col: str, scales: tuple[float, ...]) -> DataFrame:
-    """The descriptors and keys of each distinct image of a binary column.
+    """The descriptors of each distinct image of a binary column, and the sketch of its keys.
 
     image is the SHA-256 of its bytes, name its first eight bytes as a number, by which images are joined.
     """
@@ -305,15 +357,28 @@ def classes(index: DataFrame) -> DataFrame:
     (SHARED_CLASS at least), one pointer each, so work is in proportion to the images. Pointers make
     groups, and an image stays in its group only if it is the same frame as the group's smallest image.
     """
-    sketch = F.slice(F.array_sort(F.transform("keys", lambda x: F.xxhash64(x))), 1, SKETCH)
-    entries = index.select(F.explode(sketch).alias("key"), "name")
-    least = materialise(entries.groupBy("key").agg(F.min("name").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-images")
-    shared = entries.join(least, "key").where("name <> other").groupBy("name", "other").agg(F.count("*").alias("n"))
+    sketched = index.select(F.explode("sketch").alias("key"), "name")
+    least = materialise(sketched.groupBy("key").agg(F.min("name").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-images")
+    shared = sketched.join(least, "key").where("name <> other").groupBy("name", "other").agg(F.count("*").alias("n"))
     best = shared.where(F.col("n") >= SHARED_CLASS).groupBy("name").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
     roots = components(materialise(best, "pointers")).where("node <> root").select(F.col("node").alias("name"), F.col("root").alias("other"))
     return _together(materialise(roots, "groups"), index, index).mapInArrow(_same, "name bigint, other bigint")
 
 
+def candidates(leaders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """name and other of the pairs that share keys of enough weight, out of the entries() of images and of queries."""
+    many = leaders.groupBy("short").agg(F.count("*").alias("n")).where(F.col("n") > POPULAR).select("short", F.lit(True).alias("many"))
+    wanted = materialise(wanted.join(many, "short", "left"), "query-keys")
+    rows = wanted.count()
+    small = lambda df, times=1: F.broadcast(df) if times * rows <= BROADCAST_ROWS else df
+    rare = small(wanted.where("many IS NULL").select("name", "short")).join(leaders.select(F.col("name").alias("other"), "short"), "short").select("name", "other", "short", F.lit(RARE).alias("weight"))
+    common = wanted.where("many")
+    held = stretched(leaders.join(small(common.select("short").distinct()), "short", "left_semi")).select(F.col("name").alias("other"), "key")
+    long = small(stretched(common), STRETCHES).join(held, "key").select("name", "other", "short", F.lit(LONG).alias("weight"))
+    shared = rare.unionByName(long).groupBy("name", "other", "short").agg(F.max("weight").alias("weight"))
+    return shared.groupBy("name", "other").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= SHARED).select("name", "other")
+
+
 def find_copies(images: DataFrame, queries: DataFrame, media_col: str = "media", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """Pairs of a query row and a class of images that are copies of each other, and the members of classes.
 
@@ -335,17 +400,10 @@ def find_copies(images: DataFrame, queries: DataFrame, media_col: str = "media",
     heads = owners.groupBy("image").agg(F.min(id_col).alias("class_id")).join(index.select("image", "name"), "image").select("name", "class_id")
     members = rows.join(heads, "name").select("class_id", id_col)
 
-    leaders = index.join(within.select("name"), "name", "left_anti").select(F.col("name").alias("other"), F.explode("keys").alias("key")).withColumn("short", short(F.col("key")))
+    leaders = entries(index.join(within.select("name"), "name", "left_anti"))
     asked = queries.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.unhex(F.sha2(media_col, 256)).alias("image"))
     found = materialise(described(queries, media_col, SCALES), "query-descriptors")
-    many = leaders.groupBy("short").agg(F.count("*").alias("n")).where(F.col("n") > POPULAR).select("short", F.lit(True).alias("many"))
-    wanted = found.select("name", F.explode("keys").alias("key")).withColumn("short", short(F.col("key")))
-    wanted = materialise(wanted.join(many, "short", "left"), "query-keys")
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    rare = small(wanted.where("many IS NULL").select("name", "short")).join(leaders, "short").select("name", "other")
-    common = small(wanted.where("many").select("name", "key")).join(leaders, "key").select("name", "other")
-    pairs = rare.unionByName(common).groupBy("name", "other").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("name", "other")
-    pairs = materialise(pairs, "candidates")
+    pairs = materialise(candidates(leaders, entries(found)), "candidates")
     copies = _together(pairs, found, index).mapInArrow(_agreed, "name bigint, other bigint, votes bigint, turn double, scale double, dx double, dy double").where(F.col("votes") >= CONSENSUS)
     copies = copies.join(heads.select(F.col("name").alias("other"), "class_id"), "other").join(found.select("name", "image"), "name")
     return copies.join(asked, "image").select("query_id", "class_id", "votes", "turn", "scale", "dx", "dy"), members
