@@ -643,14 +643,16 @@ def sketch_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = materialise(sketches.stored(lines, ["day", *by], "l_partkey", "l_extendedprice"), "sketches")
     found = sketches.cubed(kept, by).select(*by, F.col("level").cast("int").alias("level"), "n", sketches.distinct_count().alias("parts"), sketches.quantile(0.5).alias("median"))
     found = materialise(found, "cube")
-    exact = lines.cube(*by).agg(F.grouping_id().cast("int").alias("of"), F.count_distinct("l_partkey").alias("true_parts")).select(*(F.col(c).alias(f"_{c}") for c in by), "of", "true_parts")
-    # each line counts below or above the medians of the four groups that it is in
-    told = found.select(F.col("level").alias("of"), *(F.col(c).alias(f"_{c}") for c in by), "median")
-    same = [(F.col("of").bitwiseAND(F.lit(2 >> k)) > 0) | F.col(c).eqNullSafe(F.col(f"_{c}")) for k, c in enumerate(by)]
-    below = lines.join(F.broadcast(told), same[0] & same[1]).groupBy("of", *(f"_{c}" for c in by)).agg(F.avg((F.col("l_extendedprice") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("upto"))
-    held = found
-    for other in (exact, below):
-        held = held.join(other, [held["level"] == other["of"], *(held[c].eqNullSafe(other[f"_{c}"]) for c in by)]).drop("of", *(f"_{c}" for c in by))
+    # each line is in four groups, by whose medians it counts below or above
+    in_groups = [F.struct(F.lit(level).alias("level"), *(F.when(F.lit(not level & (2 >> k)), F.col(c)).alias(c) for k, c in enumerate(by))) for level in range(4)]
+    each = lines.select("l_partkey", "l_extendedprice", F.inline(F.array(*in_groups)))
+    group = ["level", *by]
+    told = found.select(*(F.col(c).alias(f"_{c}") for c in group), "median")
+    each = each.join(told, [each[c].eqNullSafe(told[f"_{c}"]) for c in group])
+    share = lambda x: F.avg(x.cast("double"))
+    true = each.groupBy(*group).agg(F.count_distinct("l_partkey").alias("true_parts"), share(F.col("l_extendedprice") < F.col("median")).alias("below"), share(F.col("l_extendedprice") <= F.col("median")).alias("upto"))
+    true = true.select(*(F.col(c).alias(f"_{c}") for c in group), "true_parts", "below", "upto")
+    held = found.join(true, [found[c].eqNullSafe(true[f"_{c}"]) for c in group])
     close = F.abs(F.col("parts") - F.col("true_parts")) <= F.greatest(F.lit(1), COUNT_ERROR * F.col("true_parts"))
     middle = (F.col("below") <= 0.5 + RANK_ERROR) & (F.col("upto") >= 0.5 - RANK_ERROR)
     return held.select(*(F.col(c) for c in by), "level", "n", close.alias("parts_close"), middle.alias("median_close"))
