@@ -23,8 +23,8 @@ def ranked(rows: DataFrame, page: list[str], order: list[str | Column], into: st
     counts has page and n, the number of rows of each page (at least), if that can be had more cheaply than by reading rows; without
     it rows are written once and counted. Rows that are equal in order may be numbered either way, nulls come first.
     """
-    hub_rows = hub_rows or HUB_ROWS
-    if counts is None:
+    hub_rows, written = hub_rows or HUB_ROWS, counts is None
+    if written:
         rows = materialise(rows, "to-rank")
         counts = rows.groupBy(*page).agg(F.count("*").alias("n"))
     plain = F.row_number().over(W.partitionBy(*page).orderBy(*order)).cast("long")
@@ -32,6 +32,7 @@ def ranked(rows: DataFrame, page: list[str], order: list[str | Column], into: st
     held = hubs.agg(F.sum("n")).first()[0]
     if not held:
         return rows.withColumn(into, plain)
+    rows = rows if written else materialise(rows, "to-rank")  # read three times from here on
     same = lambda other: [rows[c].eqNullSafe(other[c]) for c in page]
     cut = rows.join(hubs, same(hubs), "left_semi").repartitionByRange(int(held) // hub_rows + 1, *page, *order)
     cut = materialise(cut.withColumn("_range", F.spark_partition_id()), "ranges")
