@@ -463,14 +463,13 @@ moved AS (SELECT * FROM root WHERE entity_id <> root)"""
 
 def _same(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    kind = lambda name, key: tb.ref(name, key)
     meanings = F.array(
-        F.when((k % 10).isin(1, 2, 3), kind("customer", k - 1)),
-        F.when(k % 100 == 58, kind("customer", k + 1)).when(k % 100 == 59, kind("customer", k - 1)),
-        F.when(k % 20 == 7, kind("supplier", k)),
-        F.when(k % 10 == 3, kind("part", k)),
+        F.when((k % 10).isin(1, 2, 3), tb.ref("customer", k - 1)),
+        F.when(k % 100 == 58, tb.ref("customer", k + 1)).when(k % 100 == 59, tb.ref("customer", k - 1)),
+        F.when(k % 20 == 7, tb.ref("supplier", k)),
+        F.when(k % 10 == 3, tb.ref("part", k)),
     )
-    rows = tb.table(spark, sf_dir, "customer").select(kind("customer", k).alias("entity_id"), F.explode(meanings).alias("stands_for"))
+    rows = tb.table(spark, sf_dir, "customer").select(tb.ref("customer", k).alias("entity_id"), F.explode(meanings).alias("stands_for"))
     return rows.where("stands_for IS NOT NULL")
 
 
