@@ -8,15 +8,15 @@
    shingle, pairs are kept only if they share enough of the prefix that ends first: what that one has
    alone must not exceed what a link allows. Where many share one, they are kept together. Sets that are
    kept together, directly or through others, form a block, and no link leaves a block.
-3. The sets of a block are stored in a prefix tree, most shared shingles first. Each set walks the
-   tree once: overlaps are summed up along shared paths, and a subtree is left as soon as the shingles
+3. The sets of a block are stored in a prefix tree, in the same order read from its other end: most
+   frequent shingles first, so that paths are shared. Each set walks the tree once: overlaps are summed up along shared paths, and a subtree is left as soon as the shingles
    that remain on both sides cannot make up the overlap that its smallest set needs.
 4. Links become components. As only these are asked for, a pair that is already joined through others
    is not emitted: a block of n sets gives n - 1 links at most.
 
 A block of more than CHUNK sets is split: each chunk is joined with itself and with the block's least
 edited sets, which ties up most of it; then the sets outside the block's largest component are walked
-through all its other chunks. No block is gathered in one task.
+through the block's sets of about their size, again chunk by chunk. No block is gathered in one task.
 """
 
 from __future__ import annotations
@@ -189,14 +189,18 @@ def _signatures(shingle: int):
     return run
 
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """tokens rarest first, with their known counts (0: not frequent). frequent is sorted."""
+def known_times(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often each token is known to be shared (0: not frequent). frequent is sorted."""
     if not len(frequent):
-        return tokens, np.zeros(len(tokens), np.int64)
+        return np.zeros(len(tokens), np.int64)
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    rank = np.where(frequent[at] == tokens, times[at], 0)
-    order = np.lexsort((tokens, rank))
-    return tokens[order], rank[order]
+    return np.where(frequent[at] == tokens, times[at], 0)
+
+
+def global_order(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of tokens in the order that prefixes and trees follow, rarest first, then by hash; and their known counts."""
+    rank = known_times(tokens, frequent, times)
+    return np.lexsort((tokens, rank)), rank
 
 
 SIGN = np.uint64(1 << 63)
@@ -229,7 +233,8 @@ def _prefixes(shingle: int, percent: int, frequent: np.ndarray, times: np.ndarra
                     if len(done) < REMEMBERED:
                         done.add(key)
                     size = prefix_length(len(own), percent)
-                    first, ranks = ordered(own, frequent, times)
+                    order, ranks = global_order(own, frequent, times)
+                    first, ranks = own[order], ranks[order]
                     tokens.append(signed(first[:size]))
                     counts.append(size)
                     rest.append((key, len(own), size, int(ranks[size - 1]), int(tokens[-1][-1]), int((ranks == 0).sum())))
@@ -300,15 +305,15 @@ def matches(nodes: list[Tree], probe: tuple[int, ...], percent: int) -> Iterator
         stack += [(child, overlap, depth) for child in node.children]
 
 
-def join(rows: Iterable[tuple[int, np.ndarray, bool, int]], percent: int) -> list[tuple[int, int]]:
+def join(rows: Iterable[tuple[int, np.ndarray, bool, int]], percent: int, frequent: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what links connect among rows (set id, tokens, is a probe, known component).
 
     Rows that are stored and probes meet; two probes or two rows of one known component do not.
     """
     rows = list(rows)
-    tokens, where, times = np.unique(np.concatenate([x[1] for x in rows]), return_inverse=True, return_counts=True)
+    tokens, where = np.unique(np.concatenate([x[1] for x in rows]), return_inverse=True)
     rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, -times))] = np.arange(len(tokens))  # most shared first
+    rank[global_order(tokens, frequent, times)[0][::-1]] = np.arange(len(tokens))  # most frequent first
     ranks = rank[where]
     sets, at = [], 0
     for k, x in enumerate(rows):
@@ -335,12 +340,12 @@ def join(rows: Iterable[tuple[int, np.ndarray, bool, int]], percent: int) -> lis
     return links
 
 
-def _joined(percent: int):
+def _joined(percent: int, frequent: np.ndarray, times: np.ndarray):
     """Links within each run of rows (block, chunk, set_id, tokens, probe, component) with one block and chunk."""
 
     def found(held: list) -> Iterator[tuple[int, int]]:
         if len(held) > 1:
-            yield from join(((i, np.frombuffer(t, np.uint64), p, c) for i, t, p, c in held), percent)
+            yield from join(((i, np.frombuffer(t, np.uint64), p, c) for i, t, p, c in held), percent, frequent, times)
 
     def run(batches):
         key, held, seen = None, [], set()
@@ -413,9 +418,9 @@ def _near(prefixes: DataFrame, percent: int) -> DataFrame:
     return together.unionByName(pairs.where(F.col("common") >= F.col("least")).select("first", "set_id")).distinct()
 
 
-def _in_groups(df: DataFrame, percent: int) -> DataFrame:
+def _in_groups(df: DataFrame, percent: int, frequent: np.ndarray, times: np.ndarray) -> DataFrame:
     rows = df.select("block", "chunk", "set_id", "tokens", "probe", "component")
-    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_joined(percent), "a bigint, b bigint")
+    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_joined(percent, frequent, times), "a bigint, b bigint")
 
 
 def _frequent(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -477,11 +482,12 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     pivots = rare.select("set_id")
     everywhere = own.where("chunks > 1").join(pivots, "set_id").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("to <> chunk")
     everywhere = everywhere.withColumn("chunk", F.col("to")).select(own.columns)
-    links = materialise(_in_groups(own.unionByName(everywhere), percent), "set-links")
+    links = materialise(_in_groups(own.unionByName(everywhere), percent, frequent, times), "set-links")
 
     large = own.where("chunks > 1")
     if not large.isEmpty():
-        links = links.unionByName(materialise(_residual_links(large, links, percent), "set-links"))
+        probes = _residual_probes(large, links, percent)
+        links = links.unionByName(materialise(_in_groups(probes, percent, frequent, times), "set-links"))
     roots = components(links)
 
     merged = kept.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -494,20 +500,32 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
-def _residual_links(own: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links of the sets outside each large block's largest component with the sets of the other components."""
+def _residual_probes(own: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The groups in which sets outside each large block's largest component meet the block's sets of other components.
+
+    Sets that link differ in size by a factor of 100 / percent at most, so a level of sizes meets itself and the next
+    ones only. Where levels are large, each part of the outside sets meets each chunk of a level.
+    """
     roots = components(links).select(F.col("node").alias("set_id"), "root")
-    known = own.drop("component").join(roots, "set_id", "left").withColumn("component", F.coalesce("root", "set_id")).drop("root")
-    known = materialise(known, "large-blocks")
+    level = F.floor(F.log(F.length("tokens") / 8) / (math.log(100 / percent) + 1e-6))
+    known = own.drop("component", "chunk", "chunks").join(roots, "set_id", "left").withColumn("component", F.coalesce("root", "set_id")).drop("root")
+    known = materialise(known.withColumn("level", level), "large-blocks")
     sizes = known.groupBy("block", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = known.join(largest, "block").where("component <> largest").drop("largest")
-    count = outside.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    outside = materialise(outside.join(count, "block").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts"))), "outside")
-    # each part of the outside sets walks through each chunk of its block
-    probes = outside.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    probes = probes.select("block", (F.col("to") * F.col("parts") + F.col("part")).alias("chunk"), "set_id", "tokens", F.lit(True).alias("probe"), "component")
-    parts = outside.select("block", "parts").distinct()
-    stored = known.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    stored = stored.select("block", (F.col("chunk") * F.col("parts") + F.col("part")).alias("chunk"), "set_id", "tokens", F.lit(False).alias("probe"), "component")
-    return _in_groups(probes.unionByName(stored), percent)
+    outside = materialise(known.join(largest, "block").where("component <> largest").drop("largest"), "outside")
+
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.length("tokens") / 8) / CHUNK_SHINGLES))
+    to_level = F.explode(F.sequence(F.col("from_level") - 1, F.col("from_level") + 1)).alias("to_level")
+    cells = known.groupBy("block", F.col("level").alias("to_level")).agg(chunks.alias("chunks"))
+    parts = outside.groupBy("block", F.col("level").alias("from_level")).agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    meet = materialise(parts.select("block", "from_level", "parts", to_level).join(cells, ["block", "to_level"]), "levels")
+
+    number = lambda seed, column: F.pmod(F.xxhash64("set_id", F.lit(seed)), F.col(column))
+    every = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+    group = F.array("from_level", "part", "to_level", "to_chunk").alias("chunk")
+    rest = ["block", group, "set_id", "tokens", "probe", "component"]
+    probes = outside.withColumnRenamed("level", "from_level").join(meet, ["block", "from_level"])
+    probes = probes.withColumns({"probe": F.lit(True), "part": number(1, "parts")}).withColumn("to_chunk", every("chunks"))
+    stored = known.withColumnRenamed("level", "to_level").join(meet, ["block", "to_level"])
+    stored = stored.withColumns({"probe": F.lit(False), "to_chunk": number(2, "chunks")}).withColumn("part", every("parts"))
+    return probes.select(rest).unionByName(stored.select(rest))

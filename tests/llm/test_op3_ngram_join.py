@@ -35,6 +35,10 @@ def brute(table, shingle, percent):
     return sorted(out, key=repr)
 
 
+#: No shingle is known as frequent.
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def found(df, **options):
     return sorted(map(tuple, nj.link_components(df, **options).collect()), key=repr)
 
@@ -84,6 +88,36 @@ def test_tree_walk_equals_plain_comparison():
         assert set(nj.matches(tree, ranks, 85)) == expected
 
 
+def test_prefixes_and_trees_follow_one_order():
+    """The order depends on the corpus's counts alone, not on what a block holds."""
+    frequent, times = np.array([3, 5, 9], np.uint64), np.array([4, 7, 4])
+    tokens = np.arange(12, dtype=np.uint64)
+    whole = tokens[nj.global_order(tokens, frequent, times)[0]].tolist()
+    assert whole == [0, 1, 2, 4, 6, 7, 8, 10, 11, 3, 9, 5]
+    for part in ([5, 9, 1], [3, 11, 5, 0], [9, 3]):
+        own = np.array(sorted(part), np.uint64)
+        assert own[nj.global_order(own, frequent, times)[0]].tolist() == [x for x in whole if x in part]
+
+
+def test_join_links_whatever_is_known_as_frequent():
+    rnd = random.Random(8)
+    base = rnd.sample(range(10**6), 80)
+    sets = [np.array(sorted({*base[: 80 - k % 9], *rnd.sample(range(10**6), k % 7)}), np.uint64) for k in range(40)]
+    linked = {(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert 0 < len(linked) < 780
+
+    def together(links):
+        root = list(range(40))
+        for a, b in list(links) * 40:
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for frequent, times in (NONE, (np.array(sorted(base), np.uint64), np.arange(80) % 5 + 3)):
+        got = nj.join([(k, x, False, k) for k, x in enumerate(sets)], 85, frequent, times)
+        assert {(max(x), min(x)) for x in got} <= linked
+        assert together(got) == together(linked)
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(k, k + 1) for k in range(0, 60) if k % 13] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)] + [(7, 7), (None, 3)]
@@ -112,7 +146,7 @@ def test_sets_outside_the_largest_component_are_stored_and_probe():
     table = [(7, chunk, k, t, probe, k) for probe, chunk in both for k, t in ((1, x), (2, y)) if probe or chunk == k - 1]
     table.sort(key=lambda row: (row[1], not row[4]))  # probe copies come first
     batch = pa.RecordBatch.from_pylist([dict(zip(("block", "chunk", "set_id", "tokens", "probe", "component"), row, strict=True)) for row in table])
-    links = {frozenset(row.values()) for out in nj._joined(85)([batch]) for row in out.to_pylist()}
+    links = {frozenset(row.values()) for out in nj._joined(85, *NONE)([batch]) for row in out.to_pylist()}
     assert links == {frozenset((1, 2))}
 
 
@@ -129,6 +163,24 @@ def test_a_large_block_of_many_small_pairs(spark, monkeypatch):
     assert found(df) == brute(table, 4, 85)
 
 
+def test_a_large_block_of_pairs_of_many_sizes(spark, monkeypatch):
+    """Pairs outside the largest component whose sizes lie at the edge of what may link, in levels of several chunks."""
+    monkeypatch.setattr(nj, "CHUNK", 8)
+    monkeypatch.setattr(nj, "PIVOTS", 1)
+    monkeypatch.setattr(nj, "PAIRED", 3)
+    monkeypatch.setattr(nj, "FREQUENT_FROM", 10**9)
+    shared = " ".join(f"s{k}" for k in range(50))
+    table = [(k, f"{shared} {x}") for k, x in copies(9, 1, 30, 30, 1)]
+    for k, x in copies(10, 40, 1, 40, 0):
+        words = x.split()[: 12 + k % 28]
+        text = f"{shared} {' '.join(words)}"
+        shingles = len(text.split()) - 3
+        more = (100 * shingles // 85 - shingles) + k % 2  # just enough, or one too many, for a link
+        table += [(1000 + 2 * k, text), (1001 + 2 * k, f"{text} {' '.join(f'e{k}x{j}' for j in range(more))}")]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    assert found(df) == brute(table, 4, 85)
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """A Thue-Morse word of a and b and its complement share a polynomial hash modulo 2**64; they must not link."""
     word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
