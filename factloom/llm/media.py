@@ -212,26 +212,29 @@ def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float, f
     turn = (q["angle"].astype(np.float64) - f["angle"]) % 360
     size = f["scale"].astype(np.float64) / q["scale"]
     cos, sin = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+    qx, qy, fx, fy = (x.astype(np.float64) for x in (q["x"], q["y"], f["x"], f["y"]))
     place = np.unique((f["x"] // SHIFT).astype(np.int64) << 32 | (f["y"] // SHIFT).astype(np.int64), return_inverse=True)[1]
+    by_place = np.argsort(place, kind="stable")
+    starts = np.flatnonzero(np.diff(place[by_place], prepend=-1))
     slack = SHIFT / min(1.0, float(q["scale"].max()))
     best, agreed = 0, np.zeros(0, int)
     for start in range(0, len(own), max(1, PAIRS_AT_ONCE // len(own))):
         k = np.arange(start, min(len(own), start + max(1, PAIRS_AT_ONCE // len(own))))[:, None]
         # where match k's motion carries every matched place of b, against where that place is in a
-        mx = q["x"][k] + size[k] * ((f["x"] - f["x"][k]) * cos[k] - (f["y"] - f["y"][k]) * sin[k])
-        my = q["y"][k] + size[k] * ((f["x"] - f["x"][k]) * sin[k] + (f["y"] - f["y"][k]) * cos[k])
-        reach = 0.12 * size[k] * np.hypot(f["x"] - f["x"][k], f["y"] - f["y"][k]) + slack  # an angle's error moves far places more
-        fits = (np.hypot(mx - q["x"], my - q["y"]) <= reach) & (np.abs((turn - turn[k] + 180) % 360 - 180) <= TURN) & (np.abs(np.log(size / size[k])) <= math.log(FACTOR))
-        for row in np.argsort(-fits.sum(1), kind="stable")[:8]:
-            votes = len(np.unique(place[fits[row]]))
-            if votes > best:
-                best, agreed = votes, np.flatnonzero(fits[row])
+        x, y = fx - fx[k], fy - fy[k]
+        off = np.hypot(qx[k] + size[k] * (x * cos[k] - y * sin[k]) - qx, qy[k] + size[k] * (x * sin[k] + y * cos[k]) - qy)
+        reach = 0.12 * size[k] * np.hypot(x, y) + slack  # an angle's error moves far places more
+        fits = (off <= reach) & (np.abs((turn - turn[k] + 180) % 360 - 180) <= TURN) & (np.abs(np.log(size / size[k])) <= math.log(FACTOR))
+        votes = np.logical_or.reduceat(fits[:, by_place], starts, axis=1).sum(1)
+        row = int(votes.argmax())
+        if votes[row] > best:
+            best, agreed = int(votes[row]), np.flatnonzero(fits[row])
     s, c = np.sin(np.radians(turn[agreed])).mean(), np.cos(np.radians(turn[agreed])).mean()
     scale = float(np.exp(np.log(size[agreed]).mean()))
-    x, y = f["x"][agreed].astype(np.float64), f["y"][agreed].astype(np.float64)
+    x, y = fx[agreed], fy[agreed]
     norm = math.hypot(s, c) or 1.0
-    dx = float((q["x"][agreed] - scale * (x * c - y * s) / norm).mean())
-    dy = float((q["y"][agreed] - scale * (x * s + y * c) / norm).mean())
+    dx = float((qx[agreed] - scale * (x * c - y * s) / norm).mean())
+    dy = float((qy[agreed] - scale * (x * s + y * c) / norm).mean())
     return best, float(np.degrees(math.atan2(s, c)) % 360), scale, dx, dy
 
 
