@@ -8,6 +8,21 @@ def image(seed):
     return rasters.raster(np.random.default_rng(seed).normal(size=64))
 
 
+def agreed(a, b):
+    """Equal stretches after equal blocks, entry by entry, bit by bit."""
+    count = 0
+    sides = []
+    for found in (a, b):
+        bits = np.unpackbits(found["bits"], axis=1)
+        sides.append({(k, np.roll(row, -k * media.BLOCK_BITS)[: media.BLOCK_BITS + 2 * media.STRETCHES * media.STRETCH_BITS].tobytes()) for row in bits for k in range(media.BLOCKS)})
+    for k, x in sides[0]:
+        for j, y in sides[1]:
+            if k == j and x[: media.BLOCK_BITS] == y[: media.BLOCK_BITS]:
+                cut = range(media.BLOCK_BITS, len(x), media.STRETCH_BITS)
+                count += sum(x[c : c + media.STRETCH_BITS] == y[c : c + media.STRETCH_BITS] for c in cut)
+    return count
+
+
 def test_pgm_round_trip_and_broken_files():
     pixels = np.arange(12, dtype=np.float32).reshape(3, 4)
     assert (media.pixels_of(media.pgm(pixels)) == pixels).all()
@@ -72,12 +87,23 @@ def test_recall_by_kind_of_edit():
     """Keys and votes together, for copies that are cropped, turned, resized, darker and coarser; and for other images."""
     edited = {k: media.describe(media.pixels_of(media.pgm(rasters.edited(image(k), k)))) for k in range(60)}
     whole = {k: media.describe(media.pixels_of(media.pgm(image(k))), media.INDEX_SCALES) for k in range(60)}
-    shared = lambda a, b: len(np.intersect1d(media.keys(a) >> media.MORE_BITS, media.keys(b) >> media.MORE_BITS))
-    found = [shared(edited[k], whole[k]) >= media.SHARED and media.consensus(edited[k], whole[k])[0] >= media.CONSENSUS for k in edited]
+    found = [agreed(edited[k], whole[k]) >= media.AGREE and media.consensus(edited[k], whole[k])[0] >= media.CONSENSUS for k in edited]
     assert np.mean(found) >= 0.9
     assert not any(media.consensus(edited[k], whole[(k + 1) % 60])[0] >= media.CONSENSUS for k in edited)
 
 
+def test_candidates_equal_a_plain_count(spark, monkeypatch):
+    """Whether the queries' entries are broadcast or shuffled."""
+    edited = {k: media.describe(rasters.edited(image(k), k)) for k in range(6)}
+    whole = {k: media.describe(image(k), media.INDEX_SCALES) for k in range(12)}
+    queried, index = (spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in side.items()], "name bigint, found binary") for side in (edited, whole))
+    expected = {(a, b) for a in edited for b in whole if agreed(edited[a], whole[b]) >= media.AGREE}
+    assert 5 <= len(expected) < 72
+    for rows in (media.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(media, "BROADCAST_ROWS", rows)
+        assert {tuple(x) for x in media.candidates(queried, index).collect()} == expected
+
+
 def test_all_edited_copies_are_found(spark):
     """Recall against the truth: each edited image is a copy of its own row's class, and of no far one."""
     rows = queries.op6_media_copies(spark, "/root/testdata/sf0.1").collect()
