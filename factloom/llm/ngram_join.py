@@ -340,12 +340,27 @@ def join(rows: Iterable[tuple[int, np.ndarray, bool, int]], percent: int, freque
     return links
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect what the given ones connect: each set with the smallest one it is connected to."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for link in links:
+        a, b = sorted(map(root, link))
+        parent[b] = a
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+
 def _joined(percent: int, frequent: np.ndarray, times: np.ndarray):
     """Links within each run of rows (block, chunk, set_id, tokens, probe, component) with one block and chunk."""
 
     def found(held: list) -> Iterator[tuple[int, int]]:
         if len(held) > 1:
-            yield from join(((i, np.frombuffer(t, np.uint64), p, c) for i, t, p, c in held), percent, frequent, times)
+            yield from stars(join(((i, np.frombuffer(t, np.uint64), p, c) for i, t, p, c in held), percent, frequent, times))
 
     def run(batches):
         key, held, seen = None, [], set()
@@ -484,11 +499,13 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     everywhere = everywhere.withColumn("chunk", F.col("to")).select(own.columns)
     links = materialise(_in_groups(own.unionByName(everywhere), percent, frequent, times), "set-links")
 
+    roots = components(links)
     large = own.where("chunks > 1")
     if not large.isEmpty():
-        probes = _residual_probes(large, links, percent)
-        links = links.unionByName(materialise(_in_groups(probes, percent, frequent, times), "set-links"))
-    roots = components(links)
+        probes = _residual_probes(large, roots, percent)
+        more = materialise(_in_groups(probes, percent, frequent, times), "set-links")
+        if not more.isEmpty():  # what is known already is a link of each set with its component's root
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     merged = kept.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     merged = materialise(merged, "merged")
@@ -500,13 +517,13 @@ def link_components(df: DataFrame, shingle: int = 4, percent: int = 85, id_col:
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
-def _residual_probes(own: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _residual_probes(own: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """The groups in which sets outside each large block's largest component meet the block's sets of other components.
 
     Sets that link differ in size by a factor of 100 / percent at most, so a level of sizes meets itself and the next
     ones only. Where levels are large, each part of the outside sets meets each chunk of a level.
     """
-    roots = components(links).select(F.col("node").alias("set_id"), "root")
+    roots = roots.select(F.col("node").alias("set_id"), "root")
     level = F.floor(F.log(F.length("tokens") / 8) / (math.log(100 / percent) + 1e-6))
     known = own.drop("component", "chunk", "chunks").join(roots, "set_id", "left").withColumn("component", F.coalesce("root", "set_id")).drop("root")
     known = materialise(known.withColumn("level", level), "large-blocks")

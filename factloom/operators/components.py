@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 from factloom.staging import Rounds
 
+#: Links up to which the minima of a round are broadcast (16 bytes each) instead of shuffled with the links, and parts
+#: that so few links are written in.
+BROADCAST_LINKS, FEW_PARTS = 100_000, 8
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _large(edges: DataFrame, hint=lambda df: df) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, hint=lambda df: df) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(hint(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def one_round(edges: DataFrame, few: bool) -> DataFrame:
+    """Both moves of a round. Where links are few, minima are broadcast: links are then shuffled once, when repeats are dropped."""
+    if few:
+        return _small(_large(edges, F.broadcast), F.broadcast).distinct().coalesce(FEW_PARTS)
+    return _small(_large(edges).distinct()).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root of each node of links (two columns of one type that can be ordered); root is the smallest node of its component.
 
@@ -32,10 +43,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     u, v = links.columns
     rounds = Rounds(links.sparkSession, "links")
-    edges = rounds.write(links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
-    mark = None
-    while not edges.isEmpty():
-        edges = rounds.write(_small(_large(edges).distinct()).distinct())
+    edges = rounds.write(links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v"))
+    mark = (edges.count(), None)
+    while mark[0]:
+        edges = rounds.write(one_round(edges, mark[0] <= BROADCAST_LINKS))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

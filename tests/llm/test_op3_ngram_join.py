@@ -191,3 +191,40 @@ def test_words_that_a_polynomial_hash_confuses(spark):
 
 def test_query_matches_its_sql_twin(spark, sf_dir):
     same(queries.op3_ngram_join(spark, sf_dir), sf_dir, queries.ORACLES["op3_ngram_join"])
+
+
+def test_few_links_take_few_tasks(spark):
+    # 60 shuffle partitions that are not put together: a round of few links writes few parts and shuffles links once
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint").coalesce(2)
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-links", "few links")
+        got = {x.node: x.root for x in components(links).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("few-links") for s in status.getJobInfo(job).stageIds}
+    infos = [x for x in map(status.getStageInfo, stages) if x]
+    tasks = sum(x.numCompletedTasks for x in infos)
+    assert infos and tasks <= 2000, tasks
+
+
+def test_rounds_with_and_without_broadcast_agree(spark, monkeypatch):
+    from factloom.operators import components as c
+
+    links = spark.createDataFrame([(k % 50, (k * 7 + 3) % 61) for k in range(0, 90, 2)], "a bigint, b bigint")
+    few = sorted(map(tuple, components(links).collect()))
+    monkeypatch.setattr(c, "BROADCAST_LINKS", 0)
+    assert sorted(map(tuple, components(links).collect())) == few
+
+
+def test_links_of_a_group_are_stars():
+    assert sorted(nj.stars([(5, 4), (4, 3), (9, 8), (3, 7), (4, 7)])) == [(4, 3), (5, 3), (7, 3), (9, 8)]
+    assert nj.stars([]) == []
