@@ -22,7 +22,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +102,10 @@ class PieceCodec:
         self.segments = _Cache(self._packed, SEGMENT_CACHE)
         self.words = _Cache(self._word, SEGMENT_CACHE)
         self.shown = [self._shown(i) for i in ids]
+        self.plain = pa.array([x.replace("\udc00", "") for x in self.shown], pa.string())
+        #: Pieces that decode_all() leaves to decode(): parts of characters, and those that are no text at all.
+        self.odd = np.array([x == "\udc00" or (i in self.special and i != self.unknown) for i, x in enumerate(self.shown)], bool)
+        self.begins = np.array([i not in self.byte_value and x.startswith(SPACE) for i, x in enumerate(self.pieces)], bool)
         self._check(model)
 
     def forget(self) -> None:
@@ -156,9 +162,12 @@ class PieceCodec:
         out: list[int] = []
         while at < n:
             piece = rivals[at]
+            before = last * width
             while piece != NONE:
-                if not failed >> (at + length[piece]) & 1:
-                    fits = last == NONE or known(last * width + piece)
+                if not failed or not failed >> (at + length[piece]) & 1:
+                    if last == NONE:
+                        break
+                    fits = known(before + piece)
                     if fits is None:
                         fits = self._compatible(last, piece)
                     if fits:
@@ -189,6 +198,8 @@ class PieceCodec:
 
     def _word(self, word: str) -> bytes:
         """The ids of a text without spaces that stands after one, packed."""
+        if word.isalpha():  # letters alone are never split, and are kept as a word already
+            return self._packed(SPACE + word)
         return b"".join(map(self.segments.__getitem__, self.split(SPACE + word)))
 
     def encode(self, text: str) -> array:
@@ -217,6 +228,23 @@ class PieceCodec:
             text = text[1:]
         return text
 
+    def decode_all(self, values: pa.ListArray) -> pa.Array:
+        """decode() of each list (null: an empty text). Pieces are looked up and joined for all lists at once, where none is odd."""
+        flat = values.flatten()
+        ids = flat.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.plain.take(flat)), "")
+        some = ends[1:] > ends[:-1]
+        strip = np.zeros(len(values), bool)
+        strip[some] = self.begins[ids[ends[:-1][some]]]
+        texts = pc.if_else(pa.array(strip), pc.utf8_slice_codeunits(texts, 1), texts)
+        counted = np.concatenate([[0], np.cumsum(self.odd[ids])])
+        by_hand = counted[ends[1:]] > counted[ends[:-1]]
+        if by_hand.any():
+            lists = values.filter(pa.array(by_hand)).to_pylist()
+            texts = pc.replace_with_mask(texts, pa.array(by_hand), pa.array(map(self.decode, lists), pa.string()))
+        return texts
+
     def _runs(self, ids) -> Iterator[str]:
         run = bytearray()
         for i in ids:
@@ -281,7 +309,7 @@ def _encode_column(model: PieceCodec, values: pa.Array) -> pa.Array:
 
 
 def _decode_column(model: PieceCodec, values: pa.Array) -> pa.Array:
-    return pa.array([model.decode(x) if x else "" for x in values.to_pylist()], pa.string())
+    return model.decode_all(values)
 
 
 def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, kind: str, model_path: str, convert) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from frames import empty, frame, rows
@@ -67,3 +68,19 @@ def test_columns_with_names_of_the_operator_stay(spark):
     got = sc.round_trip(df, queries.tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "__text", "text_to_code"))
     assert got.columns == ["doc_id", "__text", "text_to_code", "ids", "decoded"]
     assert all(x.doc_id == x["__text"] == x.text_to_code for x in got.collect())
+
+
+def test_lists_are_decoded_together(library, monkeypatch):
+    own, rnd = sc.codec(PATH), random.Random(9)
+    lists = [[rnd.choice((rnd.randrange(3), rnd.randrange(3, 259), rnd.randrange(32000), rnd.randrange(259, 32000))) for _ in range(rnd.randrange(7))] for _ in range(4000)]
+    lists += [library.encode(x) for x in ("", " ", "a", " a  b ", "é漢字😀 x", "\n\n")]
+    column = pa.array([None, *lists, None, []], pa.list_(pa.int32()))
+    want = ["", *map(library.decode, lists), "", ""]
+    for start, length in ((0, len(want)), (3, 500), (len(want) - 2, 2), (0, 0)):  # slices have offsets of their own
+        assert sc._decode_column(own, column.slice(start, length)).to_pylist() == want[start : start + length]
+
+    called = []
+    monkeypatch.setattr(sc.PieceCodec, "decode", lambda self, ids: called.append(ids))
+    plain = [x for x in (library.encode(f"word {k} of plain text\nand a second line") for k in range(100))]
+    got = sc._decode_column(own, pa.array(plain, pa.list_(pa.int32()))).to_pylist()
+    assert got == [library.decode(x) for x in plain] and not called
