@@ -4,9 +4,9 @@ Images are 8-bit grey PGM files in a binary column. Each is brought to a working
 several scales for corners (Harris response, local maxima); a corner gets an angle from its patch's
 centre of brightness and 128 binary tests of the smoothed patch, turned by that angle.
 
-1. Hamming tables: a descriptor is split into blocks, each block is a key, and the bits after it are cut into
-   stretches. Where two images share a key, the stretches that are equal too are counted; images with AGREE such
-   stretches are candidates. This is the same for every key and every size of the table.
+1. Hamming tables: WINDOWS overlapping windows of a descriptor's bits are its keys. Where descriptors of two images share a
+   key, all their bits are held together in the join; images with descriptors that differ in NEAR bits at most are
+   candidates. This is the same for every key and every size of the table.
 2. Geometric consensus: a candidate pair is held together in one row. Each descriptor of the one finds
    its nearest in the other (RADIUS bits at most), each match says how to turn, scale and shift one image
    onto the other, and a copy has many matches that say the same; chance matches do not.
@@ -43,6 +43,9 @@ TESTS, BLOCKS, BLOCK_BITS, MORE_BITS = 128, 5, 25, 16
 #: Bits of a stretch after a block, stretches in each of an entry's two numbers, and equal ones that make a candidate. Over
 #: 80 edited images 0.91 of them have so many, and of pairs of any two images 0.0026 (blocks alone: 0.93 and 0.12).
 STRETCH_BITS, STRETCHES, AGREE = 10, 4, 4
+#: Windows of a descriptor whose bits are its keys, bits of each, and bits in which descriptors that share a key and make
+#: a candidate differ at most.
+WINDOWS, WINDOW_BITS, NEAR = 8, 30, 16
 #: Bits in which matching descriptors differ, at most.
 RADIUS = 24
 #: Keys that two images of one class share, at least.
@@ -300,6 +303,30 @@ def _entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3))], names=["name", "key", "low", "high"])
 
 
+def bits_of(found: np.ndarray) -> np.ndarray:
+    """The distinct descriptors of an image, as rows of two 64-bit numbers."""
+    return np.unique(np.ascontiguousarray(found["bits"]).view("<i8").reshape(-1, 2), axis=0)
+
+
+def _bits(batches):
+    """Rows (name, low, high) of rows (name, found)."""
+    for batch in _sliced(batches):
+        found = [bits_of(np.frombuffer(x, RECORD)) for x in batch.column(1).to_pylist()]
+        rows = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(2))], names=["name", "low", "high"])
+
+
+def window(k: int) -> Column:
+    """A key of the columns low and high: k and the bits of window k, on the circle of all bits."""
+    at = k * (TESTS // WINDOWS)
+    one, other = ("low", "high") if at < 64 else ("high", "low")
+    bits = F.shiftrightunsigned(one, at % 64)
+    if at % 64 + WINDOW_BITS > 64:
+        bits = bits.bitwiseOR(F.shiftleft(other, 64 - at % 64))
+    return bits.bitwiseAND(F.lit((1 << WINDOW_BITS) - 1).cast("long")).bitwiseOR(F.lit(k << WINDOW_BITS).cast("long"))
+
+
 def _sliced(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
@@ -343,8 +370,22 @@ def classes(index: DataFrame) -> DataFrame:
     return _together(materialise(roots, "groups"), index, index).mapInArrow(_same, "name bigint, other bigint")
 
 
+def near_candidates(found: DataFrame, index: DataFrame) -> DataFrame:
+    """name and other of the images of found and of index with descriptors that share a key and differ in NEAR bits at most."""
+    keys_of = F.explode(F.array(*(window(k) for k in range(WINDOWS)))).alias("key")
+    of = lambda df: df.select("name", "found").mapInArrow(_bits, "name bigint, low bigint, high bigint").select("name", "low", "high", keys_of)
+    asked = materialise(of(found), "query-windows")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    stored = of(index).select(F.col("name").alias("other"), "key", F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("other_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("other_high")))
+    return stored.join(asked, "key").where(apart <= NEAR).select("name", "other").distinct()
+
+
 def candidates(found: DataFrame, index: DataFrame) -> DataFrame:
-    """name and other of the images of found and of index whose entries agree in AGREE stretches or more."""
+    """name and other of the images of found and of index whose entries agree in AGREE stretches or more.
+
+    find_copies took this rule before near_candidates, which joins fewer rows; it is kept to be compared with.
+    """
     of = lambda df: df.select("name", "found").mapInArrow(_entries, "name bigint, key bigint, low bigint, high bigint")
     asked = materialise(of(found), "query-entries")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
@@ -379,7 +420,7 @@ def find_copies(images: DataFrame, queries: DataFrame, media_col: str = "media",
     leaders = index.join(within.select("name"), "name", "left_anti")
     asked = queries.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.unhex(F.sha2(media_col, 256)).alias("image"))
     found = materialise(described(queries, media_col, SCALES), "query-descriptors")
-    pairs = materialise(candidates(found, leaders), "candidates")
+    pairs = materialise(near_candidates(found, leaders), "candidates")
     copies = _together(pairs, found, index).mapInArrow(_agreed, "name bigint, other bigint, votes bigint, turn double, scale double, dx double, dy double").where(F.col("votes") >= CONSENSUS)
     copies = copies.join(heads.select(F.col("name").alias("other"), "class_id"), "other").join(found.select("name", "image"), "name")
     return copies.join(asked, "image").select("query_id", "class_id", "votes", "turn", "scale", "dx", "dy"), members

@@ -134,3 +134,36 @@ def test_members_nulls_and_clashing_names(spark):
     assert [(x.query_id, x.class_id) for x in copies.collect()] == [(1, head[1])]
     for a, b in ((images.limit(0), asked), (images, asked.limit(0)), (images.limit(0), asked.limit(0))):
         assert media.find_copies(a, b)[0].count() == 0
+
+
+def near_rows(a, b):
+    """How often descriptors share a window and are near, bit by bit."""
+    sides = []
+    for found in (a, b):
+        bits = np.unique(np.unpackbits(found["bits"], axis=1, bitorder="little"), axis=0)
+        sides.append((bits, [np.roll(bits, -k * media.TESTS // media.WINDOWS, axis=1)[:, : media.WINDOW_BITS] for k in range(media.WINDOWS)]))
+    apart = (sides[0][0][:, None] != sides[1][0][None]).sum(2)
+    shared = sum((x[:, None] == y[None]).all(2).astype(int) for x, y in zip(sides[0][1], sides[1][1], strict=True))
+    return int(((apart <= media.NEAR) * shared).sum())
+
+
+def test_near_candidates_equal_a_plain_count(spark, monkeypatch):
+    """Whether the queries' keys are broadcast or shuffled."""
+    edited = {k: media.describe(rasters.edited(image(k), k)) for k in range(6)}
+    whole = {k: media.describe(image(k), media.INDEX_SCALES) for k in range(12)} | {12: np.zeros(0, media.RECORD)}
+    queried, index = (spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in side.items()], "name bigint, found binary") for side in (edited, whole))
+    expected = {(a, b) for a in edited for b in whole if near_rows(edited[a], whole[b])}
+    assert {(k, k) for k in edited} <= expected and len(expected) < 72
+    for rows in (media.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(media, "BROADCAST_ROWS", rows)
+        assert {tuple(x) for x in media.near_candidates(queried, index).collect()} == expected
+
+
+def test_rows_joined_by_key_are_near_ones():
+    """Of images that are no copies of each other, few descriptors are joined; more edited copies are candidates than by stretches."""
+    edited = {k: media.describe(media.pixels_of(media.pgm(rasters.edited(image(k), k)))) for k in range(60, 120)}
+    whole = {k: media.describe(media.pixels_of(media.pgm(image(k))), media.INDEX_SCALES) for k in range(60, 120)}
+    own = [near_rows(edited[k], whole[k]) > 0 for k in edited]
+    assert np.mean(own) >= 0.95 and sum(own) >= sum(agreed(edited[k], whole[k]) >= media.AGREE for k in edited)
+    chance = [(near_rows(edited[k], whole[k + 1]), agreed(edited[k], whole[k + 1])) for k in range(60, 119)]
+    assert 4 * sum(x for x, _ in chance) < sum(x for _, x in chance)
