@@ -214,18 +214,30 @@ def search(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int |
     tables = list(combinations(range(blocks), blocks - radius))
     if blocks <= radius or width * (blocks - 1) >= 32:
         raise ValueError("there must be more blocks than radius, and at most 32")
-    digits = lambda c, k: F.substring(c, k * width + 1, width)
-    key = lambda c, table: F.concat(*(digits(c, k) for k in table))
-
-    def entries(df: DataFrame, name: str) -> DataFrame:
-        one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        return one.select(name, F.posexplode(F.array(*(key(F.col(name), t) for t in tables))).alias("table", "key"))
-
-    pairs = entries(queries, "query").join(entries(found, "fingerprint"), ["table", "key"])
-    same = F.array(*(key(F.col("query"), t) == key(F.col("fingerprint"), t) for t in tables))
-    pairs = pairs.where(F.array_position(same, True) == F.col("table") + 1)
-    pairs = pairs.withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
-    return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance")
+    bits = [min(4 * width, BITS - 4 * width * k) for k in range(blocks)]
+
+    def same(high: Column, low: Column, table: tuple[int, ...]) -> tuple[Column, Column]:
+        """The bits of a fingerprint's halves that lie in the table's blocks."""
+        mask = sum(((1 << bits[k]) - 1) << (BITS - 4 * width * k - bits[k]) for k in table if bits[k] > 0)
+        long = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+        return high.bitwiseAND(long(mask >> 64)), low.bitwiseAND(long(mask & ((1 << 64) - 1)))
+
+    def keys(high: str, low: str) -> Column:
+        return F.array(*(F.xxhash64(F.lit(k), *same(F.col(high), F.col(low), t)) for k, t in enumerate(tables)))
+
+    def entries(df: DataFrame, high: str, low: str) -> DataFrame:
+        """A row for each table and fingerprint: three numbers, as all of them are shuffled."""
+        one = df.select(_half(F.col("fingerprint"), 1).alias(high), _half(F.col("fingerprint"), 17).alias(low)).where(F.col("fingerprint").isNotNull()).distinct()
+        return one.select(high, low, F.explode(keys(high, low)).alias("key"))
+
+    # merged at every size: a side that looks small grows by the number of tables, and is not broadcast then
+    pairs = entries(found, "high", "low").join(entries(queries, "query_high", "query_low").hint("merge"), "key")
+    apart = [F.col("high").bitwiseXOR(F.col("query_high")), F.col("low").bitwiseXOR(F.col("query_low"))]
+    agree = F.array(*(same(*apart, t)[0].bitwiseOR(same(*apart, t)[1]) == 0 for t in tables))
+    first = F.element_at(keys("high", "low"), F.array_position(agree, True).cast("int"))
+    pairs = pairs.withColumn("distance", F.bit_count(apart[0]) + F.bit_count(apart[1])).where((F.col("distance") <= radius) & (F.col("key") == first))
+    text = lambda high, low: F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (high, low))))
+    return pairs.select(text("query_high", "query_low").alias("query"), text("high", "low").alias("fingerprint"), "distance")
 
 
 def count_within(rows: DataFrame, asked: Column, radius: int = 3, blocks: int | None = None, id_col: str = "doc_id") -> DataFrame:

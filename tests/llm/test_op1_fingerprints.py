@@ -114,3 +114,12 @@ def test_rows_within_the_radius_are_counted(spark):
     least = lambda x: min(y[0] for y in table if y[0] is not None and (value(x) ^ value(y)).bit_count() <= 3)
     assert {x.doc_id: x.first_within for x in fp.count_within(df, F.col("doc_id") % 2 == 0, 3).collect()} == {x[0]: least(x) if x[0] is not None and x[0] % 2 == 0 else None for x in table}
     assert fp.count_within(df.limit(0), F.col("doc_id") % 2 == 0).count() == 0
+
+
+def test_search_shuffles_numbers_and_broadcasts_no_tables(spark):
+    """What each of the tables carries through the shuffle is two halves and a key, whatever the size of the sides."""
+    rows = spark.createDataFrame([(f"{k * 0x9E3779B97F4A7C15F39CC0605CEDC835 % (1 << 128):032x}",) for k in range(50)], "fingerprint string")
+    found = fp.search(rows, rows.limit(5), 6, 8)
+    assert sorted(x.distance for x in found.collect()) == [0] * 5
+    physical = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [key" in physical and "Broadcast" not in physical
