@@ -5,7 +5,7 @@ Edges are (subject_id, predicate, object_id), entities have entity_id, name and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,21 +47,25 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 def neighbour_bar(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Each page's neighbours in the order of their lower-cased names, as one text, and their number."""
-    named = neighbours(edges).join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
+    return bar_of(neighbours(edges), entities)
+
+
+def bar_of(near: DataFrame, entities: DataFrame) -> DataFrame:
+    """The same from pages and their neighbours."""
+    named = near.join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
     bar = F.array_sort(F.collect_list(F.struct(F.lower("name").alias("key"), "other_id", "name")))
     return named.groupBy("page_id").agg(F.array_join(F.transform(bar, lambda x: x["name"]), " · ").alias("bar"), F.count("*").alias("n"))
 
 
 def ranked_neighbours(edges: DataFrame, entities: DataFrame, hub_rows: int | None = None) -> DataFrame:
     """page_id, other_id, name and position: each page's neighbours numbered in the order of their lower-cased names."""
-    near = neighbours(edges)
-    named = near.join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
-    return ranked(named, ["page_id"], [F.lower("name"), "other_id"], hub_rows=hub_rows, counts=page_sizes(edges))
+    named = neighbours(edges).join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
+    return ranked(named, ["page_id"], [F.lower("name"), "other_id"], hub_rows=hub_rows, counts=page_sizes(both_ends(edges)))
 
 
-def page_sizes(edges: DataFrame) -> DataFrame:
+def page_sizes(sides: DataFrame) -> DataFrame:
     """page_id and n, the number of headings of each page."""
-    return both_ends(edges).groupBy("page_id").agg(F.count("*").alias("n"))
+    return sides.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 def labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,9 +79,30 @@ def sections(edges: DataFrame, entities: DataFrame, labels: DataFrame, hub_rows:
 
     edges are read more than once, so they should be a written table. Pages of more than hub_rows headings are numbered in ranges.
     """
-    seen = labelled(both_ends(edges), labels).join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
-    order = [F.when(F.col("direction") == "out", 0).otherwise(1), F.lower("name"), "label", "other_id"]
-    return ranked(seen, ["page_id"], order, hub_rows=hub_rows, counts=page_sizes(edges)).select("page_id", "position", "direction", "label", "other_id", "name")
+    return sections_of(both_ends(edges), entities, labels, hub_rows)
+
+
+def sections_of(sides: DataFrame, entities: DataFrame, labels: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """The same from edges as seen from their two ends."""
+    return ranked(headings(sides, entities, labels), ["page_id"], heading_order(), hub_rows=hub_rows, counts=page_sizes(sides)).select("page_id", "position", "direction", "label", "other_id", "name")
+
+
+def headings(sides: DataFrame, entities: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges as seen from their two ends, with the name of the other end and the label."""
+    return labelled(sides, labels).join(entities.select(F.col("entity_id").alias("other_id"), "name"), "other_id", "left").withColumn("name", F.coalesce("name", "other_id"))
+
+
+def heading_order() -> list[str | Column]:
+    """The order of a page's headings."""
+    return [F.when(F.col("direction") == "out", 0).otherwise(1), F.lower("name"), "label", "other_id"]
+
+
+def with_places(sides: DataFrame, entities: DataFrame, labels: DataFrame, hub_rows: int | None = None) -> DataFrame:
+    """Headings with their position on the page, and with the place of the other end among the page's neighbours, the same in all
+    headings of one neighbour. Pages are shuffled once for both."""
+    counts = page_sizes(sides)
+    placed = ranked(headings(sides, entities, labels), ["page_id"], heading_order(), "position", hub_rows, counts)
+    return ranked(placed, ["page_id"], [F.lower("name"), "other_id"], "place", hub_rows, counts, dense=True)
 
 
 def without_edges(entities: DataFrame, edges: DataFrame) -> DataFrame:

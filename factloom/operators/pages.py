@@ -76,24 +76,36 @@ def profiles(entities: DataFrame, edges: DataFrame, facts: DataFrame, snippets:
     short is one part; of a hub each part has the header, its place among the parts and its share of each section. So
     no group is larger than a part, whatever an entity's degree. edges and facts are read more than once and should be written tables.
     """
-    bar = graph.ranked_neighbours(edges, entities, hub_rows).select("page_id", F.lit(0).alias("section"), "position", escape(F.col("name")).alias("line"))
+    return profiles_of(entities, entities, graph.both_ends(edges), facts, snippets, labels, red, part_lines, hub_rows)
+
+
+def profiles_of(entities: DataFrame, named: DataFrame, sides: DataFrame, facts: DataFrame, snippets: DataFrame, labels: DataFrame, red: str, part_lines: int | None = PART_LINES, hub_rows: int | None = None) -> DataFrame:
+    """The same from edges as seen from their two ends. sides and facts have the rows of the pages of entities, named has the entities
+    that they may name. Without part_lines each page is one part, which a group then holds."""
     heading = F.format_string("<h3>%s: %s</h3>", escape(F.col("label")), escape(F.col("name")))
-    body = graph.sections(edges, entities, labels, hub_rows).select("page_id", F.lit(1).alias("section"), "position", heading.alias("line"))
+    of = lambda k, position, line: F.struct(F.lit(k).alias("section"), position.alias("position"), line.alias("line"))
+    links = graph.with_places(sides, named, labels, hub_rows).select("page_id", F.inline(F.array(of(0, F.col("place"), escape(F.col("name"))), of(1, F.col("position"), heading))))
     sources = evidence.source_lines(facts, snippets, hub_rows).select("page_id", F.lit(2).alias("section"), F.col("number").alias("position"), "line")
-    lines = bar.unionByName(body).unionByName(sources).withColumn("part", F.floor((F.col("position") - 1) / part_lines) + 1)
-    found = lines.groupBy(F.col("page_id").alias("entity_id"), "part").agg(F.array_sort(F.collect_list(F.struct("section", "position", "line"))).alias("lines"))
-    found = materialise(found, "page-parts")
+
+    def texts(lines: DataFrame) -> DataFrame:
+        """The lines' texts by section and part, made where the lines were numbered, so that only texts are shuffled."""
+        part = F.floor((F.col("position") - 1) / part_lines) + 1 if part_lines else F.lit(1).cast("long")
+        own = F.transform(F.array_sort(F.collect_set(F.struct("position", "line"))), lambda x: x["line"])  # a neighbour comes once
+        return lines.withColumn("part", part).groupBy(F.col("page_id").alias("entity_id"), "part", "section").agg(F.when(F.col("section") == 0, F.array_join(own, " · ")).otherwise(F.array_join(own, "")).alias("text"))
+
+    made = texts(links).unionByName(texts(sources))
+    each = [F.first(F.when(F.col("section") == k, F.col("text")), ignorenulls=True).alias(f"text_{k}") for k in range(3)]
+    found = materialise(made.groupBy("entity_id", "part").agg(*each), "page-parts")
     hubs = found.where("part > 1").groupBy("entity_id").agg(F.max("part").alias("parts"))
     found = entities.join(found, "entity_id", "left").join(hubs, "entity_id", "left").withColumns({"part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
 
-    def section(k: int, before: str, between: str, after: str) -> Column:
-        own = F.transform(F.filter("lines", lambda x: x["section"] == k), lambda x: x["line"])
-        return F.when(F.size(own) > 0, F.concat(F.lit(before), F.array_join(own, between), F.lit(after)))
+    def section(k: int, before: str, after: str) -> Column:
+        return F.concat(F.lit(before), F.col(f"text_{k}"), F.lit(after))
 
     head = F.format_string('<h1 class="%s">%s</h1><p>%s</p>', colour(F.col("types"), red), escape(F.col("name")), F.array_join(F.array_sort("types"), ", "))
     place = F.when(F.col("parts") > 1, F.format_string("<p>part %d of %d</p>", "part", "parts"))
     empty = F.when(F.col("part") == 1, F.lit(f"<p>{NO_EDGES}</p>"))
-    html = F.concat_ws("", head, place, section(0, "<nav>", " · ", "</nav>"), F.coalesce(section(1, "", "", ""), empty), section(2, "<ol>", "", "</ol>"))
+    html = F.concat_ws("", head, place, section(0, "<nav>", "</nav>"), F.coalesce(section(1, "", ""), empty), section(2, "<ol>", "</ol>"))
     return found.select("entity_id", "part", "parts", part_name(F.col("entity_id"), F.col("part")).alias("file_name"), html.alias("html"))
 
 

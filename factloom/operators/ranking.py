@@ -17,17 +17,19 @@ from factloom.staging import materialise
 HUB_ROWS = 100_000
 
 
-def ranked(rows: DataFrame, page: list[str], order: list[str | Column], into: str = "position", hub_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+def ranked(rows: DataFrame, page: list[str], order: list[str | Column], into: str = "position", hub_rows: int | None = None, counts: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """rows with into, the place (from 1) of each in its page by order, a list of columns of rows.
 
     counts has page and n, the number of rows of each page (at least), if that can be had more cheaply than by reading rows; without
-    it rows are written once and counted. Rows that are equal in order may be numbered either way, nulls come first.
+    it rows are written once and counted. Rows that are equal in order may be numbered either way, with dense they
+    get one number; nulls come first.
     """
     hub_rows, written = hub_rows or HUB_ROWS, counts is None
     if written:
         rows = materialise(rows, "to-rank")
         counts = rows.groupBy(*page).agg(F.count("*").alias("n"))
-    plain = F.row_number().over(W.partitionBy(*page).orderBy(*order)).cast("long")
+    number = F.dense_rank if dense else F.row_number
+    plain = number().over(W.partitionBy(*page).orderBy(*order)).cast("long")
     hubs = materialise(counts.where(F.col("n") > hub_rows).select(*page, "n"), "hubs")
     held = hubs.agg(F.sum("n")).first()[0]
     if not held:
@@ -37,8 +39,10 @@ def ranked(rows: DataFrame, page: list[str], order: list[str | Column], into: st
     cut = rows.join(hubs, same(hubs), "left_semi").repartitionByRange(int(held) // hub_rows + 1, *page, *order)
     cut = materialise(cut.withColumn("_range", F.spark_partition_id()), "ranges")
     before = W.partitionBy(*page).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cut.groupBy(*page, "_range").agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(page)), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*page, "_range").orderBy(*order))
-    found = cut.withColumn(into, inside).join(offsets, [cut["_range"] == offsets["_of"], *(cut[c].eqNullSafe(offsets[f"_{k}"]) for k, c in enumerate(page))])
+    inside = number().over(W.partitionBy(*page, "_range").orderBy(*order))
+    placed = cut.withColumn(into, inside)
+    counted = placed.groupBy(*page, "_range").agg(F.max(into).alias("_n")) if dense else cut.groupBy(*page, "_range").agg(F.count("*").alias("_n"))
+    offsets = counted.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(page)), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = placed.join(offsets, [cut["_range"] == offsets["_of"], *(cut[c].eqNullSafe(offsets[f"_{k}"]) for k, c in enumerate(page))])
     found = found.select(*rows.columns, (F.col(into) + F.col("_before")).cast("long").alias(into))
     return rows.join(hubs, same(hubs), "left_anti").withColumn(into, plain).unionByName(found)

@@ -14,7 +14,7 @@ from factloom.operators.components import components
 from factloom.sinks.site import write_site
 from factloom.sources import files
 from factloom.sources import tables as tb
-from factloom.staging import materialise, shared_folder
+from factloom.staging import Dealt, by_slices, in_slice, materialise, shared_folder, shuffles_end, slices_of
 from factloom.streaming import events as ev
 from factloom.streaming import upkeep
 
@@ -49,6 +49,15 @@ def written_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return materialise(tb.edges(spark, sf_dir, facts), "edges"), facts
 
 
+def of_pages(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], name: str, written: bool = False) -> DataFrame:
+    """What build makes of the facts, page by page. Large tables are dealt into slices of pages; small ones are written if build reads them twice."""
+    facts, slices = tb.facts(spark, sf_dir), slices_of(tb.fact_count(spark, sf_dir))
+    if slices == 1:
+        return build(materialise(facts, "facts") if written else facts)
+    dealt = Dealt(facts, "subject_id", slices, "facts")
+    return by_slices(spark, slices, lambda k: build(dealt.slice(k)), name, [dealt])
+
+
 def query(sql: str, recursive: bool = False):
     """Registers a function under its name, with its SQL twin."""
 
@@ -406,11 +415,30 @@ LEFT JOIN (SELECT page_id, string_agg('<h3>' || {ESCAPED_SQL.format("label")} ||
 LEFT JOIN (SELECT page_id, string_agg('<li id="fn-' || number || '">' || {ESCAPED_SQL.format("coalesce(source_url, '')")} || '</li>', '' ORDER BY number) AS sources FROM note LEFT JOIN snippet ON note.snippet_id = snippet.snippet_id GROUP BY page_id) s ON s.page_id = e.entity_id"""
 
 
+def all_profiles(spark: SparkSession, sf_dir: str, part_lines: int | None) -> DataFrame:
+    """Every entity's page, whole or in parts. Large tables are dealt into slices of pages: what facts say of their subject is in
+    the subject's slice, what they say of their object is dealt to the object's."""
+    entities, snippets, labels, slices = tb.entities(spark, sf_dir), tb.snippets(spark, sf_dir), tb.predicate_labels(spark), slices_of(3 * tb.fact_count(spark, sf_dir))
+    if slices == 1:
+        edges, facts = written_graph(spark, sf_dir)
+        return pages.profiles_of(entities, entities, graph.both_ends(edges), facts, snippets, labels, RED, part_lines)
+    facts = Dealt(tb.facts(spark, sf_dir), "subject_id", slices, "facts")
+    objects = Dealt(facts.all().select(F.col("object_id").alias("page_id"), "predicate", F.col("subject_id").alias("other_id")), "page_id", slices, "objects")
+    places = graph.both_ends(tb.places(spark, sf_dir))
+
+    def of_slice(k: int) -> DataFrame:
+        own = facts.slice(k)
+        out = own.select(F.col("subject_id").alias("page_id"), F.lit("out").alias("direction"), "predicate", F.col("object_id").alias("other_id"))
+        back = objects.slice(k).select("page_id", F.lit("in").alias("direction"), "predicate", "other_id")
+        sides = out.unionByName(back).distinct().unionByName(in_slice(places, "page_id", slices, k))
+        return pages.profiles_of(in_slice(entities, "entity_id", slices, k), entities, materialise(sides, "sides"), own, snippets, labels, RED, part_lines)
+
+    return by_slices(spark, slices, of_slice, "profiles", [facts, objects])
+
+
 @query(PROFILE_SQL)
 def profile_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, facts = written_graph(spark, sf_dir)
-    made = pages.profiles(tb.entities(spark, sf_dir), edges, facts, tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED)
-    return made.select("entity_id", "file_name", "html")
+    return all_profiles(spark, sf_dir, None).select("entity_id", "file_name", "html")
 
 
 @query(""", near AS (SELECT DISTINCT page_id, other_id FROM side), first AS (SELECT page_id AS start_id, other_id FROM near WHERE page_id LIKE 'region:%'),

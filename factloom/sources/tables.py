@@ -58,26 +58,46 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     A line's facts cite one of all documents, by its number modulo the largest id; some cite an id that no document has.
     """
     documents = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # numbers are made before lines are shuffled, texts after it
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"),
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_linenumber").alias("line"),
+        F.to_date("l_shipdate").alias("day"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount_cents"),
+        (F.col("l_linestatus") == "F").alias("exact"),
+    )
+    lines = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("order_key") == F.col("o_orderkey"))
     ends = F.array(F.struct(ref("customer", "o_custkey").alias("subject_id"), F.lit("ORDERED").alias("predicate")), F.struct(ref("supplier", "l_suppkey").alias("subject_id"), F.lit("SUPPLIES").alias("predicate")))
     return lines.select(
         F.inline(ends),
         ref("part", "l_partkey").alias("object_id"),
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_linenumber").alias("line"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("when_raw"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount_cents"),
-        F.when(F.col("l_linestatus") == "F", "exact").otherwise("probable").alias("confidence"),
-        F.pmod(F.col("l_orderkey") * SPREAD_ORDER + F.col("l_linenumber") * SPREAD_LINE, documents).cast("long").alias("snippet_id"),
+        "order_key",
+        "line",
+        F.date_format("day", "yyyy-MM-dd").alias("when_raw"),
+        "amount_cents",
+        F.when(F.col("exact"), "exact").otherwise("probable").alias("confidence"),
+        F.pmod(F.col("order_key") * SPREAD_ORDER + F.col("line") * SPREAD_LINE, documents).cast("long").alias("snippet_id"),
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, from_facts: DataFrame | None = None) -> DataFrame:
-    """The distinct edges of facts (those of the tables, if none are given), and those of places."""
+def fact_count(spark: SparkSession, sf_dir: str) -> int:
+    """How many facts there are, at most, by the number of order lines."""
+    return 2 * table(spark, sf_dir, "lineitem").count()
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of places."""
     located = [table(spark, sf_dir, t).select(ref(t, k).alias("subject_id"), F.lit("LOCATED_IN").alias("predicate"), ref("nation", n).alias("object_id")) for t, k, n in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"))]
     nations = table(spark, sf_dir, "nation").select(ref("nation", "n_nationkey").alias("subject_id"), F.lit("IN_REGION").alias("predicate"), ref("region", "n_regionkey").alias("object_id"))
+    return reduce(DataFrame.unionByName, [*located, nations])
+
+
+def edges(spark: SparkSession, sf_dir: str, from_facts: DataFrame | None = None) -> DataFrame:
+    """The distinct edges of facts (those of the tables, if none are given), and those of places."""
     given = facts(spark, sf_dir) if from_facts is None else from_facts
-    return reduce(DataFrame.unionByName, [*located, nations, given.select("subject_id", "predicate", "object_id").distinct()])
+    return places(spark, sf_dir).unionByName(given.select("subject_id", "predicate", "object_id").distinct())
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
