@@ -473,8 +473,7 @@ FROM entity LEFT JOIN piece ON page_id = entity_id"""
 @query(PARTS_SQL)
 def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page in numbered parts of a few lines, as a hub's page is shown."""
-    edges, facts = written_graph(spark, sf_dir)
-    return pages.profiles(tb.entities(spark, sf_dir), edges, facts, tb.snippets(spark, sf_dir), tb.predicate_labels(spark), RED, part_lines=SHORT_PART)
+    return all_profiles(spark, sf_dir, SHORT_PART)
 
 
 #: Customers that stand for others: chains of up to three, circles of two, ids of another kind, and some with two meanings.
