@@ -104,7 +104,13 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, string_agg(name, ' · ' ORDER BY lower(name), other_id) AS bar, count(*) AS n
 FROM (SELECT DISTINCT page_id, other_id, name FROM named) GROUP BY page_id""")
 def neighbour_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbour_bar(tb.edges(spark, sf_dir), tb.entities(spark, sf_dir))
+    entities, slices = tb.entities(spark, sf_dir), slices_of(2 * tb.fact_count(spark, sf_dir))
+    if slices == 1:
+        return graph.neighbour_bar(tb.edges(spark, sf_dir), entities)
+    # an edge that is repeated makes the same pair again, so edges need not be distinct before pairs are
+    edges = tb.places(spark, sf_dir).unionByName(tb.facts(spark, sf_dir).select("subject_id", "predicate", "object_id"))
+    near = Dealt(graph.both_ends(edges).select("page_id", "other_id"), "page_id", slices, "neighbours")
+    return by_slices(spark, slices, lambda k: graph.bar_of(near.slice(k).distinct(), entities), "bars", [near])
 
 
 @query("SELECT subject_id, predicate, object_id, coalesce(label, predicate) AS label FROM edge LEFT JOIN label ON predicate = code")
