@@ -290,8 +290,10 @@ def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
        'fnref-' || number || '-' || row_number() OVER (PARTITION BY fact.subject_id, fact.snippet_id ORDER BY object_id, confidence, when_raw, order_key, line, amount_cents) AS back_link
 FROM fact JOIN note ON subject_id = page_id AND fact.snippet_id = note.snippet_id""")
 def facts_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.numbered(materialise(tb.facts(spark, sf_dir), "facts"))
-    return found.select("subject_id", "object_id", "order_key", "line", "amount_cents", "snippet_id", F.col("number").cast("int").alias("number"), "back_link")
+    def numbered(facts: DataFrame) -> DataFrame:
+        return evidence.numbered(facts).select("subject_id", "object_id", "order_key", "line", "amount_cents", "snippet_id", F.col("number").cast("int").alias("number"), "back_link")
+
+    return of_pages(spark, sf_dir, numbered, "numbered", written=True)
 
 
 @query("SELECT DISTINCT subject_id AS page_id, snippet_id FROM fact")
