@@ -661,7 +661,8 @@ def facts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts written as lines of JSON, as an extractor leaves them, and read by an explicit schema."""
     found = tb.facts(spark, sf_dir)
     folder = shared_folder(spark, "fact-files")
-    found.write.json(folder)
+    with shuffles_end(spark):
+        found.write.option("compression", "gzip").json(folder)
     return files.fact_files(spark, folder, found.schema)
 
 

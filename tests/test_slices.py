@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom import staging
 from factloom.operators import ranking
 from factloom.plans import catalog
+from factloom.sources import files
 
 
 @pytest.fixture
@@ -40,6 +41,14 @@ def test_profiles_have_one_row_for_a_page_however_long(spark, sf_dir, monkeypatc
     assert made.groupBy("entity_id").count().where("count > 1").isEmpty()
 
 
+def test_fact_files_are_written_compressed(spark, sf_dir):
+    before = folders(spark)
+    catalog.facts_from_files(spark, sf_dir)
+    (folder,) = folders(spark) - before
+    raw = files.fact_files(spark, f"file://{folder}", catalog.tb.facts(spark, sf_dir).schema).select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert bytes_of(folder) < raw / 4
+
+
 def test_dense_numbers_of_hubs_equal_those_of_other_pages(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 10 < 7, "hub").otherwise("a").alias("page"), (F.col("id") * 7919 % 311).alias("name"), "id")
     plain, cut = (ranking.ranked(df, ["page"], ["name"], hub_rows=n, dense=True) for n in (None, 100))
