@@ -311,7 +311,8 @@ def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, string_agg('<li id="fn-' || number || '">' || coalesce(source_url, '') || '</li>', '' ORDER BY number) AS sources, count(*) AS n_sources
 FROM note LEFT JOIN snippet ON note.snippet_id = snippet.snippet_id GROUP BY page_id""")
 def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.source_list(tb.facts(spark, sf_dir), tb.snippets(spark, sf_dir))
+    snippets = tb.snippets(spark, sf_dir)
+    return of_pages(spark, sf_dir, lambda facts: evidence.source_list(facts, snippets), "sources")
 
 
 @query("SELECT subject_id AS page_id, max(when_raw) AS updated FROM fact GROUP BY subject_id")

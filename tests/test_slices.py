@@ -26,7 +26,7 @@ def bytes_of(folder):
     return sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
 
 
-@pytest.mark.parametrize("name", ["neighbour_bar", "facts_numbered", "profile_html", "profile_parts"])
+@pytest.mark.parametrize("name", ["neighbour_bar", "facts_numbered", "page_sources", "profile_html", "profile_parts"])
 def test_slices_give_the_same_and_keep_their_result_only(spark, sf_dir, sliced, name):
     before = folders(spark)
     made = catalog.QUERIES[name](spark, sf_dir)
