@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise
 from factloom.operators.components import components
+from factloom.staging import by_slices, in_slice
 
 #: The longer side of an image at its working size, at most: larger ones are reduced first, which bounds their corners.
 SIDE = 512
@@ -54,6 +55,8 @@ SHARED_CLASS = 2
 SKETCH = 32
 #: Entries of queries up to which they are broadcast (32 bytes each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of queries' descriptors that are broadcast at once.
+BROADCAST_BYTES = 32 << 20
 #: Agreeing matches that make a copy.
 CONSENSUS = 6
 #: Share of the smaller image's corners that agree on the identity where two images are one class.
@@ -97,7 +100,7 @@ def resized(image: np.ndarray, scale: float) -> np.ndarray:
     if scale < 0.75:
         image = smoothed(image, max(1, round(0.5 / scale) if scale < 0.4 else 1))
     h, w = (max(1, round(n * scale)) for n in image.shape)
-    y, x = np.mgrid[:h, :w].astype(np.float32)
+    y, x = np.arange(h, dtype=np.float32)[:, None], np.arange(w, dtype=np.float32)[None, :]  # rows and columns by themselves
     return sampled(image, unscaled(y, h, image.shape[0], scale), unscaled(x, w, image.shape[1], scale)).astype(np.float32)
 
 
@@ -108,11 +111,19 @@ def unscaled(place: np.ndarray, size: int, whole: int, scale: float) -> np.ndarr
 
 def smoothed(image: np.ndarray, reach: int) -> np.ndarray:
     """Means over squares that reach so many pixels each way, along one axis and then the other."""
-    padded = np.pad(image.astype(np.float32, copy=False), reach, mode="edge")
     h, w = image.shape
-    rows = sum((padded[k : k + h] for k in range(1, 2 * reach + 1)), start=padded[:h])
-    found = sum((rows[:, k : k + w] for k in range(1, 2 * reach + 1)), start=rows[:, :w])
-    return found / np.float32((2 * reach + 1) ** 2)
+    padded = np.empty((h + 2 * reach, w + 2 * reach), np.float32)
+    padded[reach : h + reach, reach : w + reach] = image
+    padded[:reach, reach : w + reach], padded[h + reach :, reach : w + reach] = image[:1], image[-1:]
+    padded[:, :reach], padded[:, w + reach :] = padded[:, reach : reach + 1], padded[:, w + reach - 1 : w + reach]
+    rows = padded[:h].copy()
+    for k in range(1, 2 * reach + 1):
+        rows += padded[k : k + h]
+    found = rows[:, :w].copy()
+    for k in range(1, 2 * reach + 1):
+        found += rows[:, k : k + w]
+    found /= np.float32((2 * reach + 1) ** 2)
+    return found
 
 
 def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +171,13 @@ def describe(image: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarra
         soft = smoothed(level, 2) if len(y) else level
         for start in range(0, len(y), 2000):  # so many patches are held at once
             ys, xs = y[start : start + 2000], x[start : start + 2000]
-            patch = level[ys[:, None] + dy, xs[:, None] + dx]
+            patch = level.ravel()[(ys * level.shape[1] + xs)[:, None] + (dy * level.shape[1] + dx)]
             patch = patch - patch.mean(1, keepdims=True)
             angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
             cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
             ty = np.rint(ys[:, None, None] + py * cos + px * sin).astype(int)
             tx = np.rint(xs[:, None, None] + px * cos - py * sin).astype(int)
-            values = soft[ty, tx]
+            values = soft.ravel()[ty * level.shape[1] + tx]
             part = np.zeros(len(ys), RECORD)
             for axis, places in (("y", ys), ("x", xs)):
                 k = "yx".index(axis)
@@ -206,46 +217,60 @@ def matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, int), np.zeros(0, int)
     left, right = (np.ascontiguousarray(x["bits"]).view(np.uint64) for x in (a, b))
     step = max(1, PAIRS_AT_ONCE // len(right))
+    words = [np.ascontiguousarray(x) for x in right.T]
     nearest, least = [], []
     for start in range(0, len(left), step):
-        bits = np.bitwise_count(left[start : start + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int32)
+        part = left[start : start + step, :, None]
+        bits = np.bitwise_count(part[:, 0] ^ words[0])  # of one byte: descriptors have fewer than 256 bits
+        for k, word in enumerate(words[1:], 1):
+            bits += np.bitwise_count(part[:, k] ^ word)
         nearest.append(bits.argmin(1))
-        least.append(bits.min(1))
+        least.append(bits[np.arange(len(bits)), nearest[-1]])
     near = np.concatenate(nearest)
     own = np.flatnonzero(np.concatenate(least) <= RADIUS)
     return own, near[own]
 
 
-def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float, float]:
+def consensus(a: np.ndarray, b: np.ndarray, least: int = 1) -> tuple[int, float, float, float, float]:
     """votes, turn (degrees), scale, dx and dy of the motion of b onto a that most matches agree on.
 
     Votes are counted by distinct places in b, so that one corner found at several scales counts once. Each
     match's motion is tried and all matches that agree with it are counted, in slices; the first best one wins.
+    Where fewer than least votes are found there are none: places, and matches of like turn and scale, are counted first,
+    as no motion has more votes than these.
     """
     own, other = matched(a, b)
-    if not len(own):
-        return 0, 0.0, 1.0, 0.0, 0.0
     q, f = a[own], b[other]
+    spots = (f["x"] // SHIFT).astype(np.int64) << 32 | (f["y"] // SHIFT).astype(np.int64)
+    if len(own) < least or len(set(spots.tolist())) < least or not len(own):
+        return 0, 0.0, 1.0, 0.0, 0.0
     turn = (q["angle"].astype(np.float64) - f["angle"]) % 360
     size = f["scale"].astype(np.float64) / q["scale"]
     cos, sin = np.cos(np.radians(turn)), np.sin(np.radians(turn))
     qx, qy, fx, fy = (x.astype(np.float64) for x in (q["x"], q["y"], f["x"], f["y"]))
-    place = np.unique((f["x"] // SHIFT).astype(np.int64) << 32 | (f["y"] // SHIFT).astype(np.int64), return_inverse=True)[1]
+    place = np.unique(spots, return_inverse=True)[1]
     by_place = np.argsort(place, kind="stable")
     starts = np.flatnonzero(np.diff(place[by_place], prepend=-1))
     slack = SHIFT / min(1.0, float(q["scale"].max()))
     best, agreed = 0, np.zeros(0, int)
     for start in range(0, len(own), max(1, PAIRS_AT_ONCE // len(own))):
         k = np.arange(start, min(len(own), start + max(1, PAIRS_AT_ONCE // len(own))))[:, None]
+        like = (np.abs((turn - turn[k] + 180) % 360 - 180) <= TURN) & (np.abs(np.log(size / size[k])) <= math.log(FACTOR))
+        enough = like.sum(1) >= least
+        if not enough.any():
+            continue
+        k, like = k[enough], like[enough]
         # where match k's motion carries every matched place of b, against where that place is in a
         x, y = fx - fx[k], fy - fy[k]
         off = np.hypot(qx[k] + size[k] * (x * cos[k] - y * sin[k]) - qx, qy[k] + size[k] * (x * sin[k] + y * cos[k]) - qy)
         reach = 0.12 * size[k] * np.hypot(x, y) + slack  # an angle's error moves far places more
-        fits = (off <= reach) & (np.abs((turn - turn[k] + 180) % 360 - 180) <= TURN) & (np.abs(np.log(size / size[k])) <= math.log(FACTOR))
+        fits = (off <= reach) & like
         votes = np.logical_or.reduceat(fits[:, by_place], starts, axis=1).sum(1)
         row = int(votes.argmax())
         if votes[row] > best:
             best, agreed = int(votes[row]), np.flatnonzero(fits[row])
+    if best < least:
+        return 0, 0.0, 1.0, 0.0, 0.0
     s, c = np.sin(np.radians(turn[agreed])).mean(), np.cos(np.radians(turn[agreed])).mean()
     scale = float(np.exp(np.log(size[agreed]).mean()))
     x, y = fx[agreed], fy[agreed]
@@ -257,7 +282,7 @@ def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, float, float, float, f
 
 def same_frame(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether b is a as a whole: the motion is the identity, on SAME_FRAME or more of the corners of either."""
-    votes, turn, scale, dx, dy = consensus(a, b)
+    votes, turn, scale, dx, dy = consensus(a, b, CONSENSUS)
     still = min(turn, 360 - turn) <= TURN / 2 and abs(math.log(scale)) <= math.log(FACTOR) / 2 and max(abs(dx), abs(dy)) <= 2 * SHIFT / min(1.0, float(a["scale"].max(initial=1.0)))
     places = min(len(np.unique(np.stack([x["x"] // SHIFT, x["y"] // SHIFT]), axis=1).T) for x in (a, b)) if votes else 1
     return bool(votes >= CONSENSUS and still and votes >= SAME_FRAME * places)
@@ -271,6 +296,7 @@ def agreement(low: Column, high: Column) -> Column:
 
 
 DESCRIBED = "image binary, name bigint, found binary, keys array<bigint>"
+AGREED = "name bigint, other bigint, votes bigint, turn double, scale double, dx double, dy double"
 
 
 def _describe(scales: tuple[float, ...]):
@@ -334,9 +360,9 @@ def _sliced(batches):
 
 
 def _agreed(batches):
-    """votes and motion for rows (name, other, found of the one, found of the other)."""
+    """votes and motion for rows (name, other, found of the one, found of the other); fewer than CONSENSUS votes are none."""
     for batch in _sliced(batches):
-        rows = [consensus(np.frombuffer(a, RECORD), np.frombuffer(b, RECORD)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        rows = [consensus(np.frombuffer(a, RECORD), np.frombuffer(b, RECORD), CONSENSUS) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         columns = [pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.float64()) for k in range(5)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["name", "other", "votes", "turn", "scale", "dx", "dy"])
 
@@ -347,6 +373,19 @@ def _same(batches):
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in batch.columns[:2]], names=["name", "other"])
 
 
+def _copies(pairs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (name, other) with CONSENSUS votes or more, and their motions. Queries' descriptors are broadcast, some at a time, so
+    that pairs are shuffled as two numbers, with the descriptors of neither image."""
+    slices = max(1, -(-(found.agg(F.sum(F.length("found"))).first()[0] or 0) // BROADCAST_BYTES))
+
+    def of_slice(k: int) -> DataFrame:
+        two = in_slice(pairs, "name", slices, k).join(index.select(F.col("name").alias("other"), F.col("found").alias("other_found")), "other")
+        one = F.broadcast(in_slice(found, "name", slices, k).select("name", F.col("found").alias("own_found")))
+        return two.join(one, "name").select("name", "other", "own_found", "other_found").mapInArrow(_agreed, AGREED).where(F.col("votes") >= CONSENSUS)
+
+    return of_slice(0) if slices == 1 else by_slices(pairs.sparkSession, slices, of_slice, "copies")
+
+
 def _together(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs (name, other) with what was found in both images."""
     one = left.select("name", F.col("found").alias("own_found"))
@@ -421,6 +460,5 @@ def find_copies(images: DataFrame, queries: DataFrame, media_col: str = "media",
     asked = queries.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.unhex(F.sha2(media_col, 256)).alias("image"))
     found = materialise(described(queries, media_col, SCALES), "query-descriptors")
     pairs = materialise(near_candidates(found, leaders), "candidates")
-    copies = _together(pairs, found, index).mapInArrow(_agreed, "name bigint, other bigint, votes bigint, turn double, scale double, dx double, dy double").where(F.col("votes") >= CONSENSUS)
-    copies = copies.join(heads.select(F.col("name").alias("other"), "class_id"), "other").join(found.select("name", "image"), "name")
+    copies = _copies(pairs, found, index).join(heads.select(F.col("name").alias("other"), "class_id"), "other").join(found.select("name", "image"), "name")
     return copies.join(asked, "image").select("query_id", "class_id", "votes", "turn", "scale", "dx", "dy"), members

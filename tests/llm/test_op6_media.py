@@ -167,3 +167,24 @@ def test_rows_joined_by_key_are_near_ones():
     assert np.mean(own) >= 0.95 and sum(own) >= sum(agreed(edited[k], whole[k]) >= media.AGREE for k in edited)
     chance = [(near_rows(edited[k], whole[k + 1]), agreed(edited[k], whole[k + 1])) for k in range(60, 119)]
     assert 4 * sum(x for x, _ in chance) < sum(x for _, x in chance)
+
+
+def test_consensus_gives_up_only_below_the_votes_asked_for():
+    """With a least number of votes the result is the same from that number on, and none below it."""
+    rnd = np.random.default_rng(4)
+    image = rasters.raster(list(rnd.normal(size=16)))
+    pairs = [(media.describe(rasters.edited(image, k)), media.describe(rasters.raster(list(rnd.normal(size=16))) if k % 2 else image, media.INDEX_SCALES)) for k in range(12)]
+    found = [(media.consensus(a, b), media.consensus(a, b, media.CONSENSUS)) for a, b in pairs]
+    assert all(some == (every if every[0] >= media.CONSENSUS else (0, 0.0, 1.0, 0.0, 0.0)) for every, some in found)
+    assert len({every[0] >= media.CONSENSUS for every, _ in found}) == 2
+
+
+def test_copies_are_the_same_however_queries_are_dealt(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rnd.normal(size=16)]) for k in range(30)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    images, asked = rasters.with_images(vectors, "vector", "id"), rasters.with_images(vectors.where("id % 3 = 0"), "vector", "id", edit=True)
+    whole = sorted(map(tuple, media.find_copies(images, asked)[0].collect()))
+    monkeypatch.setattr(media, "BROADCAST_BYTES", 10_000)
+    dealt = sorted(map(tuple, media.find_copies(images, asked)[0].collect()))
+    assert len(whole) >= 9 and dealt == whole
